@@ -13,8 +13,10 @@ from pyspark.sql import Column, functions as F
 from maskloom.functions.spans import SPACE
 
 SHIFT = "array<struct<at:int,extra:int>>"
-LEAF = f"array<struct<path:string,key:string,obj:int,start:int,raw:string>>"
+LEAF = "array<struct<path:string,key:string,obj:int,start:int,raw:string>>"
 PIECE = "array<struct<start:int,raw:string>>"
+DECODED_LEAF = f"struct<path:string,key:string,obj:int,leaf_start:int,text:string,leaf_moved:{SHIFT}>"
+DECODED_PIECE = f"struct<start:int,text:string,moved:{SHIFT}>"
 
 _JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 JSON_TOKEN = rf'(?s){_JSON_STRING}|[{{}}\[\],:]|[^{{}}\[\],:"]+'
@@ -162,6 +164,37 @@ def html_shifts(raw: Column) -> Column:
     return shifts(raw, HTML_ESCAPE, lambda _: F.lit(1))
 
 
+def decoded_leaves(leaves: Column, is_json: bool) -> Column:
+    """Leaves with their decoded text and escape shifts."""
+
+    def one(leaf: Column) -> Column:
+        text = json_string(leaf["raw"]) if is_json else leaf["raw"]
+        moved = json_shifts(leaf["raw"]) if is_json else F.lit([]).cast(SHIFT)
+        return F.struct(
+            leaf["path"].alias("path"),
+            leaf["key"].alias("key"),
+            leaf["obj"].alias("obj"),
+            leaf["start"].alias("leaf_start"),
+            text.alias("text"),
+            moved.alias("leaf_moved"),
+        ).cast(DECODED_LEAF)
+
+    return F.transform(leaves, one)
+
+
+def decoded_pieces(text: Column, is_html: bool) -> Column:
+    """Pieces of a leaf with their decoded text and entity shifts."""
+    if not is_html:
+        whole = F.struct(F.lit(0).alias("start"), text.alias("text"), F.lit([]).cast(SHIFT).alias("moved"))
+        return F.array(whole.cast(DECODED_PIECE))
+    return F.transform(
+        html_pieces(text),
+        lambda p: F.struct(
+            p["start"].alias("start"), html_text(p["raw"]).alias("text"), html_shifts(p["raw"]).alias("moved")
+        ).cast(DECODED_PIECE),
+    )
+
+
 def source_offset(offset: Column, moved: Column) -> Column:
     """Offset in the undecoded text of a decoded offset."""
     before = F.filter(moved, lambda s: s["at"] < offset)

@@ -8,12 +8,14 @@ replacement needs there (``quote``: 1 JSON, 2 HTML, 3 both).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from maskloom.functions import filters, markup, recognizers, text as tx
 from maskloom.functions.splice import keep_greedy
 from maskloom.operators.scan import known_patterns, scan
+from maskloom.operators.vault import all_surrogates
 from maskloom.policy import Policy, glob_regex
+from maskloom.runtime import computed, spread_join
 
 AT = f"struct<leaf:int,leaf_moved:{markup.SHIFT},piece:int,piece_moved:{markup.SHIFT}>"
 FINDING_COLUMNS = [
@@ -61,45 +63,38 @@ def leaves(docs: DataFrame, keys: list[str], kind: str = "document") -> DataFram
             base.alias("path"), key.alias("key"), F.lit(0).alias("obj"), F.lit(0).alias("start"), F.col("text").alias("raw")
         )
     ).cast(markup.LEAF)
-    is_json = filters.is_json(F.col("text")) if kind == "document" else F.lit(False)
-    cut = F.when(is_json, markup.json_leaves(F.col("text"))).otherwise(whole)
-    rows = docs.where(~tx.blank(F.col("text"))).select(
-        *keys, is_json.alias("json"), F.posexplode(cut).alias("leaf_no", "leaf")
-    )
-    raw = F.col("leaf.raw")
-    return rows.select(
-        *keys,
-        "json",
-        "leaf_no",
-        "leaf.path",
-        "leaf.key",
-        "leaf.obj",
-        F.col("leaf.start").alias("leaf_start"),
-        F.when(F.col("json"), markup.json_string(raw)).otherwise(raw).alias("text"),
-        F.when(F.col("json"), markup.json_shifts(raw)).otherwise(F.lit([]).cast(markup.SHIFT)).alias("leaf_moved"),
-    ).where(~tx.blank(F.col("text")))
+    rows = docs.where(~tx.blank(F.col("text")))
+    plain = markup.decoded_leaves(whole, False)
+    if kind == "value":
+        rows = rows.withColumn("json", F.lit(False))
+        cut = plain
+    else:
+        rows = computed(rows, json=filters.is_json(F.col("text")))
+        cut = F.when(F.col("json"), markup.decoded_leaves(markup.json_leaves(F.col("text")), True)).otherwise(plain)
+    rows = rows.select(*keys, "json", F.posexplode(cut).alias("leaf_no", "leaf"))
+    return rows.select(*keys, "json", "leaf_no", "leaf.*").where(~tx.blank(F.col("text")))
 
 
 def pieces(leaf_rows: DataFrame, keys: list[str]) -> DataFrame:
     """Cut HTML leaves at their tags; other leaves are one piece. Returns units."""
-    raw = F.col("piece.raw")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("text").alias("raw"))).cast(markup.PIECE)
-    rows = leaf_rows.withColumn("html", tx.looks_like_html(F.col("text")))
+    text = F.col("text")
+    rows = computed(leaf_rows, html=tx.looks_like_html(text))
+    cut = F.when(F.col("html"), markup.decoded_pieces(text, True)).otherwise(markup.decoded_pieces(text, False))
     rows = rows.select(
         *keys, "json", "html", "leaf_no", "path", "leaf_start", "leaf_moved",
-        F.posexplode(F.when(F.col("html"), markup.html_pieces(F.col("text"))).otherwise(whole)).alias("piece_no", "piece"),
+        F.posexplode(cut).alias("piece_no", "piece"),
     )
     at = F.struct(
         F.col("leaf_start").alias("leaf"),
         "leaf_moved",
         F.col("piece.start").alias("piece"),
-        F.when(F.col("html"), markup.html_shifts(raw)).otherwise(F.lit([]).cast(markup.SHIFT)).alias("piece_moved"),
+        F.col("piece.moved").alias("piece_moved"),
     ).cast(AT)
     return rows.select(
         *keys,
         F.struct("leaf_no", "piece_no").alias("unit"),
         "path",
-        F.when(F.col("html"), markup.html_text(raw)).otherwise(raw).alias("text"),
+        "piece.text",
         at.alias("at"),
         (F.col("json").cast("int") + F.col("html").cast("int") * 2).alias("quote"),
     )
@@ -133,23 +128,34 @@ def _extra_at(offset: Column, moved: Column) -> Column:
 
 
 def recognized(units: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
-    """Regex findings that survive the protected spans and the quality filters.
+    """Regex findings that survive the protected spans and the quality filters, and the
+    partial masks, in one pass over the text.
 
-    Protected spans are only computed for texts that have a finding.
+    Protected spans are only computed for texts that have a finding. Partial masks are
+    not filtered: they are settled against the vault.
     """
-    found = units.select(*keys, "unit", "path", "at", "quote", "text", recognizers.pattern_findings(F.col("text"), policy).alias("f"))
-    found = found.where(F.size("f") > 0).withColumn("protected", filters.protected_spans(F.col("text")))
+    text = F.col("text")
+    found = computed(
+        units.select(*keys, "unit", "path", "at", "quote", "text"),
+        f=recognizers.pattern_findings(text, policy),
+        p=recognizers.partial_findings(text),
+    ).where((F.size("f") > 0) | (F.size("p") > 0))
+    found = computed(
+        found,
+        protected=F.when(F.size("f") > 0, filters.protected_spans(text)).otherwise(F.lit([]).cast(filters.PROTECTED)),
+    )
     kept = F.filter(
         F.col("f"), lambda f: filters.unprotected(f["entity_type"], f["start"], f["end"], F.col("protected"))
     )
-    rows = found.select(*keys, "unit", "path", "at", "quote", F.explode(kept).alias("f")).select(
+    rows = found.select(*keys, "unit", "path", "at", "quote", F.explode(F.concat(kept, "p")).alias("f")).select(
         *keys, "unit", "path", "at", "quote", "f.*"
     )
-    return placed(rows.where(filters.quality(policy)).withColumn("surrogate", F.lit(None).cast("string")))
+    rows = rows.where((F.col("phase") == "partial") | filters.quality(policy))
+    return placed(rows.withColumn("surrogate", F.lit(None).cast("string")))
 
 
 def with_protection(units: DataFrame, kinds) -> DataFrame:
-    return units.withColumn("protected", filters.protected_spans(F.col("text"), kinds))
+    return computed(units, protected=filters.protected_spans(F.col("text"), kinds))
 
 
 def dictionary(units: DataFrame, keys: list[str], policy: Policy, gazetteer: DataFrame) -> DataFrame:
@@ -177,18 +183,8 @@ def known(units: DataFrame, keys: list[str], policy: Policy, vault: DataFrame) -
     return placed(hits.drop("protected").withColumns({"phase": F.lit("known"), "score": F.lit(1.0)}))
 
 
-def partials(units: DataFrame, keys: list[str]) -> DataFrame:
-    rows = units.select(
-        *keys, "unit", "path", "at", "quote", F.explode(recognizers.partial_findings(F.col("text"))).alias("f")
-    ).select(*keys, "unit", "path", "at", "quote", "f.*")
-    return placed(rows.withColumn("surrogate", F.lit(None).cast("string")))
-
-
 def without_known_surrogates(findings: DataFrame, vault: DataFrame) -> DataFrame:
     """Drop findings whose text is a surrogate already (as it is, or lower-cased)."""
-    from maskloom.operators.vault import all_surrogates
-    from maskloom.runtime import spread_join
-
     used = all_surrogates(vault)
     used = used.union(used.select(F.lower("surrogate"))).distinct().select(F.col("surrogate").alias("value"))
     return spread_join(findings, used, ["value"], "left_anti")
@@ -207,8 +203,6 @@ def resolve(findings: DataFrame, keys: list[str], prefer: str = "score") -> Data
     stays readable). A running maximum of the ends cuts each text into clusters of
     overlapping spans; the greedy walk only runs inside clusters of two or more.
     """
-    from pyspark.sql import Window
-
     start, end = ("doc_start", "doc_end") if "doc_start" in findings.columns else ("start", "end")
     order = Window.partitionBy(*keys).orderBy(start, end)
     before = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskloom.functions import filters, recognizers, text as tx
+from maskloom.functions import filters, text as tx
 from maskloom.functions.splice import splice
 from maskloom.operators import assign as asg, detect, fields, vault as v
 from maskloom.policy import Policy, policy_table
@@ -84,7 +84,7 @@ def discover(
     leaf_rows = leaf_rows.where(~detect.excluded_path(F.col("path"), policy))
     units = detect.pieces(fields.without_fields(leaf_rows, policy), keys)
 
-    found = _layout(_patterns(units, keys, policy), keys)
+    found = _layout(detect.recognized(units, keys, policy), keys)
     if gazetteer is not None:
         found = found.unionByName(_layout(detect.dictionary(units, keys, policy, gazetteer), keys))
     extra = hooked(units, keys, policy, hooks)
@@ -103,28 +103,6 @@ def discover(
     return found.select(ruled.columns).unionByName(partial.select(ruled.columns)).unionByName(ruled)
 
 
-def _patterns(units: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
-    """Regex findings and partial masks in one pass over the text."""
-    text = F.col("text")
-    found = units.select(
-        *keys, "unit", "path", "at", "quote", "text",
-        recognizers.pattern_findings(text, policy).alias("f"),
-        recognizers.partial_findings(text).alias("p"),
-    ).where((F.size("f") > 0) | (F.size("p") > 0))
-    found = found.withColumn(
-        "protected",
-        F.when(F.size("f") > 0, filters.protected_spans(text)).otherwise(F.lit([]).cast(filters.PROTECTED)),
-    )
-    kept = F.filter(
-        F.col("f"), lambda f: filters.unprotected(f["entity_type"], f["start"], f["end"], F.col("protected"))
-    )
-    rows = found.select(*keys, "unit", "path", "at", "quote", F.explode(F.concat(kept, "p")).alias("f")).select(
-        *keys, "unit", "path", "at", "quote", "f.*"
-    )
-    rows = rows.where((F.col("phase") == "partial") | filters.quality(policy))
-    return detect.placed(rows.withColumn("surrogate", F.lit(None).cast("string")))
-
-
 def _quoted(replacement: Column, quote: Column) -> Column:
     html = F.when(quote.bitwiseAND(2) > 0, tx.html_quoted(replacement)).otherwise(replacement)
     return F.when(quote.bitwiseAND(1) > 0, tx.json_quoted(html)).otherwise(html)
@@ -205,6 +183,6 @@ def mask(
         units = detect.pieces(fields.without_fields(leaf_rows, policy), keys)
         known = detect.known(units, keys, policy, total)
         every = every.unionByName(_layout(known, keys).select(every.columns))
-    kept = detect.resolve(every, keys, prefer="length")
+    kept = materialize(detect.resolve(every, keys, prefer="length"))
     final = materialize(with_replacements(kept, total, rules))
     return Masked(apply_findings(docs, keys, final), final, total, added)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -52,8 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once, keep on shared storage, cut the lineage."""
+    if getattr(df, "_materialized", False):
+        return df
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    done._materialized = True
+    return done
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    ``inline`` of a one-row array is a boundary the optimizer does not copy expressions
+    across. Plain projections of costly expressions would be repeated in every filter
+    and projection above them.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -84,7 +99,11 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 
 
 def checked_broadcast(df: DataFrame, **bound: int) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when measured small, else ``(df, False)``."""
+    """``(broadcast(df), True)`` when measured small, else ``(df, False)``.
+
+    The table is computed once, before it is measured.
+    """
+    df = materialize(df)
     return (F.broadcast(df), True) if fits_broadcast(df, **bound) else (df, False)
 
 
@@ -103,9 +122,11 @@ def spread_join(
     get a salt, the matching right rows are repeated once per salt, the others keep
     salt 0. No row is dropped on either side. ``how``: inner, left, left_semi, left_anti.
     """
+    right = materialize(right)
     small, fits = checked_broadcast(right)
     if fits:
         return left.join(small, keys, how)
+    left = materialize(left)
     total = left.count()
     hot = (
         left.groupBy(*keys)
@@ -145,8 +166,6 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
         offsets.append((pid, total))
         total += n
     base = spark.createDataFrame(offsets, "__pid int, __base long")
-    from pyspark.sql import Window
-
     inside = Window.partitionBy("__pid").orderBy("__key")
     return (
         ranged.join(F.broadcast(base), "__pid")
