@@ -7,7 +7,7 @@ each round is checkpointed, so a lost executor never replays the earlier rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from maskloom.functions.fpe import fpe
 from maskloom.functions.surrogates import discriminator, with_fake
@@ -80,22 +80,16 @@ def assign(values: DataFrame, vault: DataFrame, rules: DataFrame) -> DataFrame:
     rules = F.broadcast(rules.where(F.col("operator") != REPLACE))
     fresh = values.groupBy("entity_type", "real_value").agg(F.min("ord").alias("ord"))
     fresh = fresh.withColumn("ord", F.struct("ord", "entity_type", "real_value"))
-    fresh = fresh.join(rules, "entity_type")
-    fresh = v.find_surrogate(fresh, vault, "__same")
-    fresh = v.find_surrogate_anywhere(fresh, vault, "__any").drop("found_type")
-    fresh = fresh.where(F.col("__same").isNull() & ((F.col("operator") == FPE) | F.col("__any").isNull()))
-    fresh = fresh.drop("__same", "__any")
-    # one row per value: same type and letter-case fold for FPE, any type for fakes
-    fold = F.lower("real_value")
-    first_of_type = fresh.groupBy("entity_type", fold.alias("fold")).agg(F.min("ord").alias("first_typed"))
-    first_of_all = fresh.groupBy(fold.alias("fold")).agg(F.min("ord").alias("first_any"))
-    fresh = (
-        fresh.withColumn("fold", fold)
-        .join(first_of_type, ["entity_type", "fold"])
-        .join(first_of_all, "fold")
-        .where((F.col("ord") == F.col("first_typed")) & ((F.col("operator") == FPE) | (F.col("ord") == F.col("first_any"))))
-        .drop("fold", "first_typed", "first_any")
-    )
+    fresh = v.find_both(fresh, vault).join(rules, "entity_type")
+    fresh = fresh.where(F.col("same").isNull() & ((F.col("operator") == FPE) | F.col("anywhere").isNull()))
+    # one row per value: same type and letter-case fold for FPE, any type for fakes; the
+    # groups are the spellings of one value, so both windows are tiny and share a shuffle
+    fold = Window.partitionBy(F.lower("real_value"))
+    typed = Window.partitionBy(F.lower("real_value"), "entity_type")
+    fresh = fresh.withColumns({"__any": F.min("ord").over(fold), "__typed": F.min("ord").over(typed)})
+    fresh = fresh.where(
+        (F.col("ord") == F.col("__typed")) & ((F.col("operator") == FPE) | (F.col("ord") == F.col("__any")))
+    ).drop("same", "anywhere", "__any", "__typed")
     fresh = materialize(fresh)
     kinds = {(r[0], r[1]) for r in fresh.select("operator", _is_single(fresh)).distinct().collect()}
     if not kinds:
@@ -171,11 +165,8 @@ def surrogates_for(values: DataFrame, vault: DataFrame, rules: DataFrame) -> Dat
     fixed text. Anything without an answer fails closed to ``<TYPE>``.
     """
     distinct = values.select("entity_type", "real_value").distinct()
-    distinct = distinct.join(F.broadcast(rules.select("entity_type", "operator", "new_value")), "entity_type", "left")
-    got = v.find_surrogate(distinct, vault, "__same")
-    got = v.find_surrogate_anywhere(got, vault, "__any")
-    found = F.when(F.col("operator") == FPE, F.col("__same")).when(
-        F.col("operator") == FAKE, F.coalesce("__same", "__any")
-    )
+    got = v.find_both(distinct, vault)
+    got = got.join(F.broadcast(rules.select("entity_type", "operator", "new_value")), "entity_type", "left")
+    found = F.when(F.col("operator") == FPE, F.col("same")).when(F.col("operator") == FAKE, F.coalesce("same", "anywhere"))
     fallback = F.coalesce("new_value", F.concat(F.lit("<"), F.col("entity_type"), F.lit(">")))
     return got.select("entity_type", "real_value", F.coalesce(found, fallback).alias("replacement"))

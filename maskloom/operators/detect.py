@@ -100,6 +100,20 @@ def pieces(leaf_rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def as_units(leaf_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Leaves as units without looking for HTML in them."""
+    none = F.lit([]).cast(markup.SHIFT)
+    at = F.struct(F.col("leaf_start").alias("leaf"), "leaf_moved", F.lit(0).alias("piece"), none.alias("piece_moved"))
+    return leaf_rows.select(
+        *keys,
+        F.struct("leaf_no", F.lit(0).alias("piece_no")).alias("unit"),
+        "path",
+        "text",
+        at.cast(AT).alias("at"),
+        F.col("json").cast("int").alias("quote"),
+    )
+
+
 def placed(findings: DataFrame) -> DataFrame:
     """Turn unit offsets into document offsets."""
     at = F.col("at")

@@ -111,6 +111,30 @@ def find_surrogate_anywhere(rows: DataFrame, vault: DataFrame, out: str = "surro
     )
 
 
+def find_both(distinct: DataFrame, vault: DataFrame) -> DataFrame:
+    """For distinct ``(entity_type, real_value, ...)``: ``same`` (within the type) and
+    ``anywhere`` (any type) in one join. Other columns of ``distinct`` must be per value."""
+    fwd = forward(vault)
+    ages = fwd.groupBy("entity_type").agg(F.min("seq").alias("__age"))
+    table = fwd.join(F.broadcast(ages), "entity_type").select(
+        F.lower("real_value").alias("__k"), F.col("entity_type").alias("__type"),
+        F.col("real_value").alias("__real"), F.col("surrogate").alias("__s"), "__age", F.col("seq").alias("__seq"),
+    )
+    inexact = (F.col("__real") != F.col("real_value")).cast("int")
+    typed = F.when(F.col("__type") == F.col("entity_type"), F.struct(inexact, F.col("__seq")))
+    rest = [c for c in distinct.columns if c not in ("entity_type", "real_value")]
+    return (
+        distinct.withColumn("__k", F.lower("real_value"))
+        .join(table, "__k", "left")
+        .groupBy("entity_type", "real_value")
+        .agg(
+            F.min_by("__s", typed).alias("same"),
+            F.min_by("__s", F.struct(inexact, F.col("__age"), F.col("__seq"))).alias("anywhere"),
+            *[F.first(c).alias(c) for c in rest],
+        )
+    )
+
+
 def find_real(rows: DataFrame, vault: DataFrame, out: str = "real_value") -> DataFrame:
     """(type, surrogate) -> real, exact only."""
     return spread_join(

@@ -90,6 +90,7 @@ def discover(
     extra = hooked(units, keys, policy, hooks)
     if extra is not None:
         found = found.unionByName(extra)
+    found = materialize(found)  # the text is read once; what follows works on narrow rows
     partial = found.where(F.col("phase") == "partial")
     found = detect.without_known_surrogates(found.where(F.col("phase") != "partial"), vault)
     answers = v.reconcile(partial.select("entity_type", F.col("value").alias("partial")), vault)
@@ -103,6 +104,26 @@ def discover(
     return found.select(ruled.columns).unionByName(partial.select(ruled.columns)).unionByName(ruled)
 
 
+def _blobs(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole-text SECRET findings."""
+    size = F.length("text")
+    return docs.where(~tx.blank(F.col("text"))).select(
+        *keys,
+        F.struct(F.lit(0).alias("leaf_no"), F.lit(0).alias("piece_no")).alias("unit"),
+        F.lit("").alias("path"),
+        F.lit(0).alias("start"),
+        size.alias("end"),
+        F.lit("SECRET").alias("entity_type"),
+        F.col("text").alias("value"),
+        F.lit(1.0).alias("score"),
+        F.lit("blob").alias("phase"),
+        F.lit(None).cast("string").alias("surrogate"),
+        F.lit(0).alias("doc_start"),
+        size.alias("doc_end"),
+        F.lit(0).alias("quote"),
+    )
+
+
 def _quoted(replacement: Column, quote: Column) -> Column:
     html = F.when(quote.bitwiseAND(2) > 0, tx.html_quoted(replacement)).otherwise(replacement)
     return F.when(quote.bitwiseAND(1) > 0, tx.json_quoted(html)).otherwise(html)
@@ -156,13 +177,23 @@ def mask(
 ) -> Masked:
     """Mask ``docs(keys, text, ...)``; other columns pass through.
 
+    A boolean column ``blob``, when there, marks texts replaced whole as one SECRET.
+
     ``rescan``: look for all vault values, those added by this call included. Without it
     only findings are replaced (no second pass over the text when the vault is empty).
     """
     spark = docs.sparkSession
     vault = v.empty_vault(spark) if vault is None else vault
-    source = spread(docs.select(*keys, *[c for c in ("path", "text") if c in docs.columns]))
-    found = materialize(discover(source, keys, policy, vault, gazetteer=gazetteer, hooks=hooks, kind=kind))
+    source = docs.select(*keys, *[c for c in ("path", "text", "blob") if c in docs.columns])
+    blobs = None
+    if "blob" in docs.columns:
+        blobs = _blobs(source.where("blob"), keys)
+        source = source.where(~F.col("blob")).drop("blob")
+    source = spread(source)
+    found = discover(source, keys, policy, vault, gazetteer=gazetteer, hooks=hooks, kind=kind)
+    if blobs is not None:
+        found = found.unionByName(blobs.select(found.columns))
+    found = materialize(found)
     seen = [r[0] for r in found.select("entity_type").distinct().collect()]
     rules = policy_table(spark, policy, key, [*seen, "PERSON"])
 
