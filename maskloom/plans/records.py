@@ -167,10 +167,21 @@ def mask_calls(
     out = joined.withColumn("masked_count", F.coalesce("masked_count", F.lit(0)))
     out = out.withColumns(
         {
-            "content": tx.content_with_notice(content, F.col("masked_count"), policy),
+            "content": content,
             "entity_types": F.coalesce("entity_types", F.lit([]).cast("array<string>")),
         }
     ).drop("__items")
+    added, vault = done.added, done.vault
     if "structured" in calls.columns:
         out = out.withColumn("structured", F.when(~F.col("sensitive"), F.col("structured")))
-    return Masked(out, done.findings, done.vault, done.added), audit.events_of(out, keys)
+        texts = out.withColumnsRenamed({"entity_types": "__types", "masked_count": "__count"})
+        both = mask_columns(texts, keys, ["structured"], policy, key, vault, **options)
+        out = both.documents.withColumns(
+            {
+                "entity_types": F.array_distinct(F.concat("__types", "entity_types")),
+                "masked_count": F.col("__count") + F.col("masked_count"),
+            }
+        ).drop("__types", "__count")
+        added, vault = added.unionByName(both.added), both.vault
+    out = out.withColumn("content", tx.content_with_notice(F.col("content"), F.col("masked_count"), policy))
+    return Masked(out, done.findings, vault, added), audit.events_of(out, keys)
