@@ -31,6 +31,15 @@ _KINDS = {
     "slack_id": SLACK_ID,
     "prefix_id": PREFIX_ID,
 }
+# cheap tests: found in every text the kind occurs in
+_TESTS = {
+    "json_key": '"',
+    "url": "https?://",
+    "domain": rf"\.(?:{TLDS}){RIGHT}",
+    "uuid": "[0-9a-fA-F]-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-",
+    "slack_id": "[CUTWGDE][A-Z0-9]{8}",
+    "prefix_id": "[a-z]_[A-Za-z0-9]{8}",
+}
 ID_KINDS = ("uuid", "slack_id", "prefix_id")
 
 
@@ -57,7 +66,7 @@ def protected_spans(text: Column, kinds=tuple(_KINDS)) -> Column:
 
     def tagged(kind: str) -> Column:
         return F.transform(
-            regex_spans(text, _KINDS[kind]),
+            regex_spans(text, _KINDS[kind], _TESTS[kind]),
             lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
         )
 

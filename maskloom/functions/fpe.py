@@ -30,25 +30,28 @@ def _round_value(half: Column, index: Column) -> Column:
 
 def _fold(hexed: Column, modulus: Column) -> Column:
     """128-bit hex number modulo ``modulus``, four hex digits at a time."""
-    acc = F.lit(0).cast("long")
-    for i in range(8):
-        part = F.conv(F.substring(hexed, 1 + 4 * i, 4), 16, 10).cast("long")
-        acc = (acc * F.lit(65536) + part) % modulus
-    return acc
+    return F.aggregate(
+        F.regexp_extract_all(hexed, F.lit(".{4}"), F.lit(0)),
+        F.lit(0).cast("long"),
+        lambda acc, part: (acc * F.lit(65536) + F.conv(part, 16, 10).cast("long")) % modulus,
+    )
 
 
 def _spread_digits(value: Column, digits: Column) -> Column:
-    """Put ``digits`` back at the digit positions of ``value``."""
+    """Put ``digits`` back at the digit positions of ``value``.
+
+    The digits ride in the state, so that they are computed once and not per character.
+    """
     return F.aggregate(
         F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)),
-        F.struct(F.lit(0).alias("n"), F.lit("").alias("out")),
+        F.struct(digits.alias("left"), F.lit("").alias("out")),
         lambda acc, ch: F.when(
             ch.between("0", "9"),
             F.struct(
-                (acc["n"] + 1).alias("n"),
-                F.concat(acc["out"], F.substring(digits, acc["n"] + 1, F.lit(1))).alias("out"),
+                F.substring(acc["left"], F.lit(2), F.length(acc["left"])).alias("left"),
+                F.concat(acc["out"], F.left(acc["left"], F.lit(1))).alias("out"),
             ),
-        ).otherwise(F.struct(acc["n"].alias("n"), F.concat(acc["out"], ch).alias("out"))),
+        ).otherwise(F.struct(acc["left"].alias("left"), F.concat(acc["out"], ch).alias("out"))),
         lambda acc: acc["out"],
     )
 
@@ -64,19 +67,28 @@ def fpe(df: DataFrame, value: str, out: str, decrypt: bool = False) -> DataFrame
     padded = F.when(F.length(digits) < MIN_DIGITS, F.lpad(digits, MIN_DIGITS, "0")).otherwise(digits)
     size = F.greatest(F.length(digits), F.lit(MIN_DIGITS))
     upper, lower = F.ceil(size / 2).cast("int"), F.floor(size / 2).cast("int")
+
+    def power(n: Column) -> Column:
+        return F.rpad(F.lit("1"), n + 1, F.lit("0")).cast("long")
+
     start = F.struct(
-        F.left(padded, upper).alias("a"), F.right(padded, lower).alias("b"), upper.alias("u"), lower.alias("v")
+        F.left(padded, upper).alias("a"),
+        F.right(padded, lower).alias("b"),
+        upper.alias("u"),
+        lower.alias("v"),
+        power(upper).alias("pu"),
+        power(lower).alias("pv"),
     )
 
     def step(acc: Column, i: Column) -> Column:
         width = F.when(i % 2 == 0, acc["u"]).otherwise(acc["v"])
-        modulus = F.rpad(F.lit("1"), width + 1, F.lit("0")).cast("long")
+        modulus = F.when(i % 2 == 0, acc["pu"]).otherwise(acc["pv"])
         keep, turn = (acc["a"], acc["b"]) if decrypt else (acc["b"], acc["a"])
         added, old = _fold(_round_value(keep, i), modulus), F.reverse(turn).cast("long")
         total = F.pmod(old - added, modulus) if decrypt else (old + added) % modulus
         fresh = F.reverse(F.lpad(total.cast("string"), width, F.lit("0")))
         a, b = (fresh, keep) if decrypt else (keep, fresh)
-        return F.struct(a.alias("a"), b.alias("b"), acc["u"].alias("u"), acc["v"].alias("v"))
+        return F.struct(a.alias("a"), b.alias("b"), *[acc[c].alias(c) for c in ("u", "v", "pu", "pv")])
 
     rounds = range(ROUNDS - 1, -1, -1) if decrypt else range(ROUNDS)
     made = F.aggregate(

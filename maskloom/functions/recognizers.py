@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from maskloom.functions.spans import LEFT, RIGHT, regex_spans, unicode_edges
+from maskloom.functions.spans import LEFT, RIGHT, SPACE, regex_spans, unicode_edges, without_edges
 from maskloom.policy import Policy
 
 FINDING = "array<struct<entity_type:string,start:int,end:int,value:string,score:double,phase:string>>"
@@ -41,17 +41,17 @@ def valid_card(value: Column) -> Column:
     return F.call_function("luhn_check", digits(value))
 
 
-# entity, pattern, score, check on the matched text
-BUILTIN: tuple[tuple[str, str, float, Callable[[Column], Column] | None], ...] = (
-    ("EMAIL_ADDRESS", rf"(?<![A-Za-z0-9]){EMAIL}{RIGHT}", 1.0, None),
-    ("PHONE_NUMBER", rf"{LEFT}{PHONE}{RIGHT}", 0.75, None),
-    ("US_SSN", rf"{LEFT}{SSN}{RIGHT}", 0.85, valid_ssn),
-    ("CREDIT_CARD", rf"{LEFT}{CARD}{RIGHT}", 1.0, valid_card),
+# entity, pattern, cheap test, score, check on the matched text
+BUILTIN: tuple[tuple[str, str, str, float, Callable[[Column], Column] | None], ...] = (
+    ("EMAIL_ADDRESS", rf"(?<![A-Za-z0-9]){EMAIL}{RIGHT}", "[A-Za-z0-9._%+-]@[A-Za-z0-9-]", 1.0, None),
+    ("PHONE_NUMBER", rf"{LEFT}{PHONE}{RIGHT}", "[0-9]{4}", 0.75, None),
+    ("US_SSN", rf"{LEFT}{SSN}{RIGHT}", "-[0-9]{2}-[0-9]{4}", 0.85, valid_ssn),
+    ("CREDIT_CARD", rf"{LEFT}{CARD}{RIGHT}", "[0-9]{4}", 1.0, valid_card),
 )
 
 
-def _findings(text: Column, entity: str, pattern: str, score: float, phase: str, check=None) -> Column:
-    spans = regex_spans(text, pattern)
+def _findings(text: Column, entity: str, pattern: str, test: str, score: float, phase: str, check=None) -> Column:
+    spans = regex_spans(text, pattern, test)
     if check is not None:
         spans = F.filter(spans, lambda s: check(s["value"]))
     return F.transform(
@@ -69,7 +69,7 @@ def _findings(text: Column, entity: str, pattern: str, score: float, phase: str,
 
 def custom_findings(text: Column, policy: Policy) -> Column:
     parts = [
-        _findings(text, r.entity, unicode_edges(r.pattern), r.score, "recognizer")
+        _findings(text, r.entity, unicode_edges(r.pattern), without_edges(r.pattern), r.score, "recognizer")
         for r in policy.recognizers
         if r.score >= BASE_THRESHOLD
     ]
@@ -78,18 +78,19 @@ def custom_findings(text: Column, policy: Policy) -> Column:
 
 def builtin_findings(text: Column, entities=None) -> Column:
     parts = [
-        _findings(text, entity, pattern, score, "recognizer", check)
-        for entity, pattern, score, check in BUILTIN
+        _findings(text, entity, pattern, test, score, "recognizer", check)
+        for entity, pattern, test, score, check in BUILTIN
         if entities is None or entity in entities
     ]
     return F.concat(*parts) if parts else F.lit([]).cast(FINDING)
 
 
 def partial_findings(text: Column) -> Column:
-    from maskloom.functions.spans import SPACE
-
     return F.concat(
-        *[_findings(text, entity, p.replace("%s", SPACE), 1.0, "partial") for entity, p in PARTIAL_PATTERNS]
+        *[
+            _findings(text, entity, p.replace("%s", SPACE), "[*X]-[0-9]{4}", 1.0, "partial")
+            for entity, p in PARTIAL_PATTERNS
+        ]
     )
 
 

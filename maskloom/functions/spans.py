@@ -20,13 +20,21 @@ def unicode_edges(pattern: str) -> str:
     return pattern.replace(r"\b", edge)
 
 
-def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
+def without_edges(pattern: str) -> str:
+    """A cheaper pattern that matches wherever ``pattern`` does: its edges taken away."""
+    if "(?!" in pattern or "(?<!" in pattern:
+        return pattern
+    return pattern.replace(r"\b", "")
+
+
+def regex_spans(text: Column, pattern: str, test: str | None = None) -> Column:
     """Every non-overlapping match with its half-open character offsets.
 
-    The pattern runs once as a cheap test; only rows that match pay for the two
-    passes that give the matches and the text between them.
+    ``test`` is a cheap pattern found in every text that ``pattern`` matches. It runs
+    first; only rows that pass pay for the two passes that give the matches and the
+    text between them. Most rows of most tables have no match at all.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.arrays_zip(found.alias("hit"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
     walked = F.aggregate(
@@ -47,7 +55,7 @@ def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    return F.when(text.rlike(pattern), walked).otherwise(F.lit([]).cast(SPAN))
+    return F.when(text.rlike(test or pattern), walked).otherwise(F.lit([]).cast(SPAN))
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -270,9 +270,10 @@ def _placed_columns(hits, key):
     )
 
 
-_GAZETTEER = """SELECT n_name AS term, CASE WHEN n_nationkey % 2 = 0 THEN 'LOCATION' ELSE 'ORGANIZATION' END AS entity_type,
+_PLACE = "'Land' || translate(cast(n_nationkey as string), '0123456789', 'abcdefghij') || ' Bay'"
+_GAZETTEER = f"""SELECT {_PLACE} AS term, CASE WHEN n_nationkey % 2 = 0 THEN 'LOCATION' ELSE 'ORGANIZATION' END AS entity_type,
  cast(0.6 + (n_nationkey % 4) * 0.1 AS double) AS score FROM nation"""
-_PLACES = f"""SELECT c_custkey, 'From ' || n_name || ', to ' || lower(n_name) || ' and x' || n_name || ' via ' || full_name AS text
+_PLACES = f"""SELECT c_custkey, 'From ' || {_PLACE} || ', to ' || lower({_PLACE}) || ' and x' || {_PLACE} || ' via ' || full_name AS text
  FROM ({inp.PEOPLE}) p JOIN nation ON c_nationkey = n_nationkey"""
 
 
@@ -512,3 +513,575 @@ def _(spark, sf):
     return detect.resolve(rows, ["l_orderkey"]).select(
         "l_orderkey", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "score", "entity_type"
     )
+
+
+# ── Transforms ───────────────────────────────────────────────────────────
+
+_NUMBERS = f"""SELECT 'PHONE_NUMBER' AS entity_type, phone AS real_value FROM ({inp.PEOPLE}) p UNION SELECT 'US_SSN', ssn FROM ({inp.PEOPLE}) p
+ UNION SELECT 'CREDIT_CARD', lpad(cast(c_custkey * 7907 as string), 16, '4') FROM customer"""
+
+
+def _keyed(spark, df) -> DataFrame:
+    rules = policy_table(spark, default_policy(), CHECK_KEY, ["URL", "OTHER"])
+    return df.join(F.broadcast(rules), "entity_type")
+
+
+@query(
+    "T1_format_preserving",
+    f"""SELECT entity_type, real_value, regexp_replace(real_value, '[0-9]', '9', 'g') AS shape, true AS changed, true AS reversible FROM ({_NUMBERS}) n""",
+)
+def _(spark, sf):
+    made = materialize(fpe(_keyed(spark, load(spark, sf, _NUMBERS)), "real_value", "made"))
+    back = fpe(made, "made", "back", decrypt=True)
+    return back.select(
+        "entity_type",
+        "real_value",
+        F.regexp_replace("made", "[0-9]", "9").alias("shape"),
+        (F.col("made") != F.col("real_value")).alias("changed"),
+        (F.col("back") == F.col("real_value")).alias("reversible"),
+    )
+
+
+@query("T2_fpe_decrypt", f"SELECT entity_type, real_value FROM ({_NUMBERS}) n")
+def _(spark, sf):
+    made = materialize(fpe(_keyed(spark, load(spark, sf, _NUMBERS)), "real_value", "made").drop("real_value"))
+    return fpe(made, "made", "real_value", decrypt=True).select("entity_type", "real_value")
+
+
+_IPAD, _OPAD = (p.hex() for p in hmac_pads(CHECK_KEY))
+
+
+def _list_sql(words) -> str:
+    return "[" + ",".join(f"'{w}'" for w in words) + "]"
+
+
+def _pick_sql(words, index: str) -> str:
+    return f"({_list_sql(words)})[cast(({index}) % {len(words)} as bigint) + 1]"
+
+
+def fake_sql(source: str) -> str:
+    """The surrogate of ``source(entity_type, real_value)`` at the first attempt."""
+    first = (
+        _pick_sql(sur.ONSETS, "seed")
+        + "||"
+        + _pick_sql(sur.NUCLEI, f"seed // {len(sur.ONSETS)}")
+        + "||"
+        + _pick_sql(sur.ENDINGS, f"seed // {len(sur.ONSETS) * len(sur.NUCLEI)}")
+    )
+    last = (
+        _pick_sql(sur.STEMS, "high")
+        + "||"
+        + _pick_sql(sur.LINKS, f"high // {len(sur.STEMS)}")
+        + "||"
+        + _pick_sql(sur.TAILS, f"high // {len(sur.STEMS) * len(sur.LINKS)}")
+    )
+    mac = hmac_sql("entity_type || ':' || real_value", _IPAD, _OPAD)
+    return f"""SELECT entity_type, real_value, CASE entity_type
+   WHEN 'EMAIL_ADDRESS' THEN lower(f) || '.' || lower(l) || substr(mac, 9, 4) || '@' || {_pick_sql(sur.DOMAINS, 'high')}
+   WHEN 'LOCATION' THEN l WHEN 'ADDRESS' THEN cast(seed % 9000 + 100 as string) || ' ' || l || ' ' || {_pick_sql(sur.STREETS, 'seed')}
+   WHEN 'ORGANIZATION' THEN l || ' ' || {_pick_sql(sur.FIRMS, 'seed')}
+   WHEN 'URL' THEN 'https://' || lower(l) || substr(mac, 9, 4) || '.example.com/'
+   WHEN 'SECRET' THEN 'Zq' || substr(mac, 9, 20) || '#7' ELSE f || ' ' || l END AS surrogate
+ FROM (SELECT *, {first} AS f, {last} AS l FROM (
+   SELECT *, seed // {sur.FIRSTS} AS high FROM (
+     SELECT *, ('0x' || substr(mac, 1, 8))::BIGINT AS seed FROM (SELECT *, {mac} AS mac FROM ({source}) s0) s1) s2) s3) s4"""
+
+
+_FAKES = f"""SELECT CASE c_custkey % 8 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'EMAIL_ADDRESS' WHEN 2 THEN 'LOCATION' WHEN 3 THEN 'ADDRESS' WHEN 4 THEN 'ORGANIZATION'
+ WHEN 5 THEN 'URL' WHEN 6 THEN 'SECRET' ELSE 'OTHER' END AS entity_type, full_name AS real_value FROM ({inp.PEOPLE}) p"""
+
+
+@query("T3_deterministic_fake", fake_sql(_FAKES))
+def _(spark, sf):
+    return sur.with_fake(_keyed(spark, load(spark, sf, _FAKES)), "surrogate").select("entity_type", "real_value", "surrogate")
+
+
+_DISPATCH = Policy(
+    entities={
+        "PERSON": EntityRule("deterministic_faker"),
+        "US_SSN": EntityRule("fpe", tweak="D8E7920AFA330A73"),
+        "LOCATION": EntityRule(REPLACE, new_value="<PLACE>"),
+        "ORGANIZATION": EntityRule("shuffle"),
+        "DEFAULT": EntityRule(REPLACE, new_value="<REDACTED>"),
+    }
+)
+
+
+@query(
+    "T5_operator_dispatch",
+    f"""SELECT l_orderkey, l_linenumber, entity_type, CASE entity_type WHEN 'PERSON' THEN 'deterministic_faker' ELSE 'replace' END AS operator,
+        CASE entity_type WHEN 'LOCATION' THEN '<PLACE>' WHEN 'ORGANIZATION' THEN '<ORGANIZATION>' WHEN 'PERSON' THEN '<PERSON>' ELSE '<REDACTED>' END AS replacement
+        FROM ({_SCORED_DUCK}) s""",
+)
+def _(spark, sf):
+    rows = load(spark, sf, _SCORED)
+    seen = [r[0] for r in rows.select("entity_type").distinct().collect()]
+    rules = policy_table(spark, _DISPATCH, CHECK_KEY, seen)
+    return rows.join(F.broadcast(rules), "entity_type").select(
+        "l_orderkey", "l_linenumber", "entity_type", "operator", F.col("new_value").alias("replacement")
+    )
+
+
+_BLOBS = f"SELECT o_orderkey, text, o_orderkey % 2 = 0 AS blob FROM ({inp.NOTES}) n"
+
+
+@query(
+    "T6_secret_blob",
+    f"""SELECT o_orderkey, CASE WHEN blob THEN surrogate ELSE text END AS text FROM ({_BLOBS}) b
+        LEFT JOIN ({fake_sql(f"SELECT DISTINCT 'SECRET' AS entity_type, text AS real_value FROM ({_BLOBS}) b WHERE blob")}) f ON text = real_value AND blob""",
+)
+def _(spark, sf):
+    policy = Policy(entities={"SECRET": EntityRule("deterministic_faker")})
+    return mask(load(spark, sf, _BLOBS), ["o_orderkey"], policy, CHECK_KEY, rescan=False).documents.select("o_orderkey", "text")
+
+
+_PAGES = "SELECT page_id, html AS text FROM pages"
+
+
+@query(
+    "T7_html_mask",
+    f"""SELECT page_id, regexp_replace(html, '{RE2_EMAIL}', '&lt;EMAIL_ADDRESS&gt;', 'g') AS text FROM pages""",
+)
+def _(spark, sf):
+    return mask(load(spark, sf, _PAGES), ["page_id"], EMAIL_ONLY, CHECK_KEY, rescan=False).documents.select("page_id", "text")
+
+
+@query("T8_span_splice", f"SELECT doc_id, regexp_replace(text, '{RE2_EMAIL}', '<EMAIL_ADDRESS>', 'g') AS text FROM documents")
+def _(spark, sf):
+    found = rec.builtin_findings(F.col("text"), {"EMAIL_ADDRESS"})
+    edits = F.transform(
+        found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.lit("<EMAIL_ADDRESS>").alias("replacement"))
+    )
+    return load(spark, sf, _DOCUMENTS).select("doc_id", splice(F.col("text"), edits).alias("text"))
+
+
+# ── Vault ────────────────────────────────────────────────────────────────
+
+# Probes: each vault value as written, in capitals, with a wrong type, and unknown.
+_PROBES = f"""SELECT seq AS probe, CASE seq % 4 WHEN 3 THEN 'SECRET' ELSE entity_type END AS entity_type,
+ CASE seq % 5 WHEN 0 THEN upper(real_value) WHEN 1 THEN real_value || '?' ELSE real_value END AS real_value,
+ CASE seq % 5 WHEN 0 THEN upper(surrogate) WHEN 1 THEN surrogate || '?' ELSE surrogate END AS surrogate FROM ({inp.VAULT}) v"""
+
+
+def _lookup_sql(column: str, value: str, how: str, typed: bool) -> str:
+    both = "p.entity_type = v.entity_type AND " if typed else ""
+    on = f"lower(p.{column}) = lower(v.{column})" if how == "ci" else f"p.{column} = v.{column}"
+    return f"""SELECT p.probe, p.entity_type, p.{column}, v.{value} FROM ({_PROBES}) p LEFT JOIN ({inp.VAULT}) v ON {both}{on}"""
+
+
+@query("V1_forward_lookup", _lookup_sql("real_value", "surrogate", "ci", True))
+def _(spark, sf):
+    return v.find_surrogate(load(spark, sf, _PROBES).drop("surrogate"), load(spark, sf, inp.VAULT))
+
+
+@query("V2_forward_any_type", _lookup_sql("real_value", "surrogate", "ci", False))
+def _(spark, sf):
+    return v.find_surrogate_anywhere(load(spark, sf, _PROBES).drop("surrogate"), load(spark, sf, inp.VAULT)).drop("found_type")
+
+
+@query("V3_reverse_typed", _lookup_sql("surrogate", "real_value", "exact", True))
+def _(spark, sf):
+    return v.find_real(load(spark, sf, _PROBES).drop("real_value"), load(spark, sf, inp.VAULT))
+
+
+@query(
+    "V4_reverse_any_type",
+    f"""SELECT p.probe, p.entity_type, p.surrogate, coalesce(v.real_value, p.surrogate) AS restored
+        FROM ({_PROBES}) p LEFT JOIN ({inp.VAULT}) v ON lower(p.surrogate) = lower(v.surrogate)""",
+)
+def _(spark, sf):
+    return v.restore(load(spark, sf, _PROBES).drop("real_value"), load(spark, sf, inp.VAULT))
+
+
+# Rewrites of a third of the vault, later in time; some twice.
+_UPDATES = f"""SELECT entity_type, real_value, surrogate || '-' || cast(n as string) AS surrogate, seq + 1000000 * n AS seq, false AS derived
+ FROM ({inp.VAULT}) v CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) k WHERE seq % 3 = 0 AND (n = 1 OR seq % 2 = 0)"""
+
+
+@query(
+    "V5_upsert",
+    f"""SELECT entity_type, real_value, arg_max(surrogate, seq) AS surrogate, max(seq) AS seq
+        FROM ({inp.VAULT} UNION ALL {_UPDATES}) u GROUP BY entity_type, real_value""",
+)
+def _(spark, sf):
+    return v.upsert(load(spark, sf, inp.VAULT), load(spark, sf, _UPDATES)).drop("derived")
+
+
+# Names of few words, so that first names repeat and surrogate words clash.
+_PAIRS = f"""SELECT 'PERSON' AS entity_type, first_name || ' ' || last_name AS real_value,
+ split_part('Rea,Sol,Tam,Uwe,Vic,Wim,Xia,Yan', ',', cast(c_custkey % 8 + 1 as int)) || ' Z' || substr(last_name, 1, 4) AS surrogate,
+ c_custkey AS seq, false AS derived FROM ({inp.PEOPLE}) p"""
+_PAIR_WORDS = f"""SELECT split_part(real_value, ' ', n) AS r, split_part(surrogate, ' ', n) AS s, seq * 10 + n AS o
+ FROM ({_PAIRS}) p CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) k"""
+
+
+@query(
+    "V6_subtokens",
+    f"""SELECT arg_min(r, o) AS real_value, s AS surrogate FROM (
+        SELECT r, arg_min(s, o) AS s, min(o) AS o FROM ({_PAIR_WORDS}) w GROUP BY r) x GROUP BY s""",
+)
+def _(spark, sf):
+    return v.subtokens(load(spark, sf, _PAIRS), v.empty_vault(spark)).select("real_value", "surrogate")
+
+
+_CLAIMS = f"""SELECT entity_type, real_value, CASE c_custkey % 3 WHEN 0 THEN 'Taken ' || cast(c_custkey % 30 as string) WHEN 1 THEN 'Own ' || cast(c_custkey as string)
+ ELSE vs END AS candidate FROM (SELECT 'LOCATION' AS entity_type, full_name || '!' AS real_value, c_custkey,
+ 'q{{}}' || cast(c_custkey as string) AS q, 'Q' || {inp._word('c_custkey')} || ' Z' || {inp._word('c_custkey * 3 + 1')} AS vs FROM ({inp.PEOPLE}) p) x"""
+
+
+@query(
+    "V7_collision_test",
+    f"""SELECT entity_type, real_value, candidate, NOT starts_with(candidate, 'Own') AND (starts_with(candidate, 'Q') OR
+        count(*) OVER (PARTITION BY lower(candidate)) > 1) AS collides FROM ({_CLAIMS}) c""",
+)
+def _(spark, sf):
+    return v.collisions(load(spark, sf, _CLAIMS), load(spark, sf, inp.VAULT))
+
+
+@query(
+    "V8_unique_assignment",
+    f"""SELECT count(*) AS assigned, count(*) AS distinct_surrogates, 0 AS reused_reals FROM (
+        SELECT 'PERSON', full_name FROM ({inp.PEOPLE}) p UNION SELECT 'LOCATION', email FROM ({inp.PEOPLE}) p UNION SELECT 'US_SSN', ssn FROM ({inp.PEOPLE}) p) x""",
+)
+def _(spark, sf):
+    values = load(
+        spark,
+        sf,
+        f"""SELECT 'PERSON' AS entity_type, full_name AS real_value, c_custkey AS ord FROM ({inp.PEOPLE}) p
+            UNION ALL SELECT 'LOCATION', email, c_custkey FROM ({inp.PEOPLE}) p UNION ALL SELECT 'US_SSN', ssn, c_custkey FROM ({inp.PEOPLE}) p""",
+    )
+    rules = policy_table(spark, default_policy(), CHECK_KEY)
+    made = asg.assign(values, v.empty_vault(spark), rules).where("not derived")
+    reals = values.select(F.lower("real_value").alias("k")).distinct()
+    used = made.select(F.lower("surrogate").alias("k")).join(reals, "k", "left_semi").agg(F.count(F.lit(1)).alias("reused_reals"))
+    counts = made.agg(F.count(F.lit(1)).alias("assigned"), F.count_distinct(F.lower("surrogate")).alias("distinct_surrogates"))
+    return counts.withColumn("one", F.lit(1)).join(used.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+_PARTIAL_SSN = f"SELECT DISTINCT 'US_SSN' AS entity_type, '***-**-' || substr(ssn, 8, 4) AS partial FROM ({inp.PEOPLE}) p UNION SELECT 'US_SSN', 'XXX-' || substr(ssn, 5, 7) FROM ({inp.PEOPLE}) p"
+_VAULT_SSN = f"SELECT * FROM ({inp.VAULT}) v WHERE entity_type = 'US_SSN'"
+
+
+@query(
+    "V9_partial_reconciliation",
+    f"""SELECT 'US_SSN' AS entity_type, partial, max(surrogate) AS surrogate FROM (
+        SELECT '***-**-' || right(real_value, 4) AS partial, surrogate FROM ({_VAULT_SSN}) a
+        UNION ALL SELECT 'XXX-' || right(real_value, 7), surrogate FROM ({_VAULT_SSN}) b) x GROUP BY partial HAVING count(*) = 1""",
+)
+def _(spark, sf):
+    return v.reconcile(load(spark, sf, _PARTIAL_SSN), load(spark, sf, inp.VAULT))
+
+
+@query(
+    "V11_vault_summary",
+    f"SELECT entity_type, count(*) AS entries FROM ({inp.VAULT}) v GROUP BY entity_type UNION ALL SELECT NULL, count(*) FROM ({inp.VAULT}) v",
+)
+def _(spark, sf):
+    return v.summary(load(spark, sf, inp.VAULT))
+
+
+@query(
+    "V12_vault_listing",
+    f"""SELECT entity_type, CASE WHEN length(real_value) > 4 THEN left(real_value, 2) || repeat('*', length(real_value) - 4) || right(real_value, 2) ELSE '****' END AS real_shown,
+        surrogate FROM ({inp.VAULT}) v""",
+)
+def _(spark, sf):
+    return v.listing(load(spark, sf, inp.VAULT))
+
+
+# ── Reversal ─────────────────────────────────────────────────────────────
+
+_MENTIONS = f"""SELECT o_orderkey, s_name, s_mail, full_name, email, o_orderkey % 4 AS form, CASE o_orderkey % 4
+   WHEN 0 THEN 'To ' || s_name || ' <' || s_mail || '>' WHEN 1 THEN 'x' || s_name || 'y, ' || upper(s_name)
+   WHEN 2 THEN lower(s_name) || '; ' || s_mail || 'z' ELSE 'nobody' END AS text
+ FROM (SELECT o_orderkey, full_name, email, 'Q' || {inp._word('c_custkey')} || ' Z' || {inp._word('c_custkey * 3 + 1')} AS s_name,
+         'u' || substr(md5(email), 1, 10) || '@example.net' AS s_mail FROM orders JOIN ({inp.PEOPLE}) p ON o_custkey = c_custkey) m"""
+_NAMES_VAULT = f"SELECT * FROM ({inp.VAULT}) v WHERE entity_type IN ('PERSON', 'EMAIL_ADDRESS')"
+
+
+@query(
+    "M1_demask_text",
+    f"""SELECT o_orderkey, CASE form WHEN 0 THEN 'To ' || full_name || ' <' || email || '>' WHEN 1 THEN 'x' || full_name || 'y, ' || upper(s_name)
+          WHEN 2 THEN lower(s_name) || '; ' || email || 'z' ELSE 'nobody' END AS demasked,
+        CASE form WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS replaced FROM ({_MENTIONS}) m""",
+)
+def _(spark, sf):
+    done = demask.demask(docs_of(spark, sf, _MENTIONS, "o_orderkey"), ["o_orderkey"], load(spark, sf, _NAMES_VAULT))
+    return done.select("o_orderkey", "demasked", F.size("replacements").alias("replaced"))
+
+
+@query(
+    "M3_demap_string",
+    f"""SELECT o_orderkey, CASE form WHEN 0 THEN 'To ' || full_name || ' <' || email || '>' WHEN 1 THEN 'x' || s_name || 'y, ' || full_name
+          WHEN 2 THEN full_name || '; ' || s_mail || 'z' ELSE 'nobody' END AS text FROM ({_MENTIONS}) m""",
+)
+def _(spark, sf):
+    docs = docs_of(spark, sf, _MENTIONS, "o_orderkey")
+    return demask.demap(docs, ["o_orderkey"], default_policy(), load(spark, sf, _NAMES_VAULT), kind="value").select("o_orderkey", "text")
+
+
+_ARGS = """'{"q":"find ' || lower(%s) || '","items":["x ' || %s || '",3,{"n":"' || upper(%s) || '","z":"' || %s || 'z"}],"skip":{"n":"' || %s || '"},"form":' || cast(form as string) || '}'"""
+
+
+def _args(*values) -> str:
+    return f"SELECT o_orderkey, form, {_ARGS % values} AS text FROM ({_MENTIONS}) m"
+
+
+_ARGS_IN = _args("s_name", "s_mail", "s_name", "s_name", "s_name")
+_ARGS_OUT = (
+    f"""SELECT o_orderkey, form, '{{"q":"find ' || full_name || '","items":["x ' || email || '",3,{{"n":"' || full_name || '","z":"' || s_name
+    || 'z"}}],"skip":{{"n":"' || s_name || '"}},"form":' || cast(form as string) || '}}' AS text FROM ({_MENTIONS}) m"""
+)
+_SKIP = default_policy().with_(never_mask_paths=("skip",))
+
+
+@query("M4_demap_arguments", f"SELECT o_orderkey, text FROM ({_ARGS_OUT}) a")
+def _(spark, sf):
+    docs = docs_of(spark, sf, _ARGS_IN, "o_orderkey")
+    return demask.demap(docs, ["o_orderkey"], _SKIP, load(spark, sf, _NAMES_VAULT)).select("o_orderkey", "text")
+
+
+@query("M5_demap_change_count", f"SELECT o_orderkey, 3 AS changed FROM ({_ARGS_OUT}) a")
+def _(spark, sf):
+    return demask.count_changes(docs_of(spark, sf, _ARGS_IN, "o_orderkey"), docs_of(spark, sf, _ARGS_OUT, "o_orderkey"), ["o_orderkey"])
+
+
+@query(
+    "M6_surrogate_lookup",
+    f"""SELECT p.surrogate, v.entity_type, v.real_value, v.real_value IS NOT NULL AS found
+        FROM ({_PROBES}) p LEFT JOIN ({inp.VAULT}) v ON lower(p.surrogate) = lower(v.surrogate)""",
+)
+def _(spark, sf):
+    return demask.lookup(load(spark, sf, _PROBES).select("surrogate"), load(spark, sf, inp.VAULT))
+
+
+# ── Routing and whole plans ──────────────────────────────────────────────
+
+
+@query("G1_sensitive_arguments", f"SELECT o_orderkey, form = 1 OR form = 2 AS sensitive FROM ({_ARGS_IN}) a")
+def _(spark, sf):
+    docs = load(spark, sf, f"SELECT o_orderkey, replace(replace(text, 'find ', 'vault/' || cast(form as string) || '/'), 'x u', 'k' || cast(form as string) || ':u') AS text FROM ({_ARGS_IN}) a")
+    policy = default_policy().with_(sensitive_args=("vault/1/*", "k[!013]:*.net"))
+    return docs.select("o_orderkey", sensitive(F.col("text"), policy).alias("sensitive"))
+
+
+_FORMS = """CASE form WHEN 0 THEN 'Order for ' || s_name || ' shipped, write to ' || s_mail || '.'
+  WHEN 1 THEN 'NOTE: ' || s_name || substr(text, length('NOTE: ' || full_name) + 1)
+  WHEN 2 THEN text WHEN 3 THEN replace(text, email, s_mail) ELSE s_ssn || ' is the number of ' || s_name END"""
+_NOTE_ROWS = f"""SELECT n.*, 'u' || substr(md5(email), 1, 10) || '@example.net' AS s_mail,
+  'Q' || w || ' Z' || w3 AS s_name, substr(ssn, 9, 3) || '-' || substr(ssn, 5, 2) || '-' || substr(ssn, 1, 3) || cast(c_custkey % 10 as string) AS s_ssn
+ FROM (SELECT n.*, o_custkey AS c_custkey, {inp._word('o_custkey')} AS w, {inp._word('o_custkey * 3 + 1')} AS w3
+       FROM ({inp.NOTES}) n JOIN (SELECT o_orderkey, o_custkey FROM orders) o USING (o_orderkey)) n"""
+
+
+_PAGE_JSON = f"""SELECT c_custkey, text, CASE WHEN c_custkey % 2 = 0 THEN 'json' ELSE 'text' END AS kind FROM (
+ SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN text ELSE 'plain ' || email || ' and pw' || ssn END AS text FROM ({inp.RECORDS}) r) x"""
+
+
+@query(
+    "P1_mask_text",
+    f"""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN replace(replace(replace(replace(text, '"name":"' || full_name || '"', '"name":"<PERSON>"'),
+          email, '<EMAIL_ADDRESS>'), phone, '<PHONE_NUMBER>'), 'pw' || ssn, '<SECRET>') ELSE 'plain <EMAIL_ADDRESS> and pw' || ssn END AS text,
+        CASE WHEN c_custkey % 2 = 0 THEN 'PERSON,EMAIL_ADDRESS,PHONE_NUMBER,SECRET' ELSE 'EMAIL_ADDRESS' END AS types,
+        CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 1 END AS masked FROM ({inp.RECORDS}) r""",
+)
+def _(spark, sf):
+    done = mask(load(spark, sf, _PAGE_JSON).drop("kind"), ["c_custkey"], _RECORD_REPLACE, CHECK_KEY).documents
+    return done.select("c_custkey", "text", F.array_join("entity_types", ",").alias("types"), F.col("masked_count").alias("masked"))
+
+
+@query("P2_mask_plain_text", f"SELECT o_orderkey, {_FORMS} AS text FROM ({_NOTE_ROWS}) n")
+def _(spark, sf):
+    docs = docs_of(spark, sf, inp.NOTES, "o_orderkey")
+    return mask(docs, ["o_orderkey"], default_policy(), CHECK_KEY, load(spark, sf, inp.VAULT)).documents.select("o_orderkey", "text")
+
+
+@query(
+    "P3_call_round_trip",
+    f"""SELECT o_orderkey, '{{"who":"' || full_name || '","n":' || cast(form as string) || '}}' AS args, {_FORMS} AS answer,
+        CASE WHEN form = 2 THEN 1 ELSE 2 END AS items, CASE form WHEN 0 THEN 2 WHEN 2 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS masked, 1 AS demapped,
+        CASE WHEN form = 2 THEN 1 ELSE 2 END AS events FROM ({_NOTE_ROWS}) n""",
+)
+def _(spark, sf):
+    calls = load(
+        spark,
+        sf,
+        f"""SELECT o_orderkey, 's1' AS server, 'notes' AS tool_name, '{{"who":"' || lower(s_name) || '","n":' || cast(form as string) || '}}' AS args,
+            array(named_struct('type', 'text', 'text', text)) AS content FROM ({_NOTE_ROWS}) n""",
+    )
+    done, events = mask_calls(calls, ["o_orderkey"], default_policy(), CHECK_KEY, load(spark, sf, inp.VAULT))
+    per_call = events.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("events"))
+    return done.documents.join(per_call, "o_orderkey", "left").select(
+        "o_orderkey",
+        "args",
+        F.col("content")[0]["text"].alias("answer"),
+        F.size("content").alias("items"),
+        F.col("masked_count").alias("masked"),
+        F.col("demapped_count").alias("demapped"),
+        F.coalesce("events", F.lit(0)).alias("events"),
+    )
+
+
+@query(
+    "P4_resource_masking",
+    f"SELECT page_id, regexp_replace(html, '{RE2_EMAIL}', '&lt;EMAIL_ADDRESS&gt;', 'g') AS text, cast(len(regexp_extract_all(html, '{RE2_EMAIL}')) as int) AS masked FROM pages",
+)
+def _(spark, sf):
+    done = mask(load(spark, sf, _PAGES), ["page_id"], EMAIL_ONLY, CHECK_KEY, rescan=False).documents
+    return done.select("page_id", "text", F.col("masked_count").alias("masked"))
+
+
+@query(
+    "P5_masking_summary",
+    f"""SELECT doc_id, string_agg(entity_type, ',' ORDER BY first, entity_type) AS types, cast(sum(n) as int) AS masked FROM (
+        SELECT doc_id, entity_type, min(start_pos) AS first, count(*) AS n FROM ({_builtin_sql()}) f GROUP BY doc_id, entity_type) g GROUP BY doc_id""",
+)
+def _(spark, sf):
+    policy = replacing("EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN", "CREDIT_CARD")
+    found = discover(load(spark, sf, _DOCUMENTS), ["doc_id"], policy)
+    kept = detect.resolve(found, ["doc_id"], prefer="length")
+    rows = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("doc_start", "entity_type"))).alias("f"))
+    return rows.select(
+        "doc_id",
+        F.array_join(F.array_distinct(F.transform("f", lambda x: x["entity_type"])), ",").alias("types"),
+        F.size("f").alias("masked"),
+    )
+
+
+# ── Audit ────────────────────────────────────────────────────────────────
+
+
+@query(
+    "A1_record_events",
+    f"""SELECT ingest_seq, server, tool_name, 'demap' AS direction, 0 AS masked_count, demapped_count FROM ({inp.AUDIT}) a WHERE demapped_count > 0
+        UNION ALL SELECT ingest_seq, server, tool_name, 'mask', masked_count, 0 FROM ({inp.AUDIT}) a WHERE masked_count > 0""",
+)
+def _(spark, sf):
+    return audit.events_of(audit_events(spark, sf), ["ingest_seq"]).drop("entity_types")
+
+
+@query(
+    "A2_totals",
+    f"SELECT count(*) AS total_events, cast(sum(masked_count) as bigint) AS total_masked, cast(sum(demapped_count) as bigint) AS total_demapped FROM ({inp.AUDIT}) a",
+)
+def _(spark, sf):
+    return audit.totals(audit_events(spark, sf))
+
+
+@query("A3_entity_counts", f"SELECT entity_type, count(*) AS n FROM (SELECT unnest(string_split(types, ',')) AS entity_type FROM ({inp.AUDIT}) a) x WHERE entity_type <> '' GROUP BY entity_type")
+def _(spark, sf):
+    return audit.entity_counts(audit_events(spark, sf))
+
+
+@query(
+    "A4_tool_and_server_counts",
+    f"""SELECT 'tool' AS kind, tool_name AS name, count(*) AS n FROM ({inp.AUDIT}) a WHERE tool_name <> '' GROUP BY tool_name
+        UNION ALL SELECT 'server', server, count(*) FROM ({inp.AUDIT}) a WHERE server <> '' GROUP BY server""",
+)
+def _(spark, sf):
+    events = audit_events(spark, sf)
+    parts = [
+        audit.column_counts(events, c).select(F.lit(kind).alias("kind"), F.col(c).alias("name"), "n")
+        for kind, c in (("tool", "tool_name"), ("server", "server"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("A5_recent_events", f"SELECT ingest_seq, tool_name, direction FROM ({inp.AUDIT}) a ORDER BY ingest_seq DESC LIMIT 50")
+def _(spark, sf):
+    return audit.recent(audit_events(spark, sf)).select("ingest_seq", "tool_name", "direction")
+
+
+@query(
+    "A6_retention",
+    f"""SELECT count(*) AS total_events, cast(sum(masked_count) as bigint) AS total_masked, cast(sum(demapped_count) as bigint) AS total_demapped
+        FROM (SELECT * FROM ({inp.AUDIT}) a ORDER BY ingest_seq DESC LIMIT 1000) b""",
+)
+def _(spark, sf):
+    return audit.totals(audit.retained(audit_events(spark, sf)))
+
+
+_BODIES_OF_EVENTS = """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"server":"s1","tool_name":"' || event_type || '","masked_count":' || cast(user_id as string) || ',"entity_types":["PERSON"]}'
+ WHEN 1 THEN '{"timestamp":"t","direction":"demap","demapped_count":2}' ELSE '{}' END AS body FROM events"""
+
+
+@query(
+    "A7_ingest_defaults",
+    """SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 't' ELSE '' END AS timestamp, CASE WHEN event_id % 3 = 0 THEN 's1' ELSE '' END AS server,
+       CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS tool_name, CASE WHEN event_id % 3 = 1 THEN 'demap' ELSE '' END AS direction,
+       CASE WHEN event_id % 3 = 0 THEN 'PERSON' ELSE '' END AS types, CASE WHEN event_id % 3 = 0 THEN user_id ELSE 0 END AS masked_count,
+       CASE WHEN event_id % 3 = 1 THEN 2 ELSE 0 END AS demapped_count FROM events""",
+)
+def _(spark, sf):
+    rows = audit.ingest(load(spark, sf, _BODIES_OF_EVENTS))
+    return rows.withColumn("types", F.array_join("entity_types", ",")).drop("entity_types")
+
+
+# ── Streams ──────────────────────────────────────────────────────────────
+
+
+def _stream_of(spark, df: DataFrame) -> DataFrame:
+    """The table as a stream of files, a few per micro-batch."""
+    path = _scratch(spark)
+    df.repartition(4).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def _finish(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+@query("R1_stream_mask", f"SELECT doc_id, regexp_replace(text, '{RE2_EMAIL}', '<EMAIL_ADDRESS>', 'g') AS text FROM documents")
+def _(spark, sf):
+    base = _scratch(spark)
+    store = VaultStore(spark, f"{base}/vault")
+    stream = _stream_of(spark, load(spark, sf, _DOCUMENTS))
+    _finish(streams.mask_stream(stream, store, lambda: EMAIL_ONLY, CHECK_KEY, ["doc_id"], f"{base}/out", f"{base}/ckpt"))
+    return spark.read.parquet(f"{base}/out").select("doc_id", "text")
+
+
+@query("R2_stream_demask", f"SELECT o_orderkey, text FROM ({_ARGS_OUT}) a")
+def _(spark, sf):
+    base = _scratch(spark)
+    store = VaultStore(spark, f"{base}/vault")
+    store.write(0, load(spark, sf, _NAMES_VAULT))
+    stream = _stream_of(spark, docs_of(spark, sf, _ARGS_IN, "o_orderkey"))
+    _finish(streams.demask_stream(stream, store, lambda: _SKIP, ["o_orderkey"], f"{base}/out", f"{base}/ckpt"))
+    return spark.read.parquet(f"{base}/out").select("o_orderkey", "text")
+
+
+@query(
+    "R3_stream_audit",
+    """SELECT kind, name, count(*) AS n FROM (SELECT 'server' AS kind, 's1' AS name FROM events WHERE event_id % 3 = 0
+       UNION ALL SELECT 'tool_name', event_type FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'entity_type', 'PERSON' FROM events WHERE event_id % 3 = 0) x GROUP BY kind, name""",
+)
+def _(spark, sf):
+    base = _scratch(spark)
+    counts = streams.running_counts(streams.audit_events(_stream_of(spark, load(spark, sf, _BODIES_OF_EVENTS))))
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    _finish(counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/ckpt"))
+    return spark.read.parquet(f"{base}/out")
+
+
+# ── User hook ────────────────────────────────────────────────────────────
+
+_BADGES = "SELECT l_orderkey * 10 + l_linenumber AS line, 'badge EMP-' || lpad(cast(l_partkey as string), 6, '0') || ' seen, org_' || 'EMP00000' || cast(l_linenumber as string) AS text FROM lineitem"
+
+
+@query(
+    "U1_user_recognizer",
+    "SELECT l_orderkey * 10 + l_linenumber AS line, 'badge <EMPLOYEE_ID> seen, org_' || 'EMP00000' || cast(l_linenumber as string) AS text FROM lineitem",
+)
+def _(spark, sf):
+    def badges(units):
+        hits = units.withColumn("at", F.locate("EMP-", F.col("text")) - 1).where("at >= 0")
+        return hits.withColumns(
+            {"start": F.col("at"), "end": F.col("at") + 10, "entity_type": F.lit("EMPLOYEE_ID"), "score": F.lit(0.9)}
+        )
+
+    policy = Policy(entities={"EMPLOYEE_ID": EntityRule(REPLACE)})
+    done = mask(load(spark, sf, _BADGES), ["line"], policy, CHECK_KEY, hooks=[badges], rescan=False)
+    return done.documents.select("line", "text")

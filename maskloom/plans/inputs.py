@@ -44,7 +44,7 @@ SELECT 'US_SSN', ssn, substr(ssn, 9, 3) || '-' || substr(ssn, 5, 2) || '-' || su
 NOTES = f"""
 SELECT o_orderkey, CASE o_orderkey % 5
          WHEN 0 THEN 'Order for ' || full_name || ' shipped, write to ' || email || '.'
-         WHEN 1 THEN 'NOTE: ' || upper(full_name) || ' (' || o_orderpriority || ')'
+         WHEN 1 THEN 'NOTE: ' || upper(first_name) || ' ' || lower(last_name) || ' (' || o_orderpriority || ')'
          WHEN 2 THEN 'pre' || full_name || 'post and ' || ssn || '9 stay'
          WHEN 3 THEN 'https://shop.example.org/u/' || lower(last_name) || '?m=' || email || ' é' || full_name
          ELSE ssn || ' is the number of ' || lower(full_name) END AS text,
