@@ -32,9 +32,11 @@ def hmac_hex(message: Column) -> Column:
     return F.sha2(F.concat(F.col("outer_pad"), F.unhex(inner)), 256)
 
 
-def mac_message(entity: Column, value: Column, attempt: int = 0) -> Column:
-    tail = [F.lit(f":{attempt}")] if attempt else []
-    return F.concat(entity, F.lit(":"), value, *tail)
+def mac_message(entity: Column, value: Column, attempt: Column | int = 0) -> Column:
+    """``TYPE:value`` for the first attempt, ``TYPE:value:n`` for the later ones."""
+    n = F.lit(attempt) if isinstance(attempt, int) else attempt
+    tail = F.when(n > 0, F.concat(F.lit(":"), n.cast("string"))).otherwise(F.lit(""))
+    return F.concat(entity, F.lit(":"), value, tail)
 
 
 def seed_of(mac: Column) -> Column:
@@ -81,7 +83,7 @@ def _fake(entity: Column, mac: Column, seed: Column, first: Column, last: Column
     )
 
 
-def with_fake(df: DataFrame, out: str, attempt: int = 0) -> DataFrame:
+def with_fake(df: DataFrame, out: str, attempt: Column | int = 0) -> DataFrame:
     """Add the surrogate candidate of ``(entity_type, real_value)`` for one attempt.
 
     Staged columns: the HMAC is computed once per row, not once per use.

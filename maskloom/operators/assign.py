@@ -21,7 +21,10 @@ CLAIM = "struct<token:string,owner:string>"
 ROW = ["entity_type", "real_value", "surrogate", "ord"]
 
 
-def _claims(rows: DataFrame) -> DataFrame:
+KEY = ["entity_type", "real_value"]
+
+
+def _claims(rows: DataFrame, keep=()) -> DataFrame:
     """Every word form a candidate would occupy: itself, and its aligned PERSON words."""
     own = F.array(F.struct(F.lower("surrogate").alias("token"), F.col("real_value").alias("owner")).cast(CLAIM))
     aligned = F.transform(
@@ -29,43 +32,74 @@ def _claims(rows: DataFrame) -> DataFrame:
         lambda p: F.struct(F.lower(p["surrogate"]).alias("token"), p["real"].alias("owner")).cast(CLAIM),
     )
     both = F.when(F.col("entity_type").isin(*v.SUBTOKEN_TYPES), F.concat(own, aligned)).otherwise(own)
-    return rows.select("entity_type", "real_value", "ord", F.explode(both).alias("c")).select(
-        "entity_type", "real_value", "ord", "c.token", "c.owner"
-    )
+    return rows.select(*KEY, *keep, F.explode(both).alias("c")).select(*KEY, *keep, "c.token", "c.owner")
 
 
-def _losers(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> DataFrame:
-    """Rows whose candidate is taken by another value: in the vault, by an earlier row of
-    this round, or because it equals a real value somebody may want masked."""
-    claims = _claims(rows)
-    first = claims.groupBy("token").agg(F.min_by("owner", "ord").alias("winner"))
-    clash = claims.join(first, "token").where("owner <> winner").select("entity_type", "real_value")
-    taken = claims.join(owned.withColumnRenamed("owner", "holder"), "token").where("owner <> holder")
+def _taken(rows: DataFrame, owned: DataFrame, reals: DataFrame, keep=()) -> DataFrame:
+    """Rows whose candidate belongs to another value already, or equals a real value that
+    somebody may want masked."""
+    key = [*KEY, *keep]
+    held = _claims(rows, keep).join(owned.withColumnRenamed("owner", "holder"), "token").where("owner <> holder")
     real = rows.withColumn("token", F.lower("surrogate")).join(reals, "token", "left_semi")
-    return (
-        clash.union(taken.select("entity_type", "real_value")).union(real.select("entity_type", "real_value")).distinct()
-    )
+    return held.select(key).union(real.select(key)).distinct()
+
+
+def _clashing(rows: DataFrame) -> DataFrame:
+    """Rows of one round that want a word form an earlier row of the round wants too."""
+    claims = _claims(rows, ("ord",))
+    first = claims.groupBy("token").agg(F.min_by("owner", "ord").alias("winner"))
+    return claims.join(first, "token").where("owner <> winner").select(KEY).distinct()
 
 
 def _roll(pending: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFrame]:
-    """Rounds of candidates until nobody loses; after the last one, a hash suffix."""
+    """Rounds of candidates until nobody loses.
+
+    In a round each value takes the first of its next ``width`` attempts that nobody owns;
+    among the values of the round the earliest keeps what several want. The width grows,
+    because a round that left many losers shows that the free names are getting rare.
+    After ``MAX_ATTEMPTS`` a value gets a hash suffix: 6 hex digits, then 16, then all.
+    """
     done: list[DataFrame] = []
-    key = ["entity_type", "real_value"]
-    for attempt in range(MAX_ATTEMPTS + 3):
-        tried = with_fake(pending, "surrogate", min(attempt, MAX_ATTEMPTS - 1))
-        if attempt >= MAX_ATTEMPTS:  # 6 hex digits, then 16, then all of them
-            size = (6, 16, 64)[attempt - MAX_ATTEMPTS]
-            tried = tried.withColumn("surrogate", F.concat("surrogate", F.lit(" ("), discriminator(size), F.lit(")")))
-        tried = materialize(tried)
-        lost = _losers(tried, owned, reals).withColumn("lost", F.lit(True))
-        state = materialize(tried.join(lost, key, "left"))
-        won = state.where("lost is null").select(*ROW)
+    spent: list[DataFrame] = []
+    pending = pending.withColumn("next", F.lit(0))
+    width = 1
+    while not pending.isEmpty():
+        attempts = F.sequence(F.col("next"), F.least(F.col("next") + width, F.lit(MAX_ATTEMPTS)) - 1)
+        tried = pending.withColumn("attempt", F.explode(attempts))
+        tried = materialize(with_fake(tried, "surrogate", F.col("attempt")))
+        free = tried.join(_taken(tried, owned, reals, ("attempt",)), [*KEY, "attempt"], "left_anti")
+        picks = materialize(
+            free.groupBy(*KEY)
+            .agg(F.min_by(F.struct("surrogate", "attempt", "ord"), "attempt").alias("p"))
+            .select(*KEY, "p.*")
+        )
+        lost = _clashing(picks).withColumn("lost", F.lit(True))
+        state = pending.join(picks.drop("ord").join(lost, KEY, "left"), KEY, "left")
+        state = materialize(state)
+        won = state.where("surrogate is not null and lost is null").select(*ROW)
         done.append(won)
-        pending = state.where("lost").drop("surrogate", "lost")
+        after = F.when(F.col("surrogate").isNull(), F.col("next") + width).otherwise(F.col("attempt") + 1)
+        rest = state.where("surrogate is null or lost").withColumn("next", after).drop("surrogate", "attempt", "lost")
+        spent.append(rest.where(F.col("next") >= MAX_ATTEMPTS))
+        pending = rest.where(F.col("next") < MAX_ATTEMPTS)
+        owned = materialize(owned.union(_claims(won).select("token", "owner")).distinct())
+        width = min(width * 4, MAX_ATTEMPTS)
+    pending = _union(spent) if spent else pending
+    for size in (6, 16, 64):
         if pending.isEmpty():
             return done
-        owned = owned.union(_claims(won).select("token", "owner")).distinct()
-    raise RuntimeError("values left without a surrogate")
+        tried = with_fake(pending, "surrogate", MAX_ATTEMPTS - 1)
+        tried = materialize(
+            tried.withColumn("surrogate", F.concat("surrogate", F.lit(" ("), discriminator(size), F.lit(")")))
+        )
+        bad = _taken(tried, owned, reals).union(_clashing(tried)).distinct().withColumn("lost", F.lit(True))
+        state = materialize(tried.join(bad, KEY, "left"))
+        done.append(state.where("lost is null").select(*ROW))
+        owned = owned.union(_claims(done[-1]).select("token", "owner")).distinct()
+        pending = state.where("lost").drop("surrogate", "lost")
+    if not pending.isEmpty():
+        raise RuntimeError("values left without a surrogate")
+    return done
 
 
 def assign(values: DataFrame, vault: DataFrame, rules: DataFrame) -> DataFrame:
@@ -133,7 +167,7 @@ def _encrypt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFr
     """FPE surrogates. A clash (possible below six digits) gets a hash suffix; values the
     cipher cannot take get no row, and masking falls back to the type name."""
     made = materialize(fpe(rows, "real_value", "surrogate").where("surrogate is not null"))
-    lost = _losers(made, owned, reals.where(F.lit(False))).withColumn("lost", F.lit(True))
+    lost = _taken(made, owned, reals.where(F.lit(False))).union(_clashing(made)).distinct().withColumn("lost", F.lit(True))
     state = materialize(made.join(lost, ["entity_type", "real_value"], "left"))
     clash = state.where("lost")
     suffix = F.concat("surrogate", F.lit(" ("), discriminator(16), F.lit(")"))
