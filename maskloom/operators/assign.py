@@ -14,7 +14,7 @@ from maskloom.functions.surrogates import discriminator, with_fake
 from maskloom.functions.text import words
 from maskloom.operators import vault as v
 from maskloom.policy import FAKE, FPE, REPLACE
-from maskloom.runtime import global_rank, materialize, spread
+from maskloom.runtime import global_rank, materialize, rebalanced
 
 MAX_ATTEMPTS = 32
 CLAIM = "struct<token:string,owner:string>"
@@ -61,11 +61,11 @@ def _roll(pending: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFr
     """
     done: list[DataFrame] = []
     spent: list[DataFrame] = []
-    pending = spread(pending).withColumn("next", F.lit(0))
+    pending = pending.withColumn("next", F.lit(0))
     width = 1
     while not pending.isEmpty():
         attempts = F.sequence(F.col("next"), F.least(F.col("next") + width, F.lit(MAX_ATTEMPTS)) - 1)
-        tried = pending.withColumn("attempt", F.explode(attempts))
+        tried = rebalanced(pending).withColumn("attempt", F.explode(attempts))
         tried = materialize(with_fake(tried, "surrogate", F.col("attempt")))
         free = tried.join(_taken(tried, owned, reals, ("attempt",)), [*KEY, "attempt"], "left_anti")
         picks = materialize(
@@ -124,7 +124,7 @@ def assign(values: DataFrame, vault: DataFrame, rules: DataFrame) -> DataFrame:
     fresh = fresh.where(
         (F.col("ord") == F.col("__typed")) & ((F.col("operator") == FPE) | (F.col("ord") == F.col("__any")))
     ).drop("same", "anywhere", "__any", "__typed")
-    fresh = materialize(fresh)
+    fresh = materialize(rebalanced(fresh))
     kinds = {(r[0], r[1]) for r in fresh.select("operator", _is_single(fresh)).distinct().collect()}
     if not kinds:
         return v.empty_vault(spark)
@@ -166,7 +166,7 @@ def _is_single(df: DataFrame):
 def _encrypt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFrame]:
     """FPE surrogates. A clash (possible below six digits) gets a hash suffix; values the
     cipher cannot take get no row, and masking falls back to the type name."""
-    made = materialize(fpe(spread(rows), "real_value", "surrogate").where("surrogate is not null"))
+    made = materialize(fpe(rows, "real_value", "surrogate").where("surrogate is not null"))
     lost = _taken(made, owned, reals.where(F.lit(False))).union(_clashing(made)).distinct().withColumn("lost", F.lit(True))
     state = materialize(made.join(lost, ["entity_type", "real_value"], "left"))
     clash = state.where("lost")

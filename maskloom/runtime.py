@@ -71,15 +71,29 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+SMALL_SCAN = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work at least one split per core.
+    """Give CPU-heavy text work on a small table at least one split per core.
 
-    A table of many files already has more splits than cores and is left as it is.
+    The size is the optimizer's estimate, nothing is run for it. A table above 1 GiB has
+    enough splits and is left as it is, so no large table is shuffled here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if df.isStreaming or size > SMALL_SCAN:
         return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def rebalanced(df: DataFrame) -> DataFrame:
+    """Even partitions for narrow rows that need much CPU each (ciphers, HMACs).
+
+    Adaptive execution would merge them into few partitions because they are few bytes.
+    """
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, spark.sparkContext.defaultParallelism))
 
 
 def _width(df: DataFrame) -> Column:
