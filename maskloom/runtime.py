@@ -80,7 +80,7 @@ def spread(df: DataFrame) -> DataFrame:
     The size is the optimizer's estimate, nothing is run for it. A table above 1 GiB has
     enough splits and is left as it is, so no large table is shuffled here.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if df.isStreaming or size > SMALL_SCAN:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
