@@ -41,10 +41,6 @@ ROUNDS = 24
 _OWN = ("size", "skey", "start", "pieces", "target", "source_size")
 
 
-def _uniform(*on: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*on), 11).cast("double") / F.lit(float(2**53))
-
-
 def source_key(source: Column) -> Column:
     """Sorts by code point, null last."""
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
@@ -64,64 +60,49 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float
     return ordered.select("skey", "source_size", F.when(F.col("level").isNull() | (F.col("level") * F.col("weight") > F.col("cap")), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
-    """How many of ``drawn`` out of ``total`` are among the ``good``; inverse of the law at ``u``.
-
-    The probabilities are followed from the mode to both sides by their ratios, over twelve
-    standard deviations and twenty more, beyond which nothing is left in double precision.
-    """
-    n, k, m = (x.cast("double") for x in (total, good, drawn))
-    mode = F.floor((m + 1) * (k + 1) / (n + 2)).cast("double")
-    mode = F.least(F.greatest(mode, m - (n - k), F.lit(0.0)), m, k)
-    spread = F.sqrt(F.greatest(F.lit(0.0), m * k / F.greatest(n, F.lit(1.0)) * (1 - k / F.greatest(n, F.lit(1.0))) * (n - m) / F.greatest(n - 1, F.lit(1.0))))
-    steps = F.sequence(F.lit(1).cast("long"), F.ceil(spread * 12).cast("long") + 20)
-
-    def up(w: Column, t: Column) -> Column:
-        x = mode + t - 1
-        return F.when(w > 0, w * F.greatest(k - x, F.lit(0.0)) * F.greatest(m - x, F.lit(0.0)) / ((x + 1) * (n - k - m + x + 1))).otherwise(F.lit(0.0))
-
-    def down(w: Column, t: Column) -> Column:
-        x = mode - t + 1
-        return F.when(w > 0, w * F.greatest(x, F.lit(0.0)) * F.greatest(n - k - m + x, F.lit(0.0)) / ((k - x + 1) * (m - x + 1))).otherwise(F.lit(0.0))
-
-    def state(a, b, c, pick):
-        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), pick.alias("pick"))
-
-    one, none = F.lit(1.0), F.lit(None).cast("double")
-    mass = F.aggregate(steps, state(one, one, one, none), lambda s, t: state(up(s["a"], t), down(s["b"], t), s["c"] + up(s["a"], t) + down(s["b"], t), none), lambda s: s["c"])
-    goal = u * mass
-
-    def step(s, t):
-        a, b = up(s["a"], t), down(s["b"], t)
-        pick = F.when(s["pick"].isNotNull(), s["pick"]).when((s["c"] + a > goal) & (a > 0), mode + t).when((s["c"] + a + b > goal) & (b > 0), mode - t)
-        return state(a, b, s["c"] + a + b, pick)
-
-    found = F.aggregate(steps, state(one, one, one, F.when(one > goal, mode)), step, lambda s: s["pick"])
-    return F.coalesce(found, mode).cast("long")
+# The law of the number x of good ones among m drawn from n of which k are good: weights relative
+# to the mode's, followed to both sides by their ratios over twelve standard deviations and twenty
+# steps more, beyond which nothing is left in double precision; then the inverse of the law at u.
+_BOUND = """
+transform(array(named_struct('n', double({total}), 'k', double({good}), 'm', double({drawn}), 'u', {u})), p ->
+  transform(array(named_struct(
+      'mode', least(greatest(double(floor((p.m + 1) * (p.k + 1) / (p.n + 2))), p.m - (p.n - p.k), 0D), p.m, p.k),
+      'steps', sequence(1L, 20L + bigint(ceil(12 * sqrt(greatest(0D,
+          p.m * p.k / greatest(p.n, 1D) * (1 - p.k / greatest(p.n, 1D)) * (p.n - p.m) / greatest(p.n - 1, 1D)))))))), q ->
+    {body})[0])[0]"""
+_UP = "IF({a} > 0, {a} * greatest(p.k - (q.mode + {t}), 0D) * greatest(p.m - (q.mode + {t}), 0D) / ((q.mode + {t} + 1) * (p.n - p.k - p.m + q.mode + {t} + 1)), 0D)"
+_DOWN = "IF({b} > 0, {b} * greatest(q.mode - {t}, 0D) * greatest(p.n - p.k - p.m + q.mode - {t}, 0D) / ((p.k - q.mode + {t} + 1) * (p.m - q.mode + {t} + 1)), 0D)"
+_FIRST = f"'a', {_UP.format(a='1D', t=0)}, 'b', {_DOWN.format(b='1D', t=0)}"
+_NEXT = f"'a', {_UP.format(a='s.a', t='t')}, 'b', {_DOWN.format(b='s.b', t='t')}"
+_MASS = f"aggregate(q.steps, named_struct({_FIRST}, 'c', 1D), (s, t) -> named_struct({_NEXT}, 'c', s.c + s.a + s.b), s -> s.c)"
+_PICK = f"""bigint(transform(array(p.u * {_MASS}), goal -> aggregate(q.steps,
+    named_struct({_FIRST}, 'c', 1D, 'x', IF(1D > goal, q.mode, NULL)),
+    (s, t) -> named_struct({_NEXT}, 'c', s.c + s.a + s.b, 'x', coalesce(s.x,
+        IF(s.a > 0 AND s.c + s.a > goal, q.mode + t, NULL), IF(s.b > 0 AND s.c + s.a + s.b > goal, q.mode - t, NULL))),
+    s -> coalesce(s.x, q.mode)))[0])"""
+
+
+def hypergeometric(total: str, good: str, drawn: str, u: str) -> str:
+    """SQL of one draw: how many of ``drawn`` out of ``total`` are among the ``good``."""
+    return _BOUND.format(total=total, good=good, drawn=drawn, u=u, body=_PICK)
 
 
 def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(skey, quota) -> (skey, shard, blocks); shards is a power of two, their totals differ by one at most."""
+    if shards & (shards - 1):
+        raise ValueError("the number of shards must be a power of two")
+    kind = "array<struct<skey:string,k:bigint>>"
     nodes = quotas.agg(F.sort_array(F.collect_list(F.struct("skey", F.col("quota").cast("long").alias("k")))).alias("quotas")).select(F.lit(0).alias("node"), "quotas")
-    level = 0
-    while 1 << level < shards:
-        total = F.aggregate("quotas", F.lit(0).cast("long"), lambda s, x: s + x["k"])
-        left = F.floor((total + (F.col("node") % 2)) / 2).cast("long")
-        empty = F.array().cast("array<struct<skey:string,k:bigint>>")
-
-        at = F.lit(level)
-
-        def deal(s, x):
-            u = _uniform(F.lit(seed), at, F.col("node"), x["skey"])
-            got = F.when(x["k"] == 0, F.lit(0).cast("long")).otherwise(hypergeometric(s["total"], x["k"], s["left"], u))
-            return F.struct((s["total"] - x["k"]).alias("total"), (s["left"] - got).alias("left"), F.array_append(s["out"], F.struct(x["skey"].alias("skey"), got.alias("k"))).alias("out"))
-
-        nodes = nodes.select("node", "quotas", F.aggregate("quotas", F.struct(total.alias("total"), left.alias("left"), empty.alias("out")), deal, lambda s: s["out"]).alias("lefts"))
-        rights = F.zip_with("quotas", "lefts", lambda a, b: F.struct(a["skey"].alias("skey"), (a["k"] - b["k"]).alias("k")))
-        nodes = nodes.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("lefts").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), rights.alias("quotas")))).alias("x")).select("x.*")
-        nodes = saved(nodes)  # the next level would copy this level's draws
-        level += 1
-    return nodes.select(F.col("node").alias("shard"), F.explode("quotas").alias("q")).select("q.skey", "shard", F.col("q.k").alias("blocks"))
+    for level in range(shards.bit_length() - 1):
+        u = f"(shiftrightunsigned(xxhash64({seed}L, {level}, node, x.skey), 11) / {2.0**53!r}D)"
+        draw = f"IF(x.k = 0, 0L, {hypergeometric('s.total', 'x.k', 's.left', u)})"
+        lefts = f"""aggregate(quotas, named_struct('total', total, 'left', (total + node % 2) div 2, 'out', cast(array() AS {kind})),
+            (s, x) -> transform(array({draw}), got -> named_struct('total', s.total - x.k, 'left', s.left - got,
+                'out', array_append(s.out, named_struct('skey', x.skey, 'k', got))))[0], s -> s.out)"""
+        nodes = nodes.selectExpr("node", "quotas", "aggregate(quotas, 0L, (s, x) -> s + x.k) AS total").selectExpr("node", "quotas", f"{lefts} AS lefts")
+        nodes = nodes.selectExpr("""inline(array(named_struct('node', node * 2, 'quotas', lefts), named_struct('node', node * 2 + 1,
+            'quotas', zip_with(quotas, lefts, (a, b) -> named_struct('skey', a.skey, 'k', a.k - b.k)))))""")
+    return saved(nodes.select(F.col("node").alias("shard"), F.explode("quotas").alias("q")).select("q.skey", "shard", F.col("q.k").alias("blocks")))
 
 
 def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column:
