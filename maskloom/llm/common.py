@@ -21,14 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write once into the shared folder and read back: cuts the lineage, keeps columns apart.
 
     A lost executor costs nothing, as the files are on the storage all executors share.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,7 +76,3 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[int
         last = min(last, len(array))
         yield first, last, every[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
-
-
-def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
