@@ -1,10 +1,20 @@
-"""Registered queries of this folder and their SQL."""
+"""Registered queries of this folder and their SQL, where SQL can express them."""
 
-from maskloom.llm import url_rules
+from maskloom.llm import license_scan, line_dedup, mixing, multiset_hash, near_dedup, one_bit_search, packing, quality, url_rules
 
 QUERIES = {
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op3_packing": packing.op3_packing,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_one_bit_search": one_bit_search.op5_one_bit_search,
+    "op6_mixing": mixing.op6_mixing,
     "op7_url_rules": url_rules.op7_url_rules,
+    "op8_multiset_hash": multiset_hash.op8_multiset_hash,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
+    "op2_license_scan": license_scan.SQL,
     "op7_url_rules": url_rules.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
