@@ -83,7 +83,9 @@ class Chunk:
         """Symbols that repeat the byte before, in each text."""
         same = np.zeros(len(self.data) + 1, np.int64)
         mark = _ODD | (np.arange(256) == 33)
-        same[2:] = np.cumsum((self.data[1:] == self.data[:-1]) & mark[self.data[1:]])
+        again = (self.data[1:] == self.data[:-1]) & mark[self.data[1:]]
+        again[self.offsets[(self.offsets > 0) & (self.offsets < len(self.data))] - 1] = False
+        same[2:] = np.cumsum(again)
         return (same[self.offsets[1:]] - same[self.offsets[:-1]]).astype(float)
 
     def _words(self, flag: np.ndarray) -> np.ndarray:
