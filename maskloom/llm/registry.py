@@ -1,8 +1,9 @@
 """Registered queries of this folder and their SQL, where SQL can express them."""
 
-from maskloom.llm import license_scan, line_dedup, mixing, multiset_hash, near_dedup, one_bit_search, packing, quality, url_rules
+from maskloom.llm import license_scan, line_dedup, mixing, multiset_hash, near_dedup, one_bit_search, packing, quality, repeats, url_rules
 
 QUERIES = {
+    "op1_repeats": repeats.op1_repeats,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_packing": packing.op3_packing,
     "op4_near_dedup": near_dedup.op4_near_dedup,
