@@ -271,9 +271,13 @@ def _level(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     one = units.drop("weight").join(picked, ["key", "c1", "c2", "r1", "r2"]).withColumn("weight", F.least("all", F.lit(2).cast("long"))).drop("all")
     one = one.dropDuplicates(["key", "c1", "c2"])
     one = saved(one)
-    spark = units.sparkSession
-    near = one.where(F.col("m") <= GROUP).repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(_compared, "r1 long, r2 long, low int, high int")
-    return whole, near, one.where(F.col("m") > GROUP).drop("m")
+    return whole, _close(one), one.where(F.col("m") > GROUP).drop("m")
+
+
+def _close(units: DataFrame) -> DataFrame:
+    """Compare the units of groups that are small enough for one block."""
+    near = units.where(F.col("m") <= GROUP).repartition(parts(units.sparkSession), "key").sortWithinPartitions("key")
+    return near.mapInArrow(_compared, "r1 long, r2 long, low int, high int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -283,27 +287,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies = texts.groupBy("uid", "uid2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")).where("copies > 1")
     copies = measured(saved(copies))
     texts = texts.join(copies, ["uid", "uid2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
-    one = texts.where((F.col("copies") == 1) | F.col("doc_id").eqNullSafe(F.col("least")))
+    again = texts.where((F.col("copies") > 1) & F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["uid", "uid2"])
+    one = texts.where("copies = 1").unionByName(again)
     found = saved(one.select("text", "uid", "copies").mapInArrow(_occurrences, "gram long, uid long, n long"))
     twice = found.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     flags = saved(found.join(twice, "gram", "left_semi").groupBy("uid").agg(F.collect_list("gram").alias("grams")))
-    segments = one.select("uid", "uid2", "copies", "text").join(measured(flags), "uid").mapInArrow(_segments, _SEGMENTS)
+    segments = one.select("uid", "uid2", "copies", "text").join(flags, "uid").mapInArrow(_segments, _SEGMENTS)
     segments = saved(segments)
     # Segments of any number of texts with one content are one unit from here on.
-    units = segments.select("key", "c1", "c2", F.col("c1").alias("r1"), F.col("c2").alias("r2"), "uid", F.length("starts").alias("at"), "weight", "d0", "d1", "bytes")
-    contents = saved(segments.groupBy("key", "c1", "c2").agg(F.sum("weight").alias("weight"), F.min("uid").alias("uid")))
-    open_keys = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("weight").alias("w")).where("m > 1 and w = 1").select("key")
-    chosen = contents.join(open_keys, "key", "left_semi").select("key", "c1", "c2", "uid", F.least("weight", F.lit(2).cast("long")).alias("weight"))
-    units = units.drop("weight", "at").join(chosen, ["key", "c1", "c2", "uid"]).drop("uid").dropDuplicates(["key", "c1", "c2"])
-    units = saved(units.select(*[x.split()[0] for x in _UNITS.split(", ")]))
-    ranges = []
-    for width in (None, *WIDTHS):
-        if width is not None:
-            units = saved(units.mapInArrow(_narrowed(width), _UNITS))
-        whole, near, units = _level(units)
-        ranges += [whole, saved(near)]
+    contents = saved(segments.groupBy("key", "c1", "c2").agg(F.sum("weight").alias("weight"), F.min(F.struct("uid", "uid2")).alias("of")))
+    open_keys = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("weight").alias("w")).where("m > 1 and w = 1").select("key", "m")
+    chosen = contents.join(open_keys, "key").select("c1", "c2", "of.uid", "of.uid2", F.least("weight", F.lit(2).cast("long")).alias("weight"), "m")
+    units = segments.select("key", "c1", "c2", "uid", "uid2", "d0", "d1", "bytes").join(chosen, ["c1", "c2", "uid", "uid2"])
+    units = saved(units.select("key", "c1", "c2", F.col("c1").alias("r1"), F.col("c2").alias("r2"), "weight", "d0", "d1", "bytes", "m"))
+    ranges = [saved(_close(units))]
+    units = units.where(F.col("m") > GROUP).drop("m")
+    for width in WIDTHS:
         if units.isEmpty():
             break
+        whole, near, units = _level(saved(units.mapInArrow(_narrowed(width), _UNITS)))
+        ranges += [whole, saved(near)]
     every = ranges[0]
     for more in ranges[1:]:
         every = every.union(more)
