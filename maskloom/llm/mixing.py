@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from maskloom.llm.common import SPACE, saved, table, words_of
+from maskloom.llm.common import SPACE, parts, saved, table, words_of
 
 WEIGHTS = (3, 1, 2)
 TOTAL, CAP = 1.5, 2.0
@@ -140,26 +140,32 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, total: flo
     inside = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("base", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(sources.join(ends, "skey"), "skey")
     offsets = offsets.select("skey", "cell", "base", F.struct("source_size", "target", "full", "blocks", "epochs", "rest", "ends").alias("src"))
+    # A fixed number of partitions: the rows are narrow, but their pieces cost CPU.
+    base = base.repartition(parts(docs.sparkSession), "skey", "cell")
     before = Window.partitionBy("skey", "cell").orderBy(order, F.col("doc_id"), F.col("size")).rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).join(saved(offsets).hint("shuffle_hash"), ["skey", "cell"])
     placed = placed.withColumn("start", F.col("start") + F.col("base"))
     src, start, end = F.col("src"), F.col("start"), F.col("start") + F.col("size")
 
-    def piece(epoch: Column, block: Column) -> Column:
+    # Each block's slot is computed once: what follows reads it as a field.
+    def slotted(epoch: Column, block: Column) -> Column:
         slot = F.when(block >= src["full"], block).otherwise(permuted(block, src["full"], F.lit(seed), epoch, F.col("skey")))
+        return F.struct(epoch.alias("epoch"), block.alias("block"), slot.alias("slot"), (epoch * src["blocks"] + slot).alias("at"))
+
+    def piece(x: Column) -> Column:
+        epoch, block, slot = x["epoch"], x["block"], x["slot"]
         share = F.when(epoch < src["epochs"], w).otherwise(F.least(F.greatest(src["rest"] - slot * w, F.lit(0)), w))
         first, last = F.greatest(start, block * w), F.least(end, block * w + share)
-        at = epoch * src["blocks"] + slot
         return F.struct(
             epoch.alias("epoch"), block.alias("block"),
-            F.size(F.filter(src["ends"], lambda e: e <= at)).alias("shard"),
+            F.size(F.filter(src["ends"], lambda e: e <= x["at"])).alias("shard"),
             F.xxhash64(F.lit(seed), F.lit("place"), F.col("doc_id"), epoch, block).alias("place"),
             (first - start).alias("from_word"), F.greatest(last - first, F.lit(0).cast("long")).alias("words"),
         )
 
     epochs = F.sequence(F.lit(0).cast("long"), F.when(src["rest"] > 0, src["epochs"]).otherwise(F.greatest(src["epochs"] - 1, F.lit(0))))
     blocks = F.sequence(F.floor(start / w), F.floor((end - 1) / w))
-    pieces = F.filter(F.flatten(F.transform(epochs, lambda e: F.transform(blocks, lambda b: piece(e, b)))), lambda p: p["words"] > 0)
+    pieces = F.filter(F.transform(F.flatten(F.transform(epochs, lambda e: F.transform(blocks, lambda b: slotted(e, b)))), piece), lambda p: p["words"] > 0)
     none = F.array().cast("array<struct<epoch:bigint,block:bigint,shard:int,place:bigint,from_word:bigint,words:bigint>>")
     return placed.select(*[f"`{c}`" for c in docs.columns if c != "size"], "size", "src.source_size", "src.target", F.when(F.col("size") > 0, pieces).otherwise(none).alias("pieces"))
 
