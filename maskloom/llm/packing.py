@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from maskloom.llm.common import chunks, mix64, parts, saved, table, text_bytes
 
 LENGTH = 1024
 WIDTH, DIMENSIONS, BITS = 512, 3, 16
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 400_000
 LONGEST_KNOWN = 48
 CHUNK_BYTES = 1 << 20
 SEQUENCES_PER_RANGE = 128
@@ -47,7 +48,7 @@ def default_tokenizer() -> str:
 
 
 class Words:
-    """What a byte-level tokenizer makes of words; the table is emptied when it is full."""
+    """What a byte-level tokenizer makes of words, in two tables of bounded size."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,28 +57,33 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.bare: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.bare: list[dict[str, bytes]] = [{"": b""}, {}]  # the table in use, and the one before
+        self.spaced: list[dict[str, bytes]] = [{}, {}]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 512):
-            out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts[i : i + 512], add_special_tokens=False)]
+            out += [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
         return out
 
-    def _learn(self, known: dict[str, bytes], wanted: set[str], before: str) -> dict[str, bytes]:
-        """A table that has all the wanted words: the kept one, with long words beside it."""
-        new = [w for w in wanted if w not in known]
-        if not new:
+    def _learn(self, tables: list[dict[str, bytes]], wanted: set[str], before: str) -> dict[str, bytes]:
+        """A table that has all the wanted words. A full one becomes the old one, from which words come back."""
+        known, old = tables
+        missing = [w for w in wanted if w not in known]
+        if not missing:
             return known
+        if len(known) + len(missing) > KNOWN_WORDS:
+            tables[:] = known, old = {w: known[w] for w in wanted if w in known}, known
+        new = []
+        for w in missing:
+            if w in old:
+                known[w] = old[w]
+            else:
+                new.append(w)
         made = dict(zip(new, self._encode([before + w for w in new])))
-        short = {w: x for w, x in made.items() if len(w) <= LONGEST_KNOWN}
-        if len(known) + len(short) > KNOWN_WORDS:
-            kept = {w: known[w] for w in wanted if w in known}
-            known.clear()
-            known.update(kept)
-        known.update(short)
-        return {**{w: known[w] for w in wanted if w in known}, **made} if len(short) < len(made) else known
+        known.update((w, x) for w, x in made.items() if len(w) <= LONGEST_KNOWN)
+        return {**{w: known[w] for w in wanted if w in known}, **made} if any(len(w) > LONGEST_KNOWN for w in new) else known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
