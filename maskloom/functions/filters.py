@@ -16,6 +16,7 @@ UUID = rf"{LEFT}[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}{RIG
 SLACK_ID = rf"{LEFT}[CUTWGDE][A-Z0-9]{{8,}}{RIGHT}"
 PREFIX_ID = rf"{LEFT}[a-z]{{2,8}}_[A-Za-z0-9]{{8,}}{RIGHT}"
 _JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NOT_FINITE = r"(?<=[:\[,\s])(?:-?Infinity|NaN)(?=[\s,\]}])"
 JSON_KEY = rf"{_JSON_STRING}(?=[{SPACE}]*:)"
 
 SCORE_FLOORS = {"PERSON": 0.85, "LOCATION": 0.7, "ORGANIZATION": 0.7}
@@ -44,17 +45,20 @@ ID_KINDS = ("uuid", "slack_id", "prefix_id")
 
 
 def _parses(text: Column) -> Column:
-    wrapped = F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$")
+    # For this test alone a non-finite number is a 0; inside strings that changes nothing.
+    finite = F.regexp_replace(text, _NOT_FINITE, "0")
+    wrapped = F.get_json_object(F.concat(F.lit("["), finite, F.lit("]")), "$")
     return wrapped.isNotNull() & ~F.contains(F.regexp_replace(text, _JSON_STRING, ""), F.lit("'"))
 
 
 def is_json(text: Column) -> Column:
     """The text parses and its root is an object or an array.
 
+    White space around the root and non-finite numbers are taken, as common parsers do.
     The extra brackets make the parser refuse anything after the root value; it also
     takes single quotes, which JSON does not, so quotes outside strings are refused.
     """
-    body = F.trim(text)
+    body = F.btrim(text, F.lit(" \t\n\r"))
     closed = (F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))) | (
         F.startswith(body, F.lit("[")) & F.endswith(body, F.lit("]"))
     )

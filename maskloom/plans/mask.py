@@ -200,7 +200,8 @@ def mask(
     order = F.struct(*keys, "doc_start")
     values = found.where("surrogate is null").select("entity_type", F.col("value").alias("real_value"), order.alias("ord"))
     if policy.field_rules:
-        names = fields.full_names(detect.leaves(source, keys, kind), keys, policy)
+        named = detect.leaves(source, keys, kind).where(~detect.excluded_path(F.col("path"), policy))
+        names = fields.full_names(named, keys, policy)
         values = values.unionByName(
             names.select(F.lit("PERSON").alias("entity_type"), "real_value", F.struct(*keys, F.lit(-1).alias("doc_start")).alias("ord"))
         )

@@ -95,7 +95,7 @@ def default_policy() -> Policy:
         field_rules=tuple(
             FieldRule(f"*.{name}", entity) for entity, names in _FIELDS.items() for name in names.split()
         ),
-        host_fragments=("usepylon.com", "assets."),
+        host_fragments=("assets.",),
     )
 
 

@@ -92,3 +92,27 @@ def test_calls(spark, done, key):
     assert got[2].sensitive and "blob" not in got[2].content[0].text and got[2].entity_types == ["SECRET"]
     assert [c.text for c in got[3].content] == ["clean"]
     assert {(r.id, r.direction) for r in events.collect()} == {(1, "demap"), (1, "mask"), (2, "mask")}
+
+
+def test_json_with_outer_white_space_or_non_finite_numbers_is_masked(spark, key):
+    from maskloom.functions.filters import is_json
+
+    secret = '{"a":{"password":"hunter33"}}'
+    texts = [secret, secret + "\n", "\n " + secret + "\r\n", "\t" + secret, '{"n":NaN,"a":{"password":"hunter33"}}', '[-Infinity, {"password":"hunter33"} ]']
+    others = ["{'a': 1}", secret + " tail", "[NaN", "NaN", '{"n":NaNa}', ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + others)], "doc_id long, text string")
+    got = {r.doc_id: r.json for r in rows.select("doc_id", is_json(F.col("text")).alias("json")).collect()}
+    assert [got[i] for i in range(len(texts))] == [True] * len(texts)
+    assert not any(got[i] for i in range(len(texts), len(got)))
+    done = mask(rows.where(F.col("doc_id") < len(texts)), ["doc_id"], default_policy(), key)
+    assert not [r.text for r in done.documents.collect() if "hunter33" in r.text]
+
+
+def test_names_under_never_mask_paths_are_not_learned(spark, key):
+    from dataclasses import replace
+
+    policy = replace(default_policy(), never_mask_paths=("skip",))
+    rows = [(1, '{"skip":{"first_name":"Johnny","last_name":"Smithers"}}'), (2, "Met Johnny Smithers today.")]
+    done = mask(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], policy, key)
+    assert {r.doc_id: r.text for r in done.documents.collect()} == dict(rows)
+    assert done.added.count() == 0
