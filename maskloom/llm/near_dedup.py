@@ -9,10 +9,13 @@
    for similar sets. A pair is verified only if the estimate is within ``SLACK`` of the
    threshold (over six standard deviations).
 3. Bands of samples make buckets. Within a bucket every class is paired with the bucket's
-   smallest class only; confirmed pairs are joined into components. Then buckets whose classes
-   lie in several components are searched once more for all pairs across components - pairs
-   inside one component cannot change the result, so a bucket of thousands of mutual copies
-   costs one pair each. No bucket is cut or skipped.
+   smallest class only; confirmed pairs are joined into components. Where classes of a bucket
+   still lie in several components, these classes get a wide sketch of ``WIDE`` samples, whose
+   estimate is sharp enough to leave out texts that merely resemble each other; ``LEADS`` more
+   classes, drawn by hash, are paired with those of other components if that is less work than
+   all pairs, and then all pairs across components are searched - pairs inside one component
+   cannot change the result, so a bucket of thousands of mutual near copies costs a few pairs
+   each. No bucket is cut or skipped.
 4. A pair is confirmed on the full sets, with whole numbers.
 
 A pair at the threshold 0.85 shares none of the bands with a chance of about 3e-8.
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from maskloom.llm import words as wd
 from maskloom.llm.common import chunks, mix64, saved, table, text_bytes
@@ -44,9 +47,14 @@ BANDS, ROWS = 26, 4
 HASHES = BANDS * ROWS
 SKETCH_BITS = 256
 SLACK = 0.28
+#: Samples and bits of the wide sketch, and its slack, again six standard deviations.
+WIDE, WIDE_BITS, WIDE_SLACK = 512, 1024, 0.13
+#: Classes of a bucket that are paired with the others before all pairs are.
+LEADS = 16
 CHUNK_BYTES = 1 << 19
-_A = mix64(np.arange(HASHES, dtype=np.uint64) + np.uint64(0xA11CE)) | np.uint64(1)
-_B = mix64(np.arange(HASHES, dtype=np.uint64) + np.uint64(0xB0B))
+_A = mix64(np.arange(WIDE, dtype=np.uint64) + np.uint64(0xA11CE)) | np.uint64(1)
+_B = mix64(np.arange(WIDE, dtype=np.uint64) + np.uint64(0xB0B))
+_LANES = [f"w{i}" for i in range(WIDE_BITS // 64)]
 _SIGNED = "n_shingles long, digest string, sketch binary, bands array<long>"
 
 
@@ -77,18 +85,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return np.split(value, np.searchsorted(owner, np.arange(1, n)))
 
 
-def minhash(values: np.ndarray) -> np.ndarray:
-    """The smallest of each of the HASHES keyed hashes over the set."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def minhash(values: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The smallest of each of the keyed hashes over the set."""
+    least = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for s in range(0, len(values), 1024):
-        np.minimum(least, (values[s : s + 1024, None] * _A[None, :] + _B[None, :]).min(axis=0), out=least)
+        np.minimum(least, (values[s : s + 1024, None] * _A[None, :hashes] + _B[None, :hashes]).min(axis=0), out=least)
     return least
 
 
-def odd_sketch(samples: np.ndarray) -> bytes:
+def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     """Parity of the samples that fall on each bit."""
-    bits = (mix64(samples ^ _B) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits(np.bincount(bits, minlength=SKETCH_BITS) & 1 != 0).tobytes()
+    at = (mix64(samples ^ _B[: len(samples)]) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1 != 0).tobytes()
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -99,10 +107,10 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def most_different(threshold: float) -> int:
+def most_different(threshold: float, hashes: int = HASHES, bits: int = SKETCH_BITS, slack: float = SLACK) -> int:
     """Largest population count of two sketches whose estimate may belong to a pair at the threshold."""
-    least = threshold - SLACK
-    return int(SKETCH_BITS / 2 * (1 - np.exp((least - 1) * 4 * HASHES / SKETCH_BITS)))
+    least = threshold - slack
+    return int(bits / 2 * (1 - np.exp((least - 1) * 4 * hashes / bits)))
 
 
 def _signed(width: int):
@@ -132,6 +140,13 @@ def _sets(width: int):
     return run
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketches = [odd_sketch(minhash(np.frombuffer(x.as_buffer(), np.uint64), WIDE), WIDE_BITS) for x in batch.column(1)]
+        lanes = np.frombuffer(b"".join(sketches), np.int64).reshape(-1, len(_LANES))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(lanes[:, i]) for i in range(len(_LANES))]], ["c", *_LANES])
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,30 +205,56 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return sum(words[1:], words[0])
 
     tested = crowded.where(F.col("c") != F.col("lead")).where(apart("sketch", "lead_sketch") <= most).select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
+    tested = saved(tested)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs)
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        picked = classes.select("c", "digest").join(wanted, "c")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(c, shingles) of the classes in ``wanted``, which may repeat them."""
+        picked = classes.select("c", "digest").join(wanted.distinct(), "c")
         sets = texts.join(picked.select(F.col("c").alias("doc_id")).distinct(), "doc_id", "left_semi")
         sets = sets.mapInArrow(_sets(width), "doc_id long, digest string, shingles binary").dropDuplicates(["doc_id", "digest"])
-        sets = saved(sets.join(picked.withColumnRenamed("c", "doc_id"), ["doc_id", "digest"]).select(F.col("doc_id").alias("c"), "shingles"))
+        return sets.join(picked.withColumnRenamed("c", "doc_id"), ["doc_id", "digest"]).select(F.col("doc_id").alias("c"), "shingles")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sets = saved(sets_of(pairs.select(F.col("a").alias("c")).union(pairs.select("b"))))
         left = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a")
         return left.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
 
     links = saved(confirmed(tested).union(shared))
     comp = components(links)
-    # Buckets that still hold several components: all pairs across them.
-    member = crowded.select("band", "bucket", "c", "sketch").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    member = saved(member)
-    split = member.groupBy("band", "bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("band", "bucket")
-    member = saved(member.join(split, ["band", "bucket"]))
-    other = member.select("band", "bucket", F.col("c").alias("d"), F.col("sketch").alias("sketch2"), F.col("comp").alias("comp2"))
-    across = member.join(other, ["band", "bucket"]).where((F.col("comp") < F.col("comp2")) & (apart("sketch", "sketch2") <= most))
-    across = across.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct().join(saved(tested), ["a", "b"], "left_anti")
-    more = saved(confirmed(across))
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    member = crowded.select("band", "bucket", "c", "sketch")
+    widest = most_different(percent / 100, WIDE, WIDE_BITS, WIDE_SLACK)
+
+    def unsettled(member: DataFrame) -> tuple[DataFrame, int, int]:
+        """Rows of buckets that hold several components; how many, and pairs across components there."""
+        member = saved(member.drop("comp").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")))
+        sizes = member.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.groupBy("band", "bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside")).where("n * n > inside")
+        sizes = saved(sizes)
+        rows, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0))).first()
+        return saved(member.join(sizes.select("band", "bucket"), ["band", "bucket"])), rows, pairs
+
+    def across(member: DataFrame, other: DataFrame) -> DataFrame:
+        """Pairs of different components in a bucket that were not tested before."""
+        other = other.select("band", "bucket", F.col("c").alias("d"), F.col("comp").alias("comp2"), *[F.col(x).alias(f"other_{x}") for x in ("sketch", *_LANES)])
+        lanes = [F.bit_count(F.col(x).bitwiseXOR(F.col(f"other_{x}"))) for x in _LANES]
+        near = (sum(lanes[1:], lanes[0]) <= widest) & (apart("sketch", "other_sketch") <= most)
+        pairs = member.join(other, ["band", "bucket"]).where((F.col("comp") != F.col("comp2")) & near)
+        return saved(pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+
+    member, rows, pairs = unsettled(member)
+    if rows:
+        wide = saved(sets_of(member.select("c")).mapInArrow(_wide, "c long, " + ", ".join(f"{x} long" for x in _LANES)))
+        member = saved(member.join(wide, "c"))
+    if pairs > LEADS * rows:
+        drawn = Window.partitionBy("band", "bucket").orderBy(F.xxhash64("c"), "c")
+        wanted = across(member, member.withColumn("at", F.row_number().over(drawn)).where(F.col("at") <= LEADS))
+        links, tested = links.union(saved(confirmed(wanted))), tested.union(wanted)
+        comp = components(links)
+        member, rows, pairs = unsettled(member)
+    if rows:
+        more = saved(confirmed(across(member, member)))
+        if not more.isEmpty():
+            comp = components(links.union(more))
     rows = signed.join(classes.select("digest", "c"), "digest", "left").join(comp.withColumnRenamed("node", "c"), "c", "left")
     rows = rows.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("comp", "c", "doc_id")).alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
