@@ -11,11 +11,12 @@
 3. Bands of samples make buckets. Within a bucket every class is paired with the bucket's
    smallest class only; confirmed pairs are joined into components. Where classes of a bucket
    still lie in several components, these classes get a wide sketch of ``WIDE`` samples, whose
-   estimate is sharp enough to leave out texts that merely resemble each other; ``LEADS`` more
-   classes, drawn by hash, are paired with those of other components if that is less work than
-   all pairs, and then all pairs across components are searched - pairs inside one component
-   cannot change the result, so a bucket of thousands of mutual near copies costs a few pairs
-   each. No bucket is cut or skipped.
+   estimate is sharp enough to leave out texts that merely resemble each other, and an odd
+   sketch of the whole set: with the shingles no other of these classes has, it bounds the
+   similarity from above, without error. ``LEADS`` more classes, drawn by hash, are paired with
+   those of other components if that is less work than all pairs, and then all pairs across
+   components are searched - pairs inside one component cannot change the result, so a bucket
+   of thousands of mutual near copies costs a few pairs each. No bucket is cut or skipped.
 4. A pair is confirmed on the full sets, with whole numbers.
 
 A pair at the threshold 0.85 shares none of the bands with a chance of about 3e-8.
@@ -55,6 +56,8 @@ CHUNK_BYTES = 1 << 19
 _A = mix64(np.arange(WIDE, dtype=np.uint64) + np.uint64(0xA11CE)) | np.uint64(1)
 _B = mix64(np.arange(WIDE, dtype=np.uint64) + np.uint64(0xB0B))
 _LANES = [f"w{i}" for i in range(WIDE_BITS // 64)]
+#: 1024 parity bits of the shingles themselves, and of those that only one class has.
+_PARITY, _ALONE = [f"p{i}" for i in range(16)], [f"a{i}" for i in range(16)]
 _SIGNED = "n_shingles long, digest string, sketch binary, bands array<long>"
 
 
@@ -140,11 +143,28 @@ def _sets(width: int):
     return run
 
 
+def parity_lanes(values: np.ndarray) -> bytes:
+    """Odd sketch of the shingles themselves: two sets differ in at least as many as in bits."""
+    return np.packbits(np.bincount((values & np.uint64(15)) * np.uint64(64) + (values >> np.uint64(4) & np.uint64(63)), minlength=1024) & 1 != 0, bitorder="little").tobytes()
+
+
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sketches = [odd_sketch(minhash(np.frombuffer(x.as_buffer(), np.uint64), WIDE), WIDE_BITS) for x in batch.column(1)]
-        lanes = np.frombuffer(b"".join(sketches), np.int64).reshape(-1, len(_LANES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(lanes[:, i]) for i in range(len(_LANES))]], ["c", *_LANES])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        sketches = [odd_sketch(minhash(x, WIDE), WIDE_BITS) + parity_lanes(x) for x in sets]
+        names = [*_LANES, *_PARITY]
+        lanes = np.frombuffer(b"".join(sketches), np.int64).reshape(-1, len(names))
+        columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(lanes[:, i]) for i in range(len(names))]]
+        yield pa.RecordBatch.from_arrays(columns, ["c", "size", *names])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for c, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            values = np.frombuffer(x.as_buffer(), np.int64)
+            for s in range(0, len(values), 1 << 16):
+                part = values[s : s + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c)), pa.array(part)], ["c", "shingle"])
 
 
 def _confirmed(percent: int):
@@ -221,7 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     links = saved(confirmed(tested).union(shared))
     comp = components(links)
-    member = crowded.select("band", "bucket", "c", "sketch")
+    member = crowded.select("band", "bucket", "c")
     widest = most_different(percent / 100, WIDE, WIDE_BITS, WIDE_SLACK)
 
     def unsettled(member: DataFrame) -> tuple[DataFrame, int, int]:
@@ -233,18 +253,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         rows, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0))).first()
         return saved(member.join(sizes.select("band", "bucket"), ["band", "bucket"])), rows, pairs
 
+    def hopeful(sets: DataFrame) -> DataFrame:
+        """(c, alone, parity of those): shingles of a class that no other class of ``sets`` has.
+
+        Classes that cannot reach the threshold without them are left out. Two aggregates that
+        combine before the shuffle; no join on shingles, so none is hot.
+        """
+        sizes = sets.groupBy("c").agg((F.min(F.octet_length("shingles")) / 8).alias("size"), F.count(F.lit(1)).alias("texts"))
+        alone = sets.mapInArrow(_exploded, "c long, shingle long").groupBy("shingle").agg(F.min("c").alias("c"), F.max("c").alias("last"))
+        bit = "shiftleft(1L, cast(shiftright(shingle, 4) & 63 AS int))"
+        parity = [F.expr(f"bit_xor(if((shingle & 15) = {i}, {bit}, 0L))").alias(x) for i, x in enumerate(_ALONE)]
+        alone = alone.where("c = last").groupBy("c").agg(F.count(F.lit(1)).alias("alone"), *parity)
+        # A class number that stands for several texts (one document, several rows) is not bounded.
+        one = F.col("texts") == 1
+        found = sizes.join(alone, "c", "left").select("c", "size", *[F.coalesce(F.when(one, F.col(x)), F.lit(0)).alias(x) for x in ("alone", *_ALONE)])
+        return saved(found.where(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size")).drop("size"))
+
     def across(member: DataFrame, other: DataFrame) -> DataFrame:
         """Pairs of different components in a bucket that were not tested before."""
-        other = other.select("band", "bucket", F.col("c").alias("d"), F.col("comp").alias("comp2"), *[F.col(x).alias(f"other_{x}") for x in ("sketch", *_LANES)])
+        other = other.select("band", "bucket", F.col("c").alias("d"), F.col("comp").alias("comp2"), *[F.col(x).alias(f"other_{x}") for x in ("size", "alone", *_LANES, *_PARITY)])
         lanes = [F.bit_count(F.col(x).bitwiseXOR(F.col(f"other_{x}"))) for x in _LANES]
-        near = (sum(lanes[1:], lanes[0]) <= widest) & (apart("sketch", "other_sketch") <= most)
+        # Shingles that only one of the two has: those alone, and for the rest at least the bits that differ.
+        parity = [F.bit_count(F.col(x).bitwiseXOR(F.col(f"other_{x}"))) for x in _PARITY]
+        rest = F.greatest(sum(parity[1:], parity[0]), F.abs(F.col("size") - F.col("alone") - F.col("other_size") + F.col("other_alone")))
+        can = (100 + percent) * (F.col("alone") + F.col("other_alone") + rest) <= (100 - percent) * (F.col("size") + F.col("other_size"))
+        near = can & (sum(lanes[1:], lanes[0]) <= widest)
         pairs = member.join(other, ["band", "bucket"]).where((F.col("comp") != F.col("comp2")) & near)
         return saved(pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
 
     member, rows, pairs = unsettled(member)
     if rows:
-        wide = saved(sets_of(member.select("c")).mapInArrow(_wide, "c long, " + ", ".join(f"{x} long" for x in _LANES)))
-        member = saved(member.join(wide, "c"))
+        sets = saved(sets_of(member.select("c")))
+        bound = hopeful(sets)
+        wide = sets.join(bound.select("c"), "c").mapInArrow(_wide, "c long, size long, " + ", ".join(f"{x} long" for x in [*_LANES, *_PARITY]))
+        others = [F.col(x).bitwiseXOR(F.col(y)).alias(x) for x, y in zip(_PARITY, _ALONE)]
+        wide = saved(wide.join(bound, "c").select("c", "size", "alone", *_LANES, *others))
+        member, rows, pairs = unsettled(member.join(wide, "c"))
     if pairs > LEADS * rows:
         drawn = Window.partitionBy("band", "bucket").orderBy(F.xxhash64("c"), "c")
         wanted = across(member, member.withColumn("at", F.row_number().over(drawn)).where(F.col("at") <= LEADS))

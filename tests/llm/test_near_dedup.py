@@ -69,6 +69,32 @@ def test_matches_brute_force(spark, seed, width, percent):
     assert got == brute(rows, width, percent)
 
 
+def test_group_around_the_threshold(spark):
+    """Copies of one text whose pairs lie on both sides of the threshold, with one document of two texts."""
+    rng = random.Random(5)
+    base = ["b%d" % i for i in range(300)]
+    rows = []
+    for i in range(120):
+        new = list(base)
+        for at in rng.sample(range(300), rng.choice([3, 4, 5, 6, 7])):
+            new[at] = "n%d" % rng.randrange(40)
+        rows.append((i, " ".join(new)))
+    rows.append((3, " ".join(base[:150] + ["other"] * 150)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in nd.near_duplicates(docs).collect())
+    assert got == brute(rows, 5, 80)
+    assert 3 < len({r[2] for r in got}) < 120
+
+
+def test_set_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (10, 300, 5000):
+        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        y = np.unique(np.concatenate([x[size // 10 :], rng.integers(0, 2**63, size // 8).astype(np.uint64)]))
+        a, b = (np.unpackbits(np.frombuffer(nd.parity_lanes(v), np.uint8)) for v in (x, y))
+        assert 0 < int((a ^ b).sum()) <= len(np.setxor1d(x, y))
+
+
 def test_long_path_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r.node: r.comp for r in nd.components(edges).collect()}
