@@ -3,16 +3,17 @@
 The published eight-round Feistel network (NIST SP 800-38G), radix 10. The rounds are one
 ``aggregate`` over the round numbers, so the whole cipher is one expression whose size does
 not grow when filters are pushed through it. The key and tweak columns come from the policy
-table. Halves of up to 14 digits fit a long, so 28 digits in all; longer values give null
-and the caller fails closed.
+table. Halves of up to 28 digits are decimals of 38 digits, so 56 digits in all, as the
+published method allows; longer values give null and the caller fails closed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MIN_DIGITS, MAX_DIGITS = 6, 28
+MIN_DIGITS, MAX_DIGITS = 6, 56
 ROUNDS = 8
+WHOLE = "decimal(38,0)"
 
 
 def _swap_bytes(hexed: Column) -> Column:
@@ -22,18 +23,23 @@ def _swap_bytes(hexed: Column) -> Column:
 
 def _round_value(half: Column, index: Column) -> Column:
     """AES of (tweak half xor round, other half) as byte-reversed hex."""
-    number = F.lpad(F.hex(F.reverse(half).cast("long")), 24, "0")
+    number, base = F.reverse(half).cast(WHOLE), F.lit(1 << 48).cast(WHOLE)
+    low = number % base
+    number = F.concat(*[F.lpad(F.hex(x.cast("long")), 12, "0") for x in ((number - low) / base, low)])
     block = F.concat(_swap_bytes(number), F.element_at("round_tweaks", index + 1))
     cipher = F.aes_encrypt(F.unhex(block), F.col("fpe_key"), F.lit("ECB"), F.lit("PKCS"))
     return _swap_bytes(F.left(F.hex(cipher), F.lit(32)))
 
 
 def _fold(hexed: Column, modulus: Column) -> Column:
-    """128-bit hex number modulo ``modulus``, four hex digits at a time."""
+    """128-bit hex number modulo ``modulus``, eight hex digits at a time.
+
+    A remainder has up to 28 digits and 2^32 has ten, so every product fits 38 digits.
+    """
     return F.aggregate(
-        F.regexp_extract_all(hexed, F.lit(".{4}"), F.lit(0)),
-        F.lit(0).cast("long"),
-        lambda acc, part: (acc * F.lit(65536) + F.conv(part, 16, 10).cast("long")) % modulus,
+        F.regexp_extract_all(hexed, F.lit(".{8}"), F.lit(0)),
+        F.lit(0).cast(WHOLE),
+        lambda acc, part: ((acc * F.lit(1 << 32).cast(WHOLE) + F.conv(part, 16, 10).cast(WHOLE)) % modulus).cast(WHOLE),
     )
 
 
@@ -69,7 +75,7 @@ def fpe(df: DataFrame, value: str, out: str, decrypt: bool = False) -> DataFrame
     upper, lower = F.ceil(size / 2).cast("int"), F.floor(size / 2).cast("int")
 
     def power(n: Column) -> Column:
-        return F.rpad(F.lit("1"), n + 1, F.lit("0")).cast("long")
+        return F.rpad(F.lit("1"), n + 1, F.lit("0")).cast(WHOLE)
 
     start = F.struct(
         F.left(padded, upper).alias("a"),
@@ -84,7 +90,7 @@ def fpe(df: DataFrame, value: str, out: str, decrypt: bool = False) -> DataFrame
         width = F.when(i % 2 == 0, acc["u"]).otherwise(acc["v"])
         modulus = F.when(i % 2 == 0, acc["pu"]).otherwise(acc["pv"])
         keep, turn = (acc["a"], acc["b"]) if decrypt else (acc["b"], acc["a"])
-        added, old = _fold(_round_value(keep, i), modulus), F.reverse(turn).cast("long")
+        added, old = _fold(_round_value(keep, i), modulus), F.reverse(turn).cast(WHOLE)
         total = F.pmod(old - added, modulus) if decrypt else (old + added) % modulus
         fresh = F.reverse(F.lpad(total.cast("string"), width, F.lit("0")))
         a, b = (fresh, keep) if decrypt else (keep, fresh)

@@ -164,14 +164,36 @@ def _is_single(df: DataFrame):
 
 
 def _encrypt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFrame]:
-    """FPE surrogates. A clash (possible below six digits) gets a hash suffix; values the
-    cipher cannot take get no row, and masking falls back to the type name."""
-    made = materialize(fpe(rows, "real_value", "surrogate").where("surrogate is not null"))
-    lost = _taken(made, owned, reals.where(F.lit(False))).union(_clashing(made)).distinct().withColumn("lost", F.lit(True))
-    state = materialize(made.join(lost, ["entity_type", "real_value"], "left"))
-    clash = state.where("lost")
-    suffix = F.concat("surrogate", F.lit(" ("), discriminator(16), F.lit(")"))
-    return [state.where("lost is null").select(*ROW), clash.withColumn("surrogate", suffix).select(*ROW)]
+    """FPE surrogates. One that is a real value, or taken, is encrypted again, so the format stays.
+
+    The walk ends soon unless nearly all numbers of a format are in use (few digits); after
+    ``MAX_ATTEMPTS`` steps a value gets a hash suffix. Values the cipher cannot take get no
+    row, and masking falls back to the type name.
+    """
+    done: list[DataFrame] = []
+    first = pending = materialize(fpe(rows, "real_value", "surrogate").where("surrogate is not null"))
+
+    def settle(tried: DataFrame) -> DataFrame:
+        """Keep the rows nobody contests; the rest is returned."""
+        nonlocal owned
+        lost = _taken(tried, owned, reals).union(_clashing(tried)).distinct().withColumn("lost", F.lit(True))
+        state = materialize(tried.join(lost, KEY, "left"))
+        done.append(state.where("lost is null").select(*ROW))
+        owned = owned.union(_claims(done[-1]).select("token", "owner"))
+        return state.where("lost").drop("lost")
+
+    for _ in range(MAX_ATTEMPTS):
+        pending = settle(pending)
+        if pending.isEmpty():
+            return done
+        again = pending.withColumnRenamed("surrogate", "before")
+        pending = materialize(fpe(again, "before", "surrogate").drop("before"))
+    for size in (16, 64):
+        tried = first.join(pending.select(KEY), KEY, "left_semi")
+        pending = settle(materialize(tried.withColumn("surrogate", F.concat("surrogate", F.lit(" ("), discriminator(size), F.lit(")")))))
+        if pending.isEmpty():
+            return done
+    raise RuntimeError("values left without a surrogate")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -518,7 +518,8 @@ def _(spark, sf):
 # ── Transforms ───────────────────────────────────────────────────────────
 
 _NUMBERS = f"""SELECT 'PHONE_NUMBER' AS entity_type, phone AS real_value FROM ({inp.PEOPLE}) p UNION SELECT 'US_SSN', ssn FROM ({inp.PEOPLE}) p
- UNION SELECT 'CREDIT_CARD', lpad(cast(c_custkey * 7907 as string), 16, '4') FROM customer"""
+ UNION SELECT 'CREDIT_CARD', lpad(cast(c_custkey * 7907 as string), 16, '4') FROM customer
+ UNION SELECT 'CREDIT_CARD', lpad(cast(c_custkey * 7907 as string), cast(29 + c_custkey % 28 as int), '9314') FROM customer"""
 
 
 def _keyed(spark, df) -> DataFrame:
@@ -758,6 +759,23 @@ def _(spark, sf):
     return counts.withColumn("one", F.lit(1)).join(used.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+_DENSE = "SELECT 'PHONE_NUMBER' AS entity_type, lpad(cast(o_orderkey as string), 6, '0') AS real_value, o_orderkey AS ord FROM orders"
+
+
+@query(
+    "V8_dense_numbers",
+    f"SELECT entity_type, real_value, length(real_value) AS digits, 1 AS holders, false AS reused_real FROM ({_DENSE}) n",
+)
+def _(spark, sf):
+    values = load(spark, sf, _DENSE)
+    made = materialize(asg.assign(values, v.empty_vault(spark), policy_table(spark, default_policy(), CHECK_KEY)))
+    holders = made.groupBy("surrogate").agg(F.count(F.lit(1)).cast("int").alias("holders"))
+    reals = values.select(F.col("real_value").alias("surrogate"), F.lit(True).alias("reused")).distinct()
+    out = made.join(holders, "surrogate").join(reals, "surrogate", "left")
+    digits = F.when(F.col("surrogate").rlike("^[0-9]+$"), F.length("surrogate").cast("long"))
+    return out.select("entity_type", "real_value", digits.alias("digits"), "holders", F.coalesce("reused", F.lit(False)).alias("reused_real"))
+
+
 _PARTIAL_SSN = f"SELECT DISTINCT 'US_SSN' AS entity_type, '***-**-' || substr(ssn, 8, 4) AS partial FROM ({inp.PEOPLE}) p UNION SELECT 'US_SSN', 'XXX-' || substr(ssn, 5, 7) FROM ({inp.PEOPLE}) p"
 _VAULT_SSN = f"SELECT * FROM ({inp.VAULT}) v WHERE entity_type = 'US_SSN'"
 
