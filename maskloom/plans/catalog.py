@@ -633,6 +633,7 @@ _BLOBS = f"SELECT o_orderkey, text, o_orderkey % 2 = 0 AS blob FROM ({inp.NOTES}
 )
 def _(spark, sf):
     policy = Policy(entities={"SECRET": EntityRule("deterministic_faker")})
+    # only what the field itself does: the scan would also mask other rows that hold a blob's text
     return mask(load(spark, sf, _BLOBS), ["o_orderkey"], policy, CHECK_KEY, rescan=False).documents.select("o_orderkey", "text")
 
 
@@ -644,7 +645,7 @@ _PAGES = "SELECT page_id, html AS text FROM pages"
     f"""SELECT page_id, regexp_replace(html, '{RE2_EMAIL}', '&lt;EMAIL_ADDRESS&gt;', 'g') AS text FROM pages""",
 )
 def _(spark, sf):
-    return mask(load(spark, sf, _PAGES), ["page_id"], EMAIL_ONLY, CHECK_KEY, rescan=False).documents.select("page_id", "text")
+    return mask(load(spark, sf, _PAGES), ["page_id"], EMAIL_ONLY, CHECK_KEY).documents.select("page_id", "text")
 
 
 @query("T8_span_splice", f"SELECT doc_id, regexp_replace(text, '{RE2_EMAIL}', '<EMAIL_ADDRESS>', 'g') AS text FROM documents")
@@ -814,9 +815,6 @@ _MENTIONS = f"""SELECT o_orderkey, s_name, s_mail, full_name, email, o_orderkey
    WHEN 2 THEN lower(s_name) || '; ' || s_mail || 'z' ELSE 'nobody' END AS text
  FROM (SELECT o_orderkey, full_name, email, 'Q' || {inp._word('c_custkey')} || ' Z' || {inp._word('c_custkey * 3 + 1')} AS s_name,
          'u' || substr(md5(email), 1, 10) || '@example.net' AS s_mail FROM orders JOIN ({inp.PEOPLE}) p ON o_custkey = c_custkey) m"""
-_NAMES_VAULT = f"SELECT * FROM ({inp.VAULT}) v WHERE entity_type IN ('PERSON', 'EMAIL_ADDRESS')"
-
-
 @query(
     "M1_demask_text",
     f"""SELECT o_orderkey, CASE form WHEN 0 THEN 'To ' || full_name || ' <' || email || '>' WHEN 1 THEN 'x' || full_name || 'y, ' || upper(s_name)
@@ -824,7 +822,7 @@ _NAMES_VAULT = f"SELECT * FROM ({inp.VAULT}) v WHERE entity_type IN ('PERSON', '
         CASE form WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS replaced FROM ({_MENTIONS}) m""",
 )
 def _(spark, sf):
-    done = demask.demask(docs_of(spark, sf, _MENTIONS, "o_orderkey"), ["o_orderkey"], load(spark, sf, _NAMES_VAULT))
+    done = demask.demask(docs_of(spark, sf, _MENTIONS, "o_orderkey"), ["o_orderkey"], load(spark, sf, inp.VAULT))
     return done.select("o_orderkey", "demasked", F.size("replacements").alias("replaced"))
 
 
@@ -835,7 +833,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = docs_of(spark, sf, _MENTIONS, "o_orderkey")
-    return demask.demap(docs, ["o_orderkey"], default_policy(), load(spark, sf, _NAMES_VAULT), kind="value").select("o_orderkey", "text")
+    return demask.demap(docs, ["o_orderkey"], default_policy(), load(spark, sf, inp.VAULT), kind="value").select("o_orderkey", "text")
 
 
 _ARGS = """'{"q":"find ' || lower(%s) || '","items":["x ' || %s || '",3,{"n":"' || upper(%s) || '","z":"' || %s || 'z"}],"skip":{"n":"' || %s || '"},"form":' || cast(form as string) || '}'"""
@@ -856,7 +854,7 @@ _SKIP = default_policy().with_(never_mask_paths=("skip",))
 @query("M4_demap_arguments", f"SELECT o_orderkey, text FROM ({_ARGS_OUT}) a")
 def _(spark, sf):
     docs = docs_of(spark, sf, _ARGS_IN, "o_orderkey")
-    return demask.demap(docs, ["o_orderkey"], _SKIP, load(spark, sf, _NAMES_VAULT)).select("o_orderkey", "text")
+    return demask.demap(docs, ["o_orderkey"], _SKIP, load(spark, sf, inp.VAULT)).select("o_orderkey", "text")
 
 
 @query("M5_demap_change_count", f"SELECT o_orderkey, 3 AS changed FROM ({_ARGS_OUT}) a")
@@ -945,7 +943,7 @@ def _(spark, sf):
     f"SELECT page_id, regexp_replace(html, '{RE2_EMAIL}', '&lt;EMAIL_ADDRESS&gt;', 'g') AS text, cast(len(regexp_extract_all(html, '{RE2_EMAIL}')) as int) AS masked FROM pages",
 )
 def _(spark, sf):
-    done = mask(load(spark, sf, _PAGES), ["page_id"], EMAIL_ONLY, CHECK_KEY, rescan=False).documents
+    done = mask(load(spark, sf, _PAGES), ["page_id"], EMAIL_ONLY, CHECK_KEY).documents
     return done.select("page_id", "text", F.col("masked_count").alias("masked"))
 
 
@@ -1062,7 +1060,7 @@ def _(spark, sf):
 def _(spark, sf):
     base = _scratch(spark)
     store = VaultStore(spark, f"{base}/vault")
-    store.write(0, load(spark, sf, _NAMES_VAULT))
+    store.write(0, load(spark, sf, inp.VAULT))
     stream = _stream_of(spark, docs_of(spark, sf, _ARGS_IN, "o_orderkey"))
     _finish(streams.demask_stream(stream, store, lambda: _SKIP, ["o_orderkey"], f"{base}/out", f"{base}/ckpt"))
     return spark.read.parquet(f"{base}/out").select("o_orderkey", "text")
@@ -1101,5 +1099,5 @@ def _(spark, sf):
         )
 
     policy = Policy(entities={"EMPLOYEE_ID": EntityRule(REPLACE)})
-    done = mask(load(spark, sf, _BADGES), ["line"], policy, CHECK_KEY, hooks=[badges], rescan=False)
+    done = mask(load(spark, sf, _BADGES), ["line"], policy, CHECK_KEY, hooks=[badges])
     return done.documents.select("line", "text")

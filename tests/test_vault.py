@@ -92,3 +92,12 @@ def test_store(spark, vault, tmp_path):
     other._generation = lambda: 0
     with pytest.raises(Exception):
         other.read().collect()
+
+
+def test_cipher_surrogates_are_no_real_values(spark, key):
+    """Three digits, 400 of the 1000 numbers in use: the walk goes on until the number is free."""
+    values = spark.createDataFrame([("PHONE_NUMBER", f"{i:03d}", i) for i in range(400)], "entity_type string, real_value string, ord int")
+    made = asg.assign(values, v.empty_vault(spark), policy_table(spark, default_policy(), key)).collect()
+    fresh = [r.surrogate for r in made]
+    assert len(set(fresh)) == len(made) == 400
+    assert not set(fresh) & {f"{i:03d}" for i in range(400)}
