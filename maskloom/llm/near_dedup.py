@@ -21,7 +21,8 @@
 
 A pair at the threshold 0.85 shares none of the bands with a chance of about 3e-8.
 
-Hot buckets: bucket rows hold no text and no set, only a class number and a 32-byte sketch.
+Hot buckets: bucket rows hold no text and no set, only a class number and a 32-byte sketch (two
+of 128 bytes for the classes of buckets with several components).
 The pairing with the smallest class is an aggregate and an equi-join that adaptive execution
 can split; sets come in by two equi-joins on class numbers.
 
