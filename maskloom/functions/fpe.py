@@ -43,7 +43,7 @@ def _fold(hexed: Column, modulus: Column) -> Column:
     )
 
 
-def _spread_digits(value: Column, digits: Column) -> Column:
+def spread_digits(value: Column, digits: Column) -> Column:
     """Put ``digits`` back at the digit positions of ``value``.
 
     The digits ride in the state, so that they are computed once and not per character.
@@ -104,6 +104,6 @@ def fpe(df: DataFrame, value: str, out: str, decrypt: bool = False) -> DataFrame
         out,
         F.when(
             F.length(digits).between(1, MAX_DIGITS),
-            _spread_digits(F.col(value), F.right(made, F.length(digits))),
+            spread_digits(F.col(value), F.right(made, F.length(digits))),
         ),
     )

@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from maskloom.functions.fpe import fpe
-from maskloom.functions.surrogates import discriminator, with_fake
+from maskloom.functions.fpe import fpe, spread_digits
+from maskloom.functions.surrogates import discriminator, hmac_hex, mac_message, with_fake
 from maskloom.functions.text import words
 from maskloom.operators import vault as v
 from maskloom.policy import FAKE, FPE, REPLACE
 from maskloom.runtime import global_rank, materialize, rebalanced
 
 MAX_ATTEMPTS = 32
-CIPHER_STEPS = 8  # a format with half its numbers in use leaves one value in 256 unsettled
+CIPHER_STEPS = 8  # values unsettled then are dealt the free numbers of their format
+LOW_DIGITS = 15  # digits that vary among the numbers dealt
+BLOCK = 4096
 CLAIM = "struct<token:string,owner:string>"
 ROW = ["entity_type", "real_value", "surrogate", "ord"]
 
@@ -167,8 +169,9 @@ def _is_single(df: DataFrame):
 def _encrypt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFrame]:
     """FPE surrogates. One that is a real value, or taken, is encrypted again, so the format stays.
 
-    The walk ends soon unless nearly all numbers of a format are in use (few digits); after
-    ``CIPHER_STEPS`` steps a value gets a hash suffix. Values the cipher cannot take get no
+    Values that ``CIPHER_STEPS`` steps leave unsettled, or whose walk is a ring of numbers in
+    use, are dealt the free numbers of their format. Only where a format has fewer free numbers
+    than values, the values left over get a hash suffix. Values the cipher cannot take get no
     row, and masking falls back to the type name.
     """
     done: list[DataFrame] = []
@@ -189,6 +192,11 @@ def _encrypt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFr
             return done
         again = pending.withColumnRenamed("surrogate", "before")
         pending = materialize(fpe(again, "before", "surrogate").drop("before"))
+    free = _dealt(pending.drop("surrogate"), owned, reals)
+    left = pending.join(free.select(KEY), KEY, "left_anti").select(KEY)
+    pending = settle(free).select(KEY).union(left)
+    if pending.isEmpty():
+        return done
     for size in (16, 64):
         tried = first.join(pending.select(KEY), KEY, "left_semi")
         pending = settle(materialize(tried.withColumn("surrogate", F.concat("surrogate", F.lit(" ("), discriminator(size), F.lit(")")))))
@@ -197,6 +205,57 @@ def _encrypt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFr
     raise RuntimeError("values left without a surrogate")
 
 
+def _format(text):
+    """Values of one format compete for its numbers, whatever their type and letter case."""
+    return F.regexp_replace(F.lower(text), "[0-9]", "0")
+
+
+def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``place``, the 0-based rank within a format, without a task that holds a format."""
+    ranked = materialize(global_rank(rows, [F.col(c) for c in ("format", *order)], "rank"))
+    first = ranked.groupBy("format").agg(F.min("rank").alias("first"))
+    return ranked.join(first, "format").withColumn("place", F.col("rank") - F.col("first")).drop("rank", "first")
+
+
+def _dealt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> DataFrame:
+    """``rows`` with a free number of their format as surrogate, as far as there are any.
+
+    With u numbers of a format in use and n values waiting, u + n distinct numbers (or all the
+    format has) hold a free one for each value, so no more are made. A keyed linear map strews
+    them over the format; digits beyond ``LOW_DIGITS`` come from the same MAC.
+    """
+    rows = materialize(rows.withColumn("format", _format(F.col("real_value"))))
+    wanted = rows.groupBy("format").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by(F.struct("inner_pad", "outer_pad"), F.struct(*KEY)).alias("pads"),
+    )
+    wanted = materialize(wanted.select("format", "n", "pads.*"))
+    used = owned.select("token").union(reals.select("token")).withColumn("format", _format(F.col("token")))
+    used = materialize(used.join(wanted.select("format"), "format", "left_semi").distinct())
+    wanted = wanted.join(used.groupBy("format").agg(F.count(F.lit(1)).alias("u")), "format", "left")
+    digits = F.length(F.regexp_replace("format", "[^0]", ""))
+    low = F.least(digits, F.lit(LOW_DIGITS))
+    wanted = wanted.select("format", digits.alias("digits"), low.alias("low"), F.rpad(F.lit("1"), low + 1, F.lit("0")).cast("long").alias("numbers"),
+                           (F.col("n") + F.coalesce("u", F.lit(0))).alias("needed"),
+                           hmac_hex(F.concat(F.lit("FORMAT:"), F.col("format"))).alias("mac"))
+    # 10 k + 1, 3, 7 or 9 has no factor in common with the numbers of a format, so none comes twice.
+    part = [F.conv(F.substring("mac", i, 12), 16, 10).cast("long") for i in (1, 13)]
+    high = F.translate(F.substring(F.concat("mac", F.reverse("mac")), 1, F.col("digits") - F.col("low")), "abcdef", "031479")
+    wanted = materialize(wanted.withColumns({"times": part[0] * 10 + 7, "plus": part[1], "high": high, "needed": F.least("needed", "numbers")}))
+    blocks = wanted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("needed") - 1) / BLOCK))))
+    start = F.col("block") * BLOCK
+    made = rebalanced(blocks).withColumn("at", F.explode(F.sequence(start, F.least(start + BLOCK, F.col("needed")) - 1)))
+    wide = "decimal(19,0)"
+    number = (F.col("at").cast(wide) * F.col("times").cast(wide) + F.col("plus")) % F.col("numbers").cast(wide)
+    made = made.select("format", "at", F.concat("high", F.lpad(number.cast("decimal(19,0)").cast("string"), F.col("low"), F.lit("0"))).alias("digits"))
+    taken = used.select("format", F.regexp_replace("token", "[^0-9]", "").alias("digits"))
+    free = _placed(made.join(taken, ["format", "digits"], "left_anti"), ["at"]).select("format", "place", "digits")
+    mac = hmac_hex(mac_message(F.col("entity_type"), F.col("real_value")))
+    waiting = _placed(rows.withColumn("mac", mac), ["mac", *KEY]).drop("mac")
+    got = waiting.join(free, ["format", "place"])
+    return materialize(got.withColumn("surrogate", spread_digits(F.col("real_value"), F.col("digits"))).drop("format", "place", "digits"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -101,3 +101,25 @@ def test_cipher_surrogates_are_no_real_values(spark, key):
     fresh = [r.surrogate for r in made]
     assert len(set(fresh)) == len(made) == 400
     assert not set(fresh) & {f"{i:03d}" for i in range(400)}
+
+
+def test_dense_formats_keep_their_digits(spark, key):
+    """Half of a six-digit format in use: nobody gets a suffix."""
+    known = spark.range(500_000).select(F.lit("PHONE_NUMBER").alias("entity_type"), F.format_string("%06d", F.col("id") * 2).alias("real_value"), F.concat(F.lit("s"), "id").alias("surrogate"), F.col("id").alias("seq"), F.lit(False).alias("derived"))
+    values = spark.range(6000).select(F.lit("PHONE_NUMBER").alias("entity_type"), F.format_string("%06d", F.col("id") * 150 + 1).alias("real_value"), F.col("id").alias("ord"))
+    made = asg.assign(values, known, policy_table(spark, default_policy(), key)).collect()
+    fresh = {r.surrogate for r in made}
+    assert len(made) == len(fresh) == 6000 and all(len(s) == 6 and s.isdigit() and int(s) % 2 for s in fresh)
+    assert not fresh & {r.real_value for r in made}
+
+
+@pytest.mark.parametrize("n,suffixed", [(500, 0), (510, 20)])
+def test_suffix_only_without_free_numbers(spark, key, n, suffixed):
+    """Three digits: 500 values need all the 500 numbers left; of 510 values, 490 find one."""
+    rows = [("PHONE_NUMBER", f"No {i:03d}" if i % 2 else f"NO {i:03d}", i) for i in range(n)] + [("PHONE_NUMBER", "9" * 40, n)]
+    values = spark.createDataFrame(rows, "entity_type string, real_value string, ord int")
+    made = asg.assign(values, v.empty_vault(spark), policy_table(spark, default_policy(), key)).collect()
+    assert len({r.surrogate.lower() for r in made}) == len(made) == n + 1
+    assert sum("(" in r.surrogate for r in made) == suffixed
+    assert not {r.surrogate.lower() for r in made} & {r[1].lower() for r in rows}
+    assert all(r.surrogate[:3] == r.real_value[:3] for r in made if len(r.real_value) == 6)
