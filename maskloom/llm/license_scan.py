@@ -1,6 +1,6 @@
 """License scan: canonical digests of entire texts and lines, hash-joined to known digests.
 
-A text is brought to a canonical form - copyright lines dropped, A-Z lower-cased, everything
+A text is brought to a canonical form - copyright notices dropped, A-Z lower-cased, everything
 but letters and digits made one blank, equivalent spellings replaced - and its SHA-256 is looked
 up among the digests of known licences. Each of its lines is looked up in the same way among
 known notices. The known texts go through the same expressions, so new ones are added as rows.
@@ -16,6 +16,8 @@ An empty table gives an empty result. Extra columns are carried; clashing ones a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskloom.llm.common import measured, saved, table
@@ -53,7 +55,40 @@ SPELLINGS = [
     (" copyright owner ", " copyright holder "),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT = r"^[ \t]*(copyright |copyright:|\(c\)|©|all rights reserved)"
+
+# Words that follow "copyright" in the running text of licences, so a line may begin there.
+_NO_HOLDER = (
+    "notice notices holder holders owner owners law laws license licenses licence licences statement statements "
+    "protection protections disclaimer and or to in of on for is are the this that permission interest interests "
+    "treaty treaties rights right status conditions like doctrines industry as from under with can may shall"
+).split()
+_NO_HOLDER += [w for _, t in KNOWN for w in re.findall(r"copyright[ \t\n]+([a-z]+)", t.lower())]
+# The same after "(c)", a list mark in running text.
+_NO_HOLDER_C = [w for _, t in KNOWN for w in re.findall(r"\(c\)[ \t\n]*([a-z]+)", t.lower())] + ["you", "the"]
+_FOREIGN = "\u00aa-\uffff"
+
+
+def _other_word(words: list[str], first: bool = False) -> str:
+    """Pattern of a word that is none of ``words``, without look-ahead, which RE2 lacks."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        tails.setdefault(w[:1], []).append(w[1:])
+    heads = sorted(c for c in tails if c)
+    free = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in heads)
+    parts = [f"[{free}{_FOREIGN}]", *(c + _other_word(tails[c]) for c in heads)]
+    ended = [] if first or "" in tails else [f"[^a-z{_FOREIGN}]", "$"]
+    return f"(?:{'|'.join(parts + ended)})"
+
+
+_MARK = r"(?:\(c\)|©|&copy;)"
+# After any comment marks: a copyright notice with a mark, a year or a holder, or "all rights reserved" alone.
+_COPYRIGHT = (
+    r"^[ \t\x21-\x27\x29-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*(?:"
+    rf"copyright[ \t:,]*(?:{_MARK}|[0-9])|copyright[ \t:]+{_other_word(_NO_HOLDER, True)}"
+    r"|copyright[ \t]+the[ \t][a-z0-9 .,\x27&-]*(?:authors|contributors|developers|project|foundation)"
+    rf"|{_MARK}[ \t]*(?:[0-9]|{_other_word(_NO_HOLDER_C, True)})"
+    r"|all rights reserved[^a-z0-9]*$)"
+)
 
 
 def _lower_lines(text: Column) -> Column:
@@ -73,7 +108,7 @@ def digest(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Of an entire text; lines that begin as a copyright notice are dropped."""
+    """Of an entire text; lines that begin as a copyright notice, behind comment marks or not, are dropped."""
     return _plain(F.array_join(F.filter(_lower_lines(text), lambda x: ~x.rlike(_COPYRIGHT)), " "))
 
 

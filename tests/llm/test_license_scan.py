@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,3 +45,29 @@ def test_empty_and_clash(spark):
     assert ls.scan(docs, ls.known_digests(spark)).count() == 0
     with pytest.raises(ValueError):
         ls.scan(docs.withColumn("License", F.lit(1)), ls.known_digests(spark))
+
+
+def test_layout_does_not_matter(spark):
+    """Wrap widths, comment marks and notices; running text that begins with "copyright" stays."""
+    heads = ["", "Copyright (c) 2020 X\n\n", "Copyright Jane Doe\nAll rights reserved.\n\n", "(c) 2019 Lawson\n", "\u00a9 X Y\n", "Copyright Lawson Inc\n"]
+    rows = []
+    for name, text in ls.KNOWN:
+        if len(text) < 200 or len(text) > 2500:
+            continue
+        for width in (30, 50, 72, 79, 10**6):
+            body = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+            for head in heads:
+                for mark in ("", "# ", " * ", "// "):
+                    rows.append((name, "\n".join(mark + x for x in (head + body).split("\n"))))
+    isc = ls._ISC.replace("that the above copyright", "that the above\ncopyright")
+    rows += [("ISC", isc), (None, "copyright notice\n" + isc)]
+    got = ls.scan(spark.createDataFrame(rows, "want string, text string"), ls.known_digests(spark)).collect()
+    assert [r for r in got if r.want != r.license] == []
+
+
+def test_pattern_is_the_same_in_sql():
+    lines = ["copyright notice", "copyright notices and", "copyright noticed 1", "copyright", "# copyright (c) x", "(c) you must", "(c) youth", "\u00a9 me", "all rights reserved.", "all rights reserved. use", "copyright \u00e9va", "// copyright 2020"]
+    dropped = [False, False, True, False, True, False, True, True, True, False, True, True]
+    assert [bool(re.match(ls._COPYRIGHT, x)) for x in lines] == dropped
+    duckdb = pytest.importorskip("duckdb")
+    assert [duckdb.execute("SELECT regexp_matches(?, '" + ls._COPYRIGHT + "')", [x]).fetchone()[0] for x in lines] == dropped
