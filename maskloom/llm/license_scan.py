@@ -17,6 +17,7 @@ An empty table gives an empty result. Extra columns are carried; clashing ones a
 from __future__ import annotations
 
 import re
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,6 +43,73 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
+# Whole texts are files of this package, one for each licence: the names of the files are the SPDX ids.
+_FILES = "Apache-2.0 Artistic-1.0-Perl CC0-1.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0".split()
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_NAMED = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_TITLES = {"BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License")}
+#: SPDX id: names a notice gives the licence.
+_NAMES = {
+    "MIT": "MIT License",
+    "ISC": "ISC License",
+    "0BSD": "0BSD License|BSD Zero Clause License",
+    "BSD-2-Clause": "BSD 2-Clause License|2-Clause BSD License|Simplified BSD License",
+    "BSD-3-Clause": "BSD 3-Clause License|3-Clause BSD License|New BSD License",
+    "Apache-2.0": "Apache License, Version 2.0|Apache License 2.0|Apache 2.0 License",
+    "MPL-1.1": "Mozilla Public License, Version 1.1|Mozilla Public License 1.1",
+    "MPL-2.0": "Mozilla Public License, Version 2.0|Mozilla Public License 2.0|MPL 2.0",
+    **{f"{a}-{n}": "|".join(f"{w}{x}" for w in names for x in (f", version {n[:-2] if n.endswith('.0') else n}", f" version {n}", f" v{n}"))
+       for a, names, versions in (("GPL", ("GNU General Public License", "GNU GPL", "GPL"), ("1.0", "2.0", "3.0")), ("LGPL", ("GNU Lesser General Public License", "GNU LGPL", "LGPL"), ("2.1", "3.0")), ("AGPL", ("GNU Affero General Public License", "GNU AGPL", "AGPL"), ("3.0",)))
+       for n in versions},
+    **{f"CC-{a}-{n}": f"CC {a} {n}" for a in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for n in ("3.0", "4.0")},
+    "CC0-1.0": "CC0 1.0|CC0 1.0 Universal",
+    "Unlicense": "Unlicense",
+    "Zlib": "zlib License",
+    "BSL-1.0": "Boost Software License, Version 1.0|Boost Software License 1.0",
+    "EPL-2.0": "Eclipse Public License, Version 2.0|Eclipse Public License 2.0",
+}
+_SAID = [f"{x}{y}" for x in ("", "This work is ", "This project is ", "This software is ", "This program is ", "This file is ") for y in ("Licensed under", "Released under", "Distributed under")]
+
+
+def _known_texts() -> list[tuple[str, str]]:
+    """Whole texts of common licences with and without title or appendix, and their standard headers."""
+    folder, rows = files(__package__) / "licenses", []
+    for name in _FILES:
+        text = (folder / f"{name}.txt").read_text(encoding="utf-8")
+        rows.append((name, text))
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        if end:
+            rows += [(name, text[: end.start()]), (name, text[: end.end()])]
+        # The appendix's own notice, which a user fills in, is dropped with other notices then.
+        if "Copyright [yyyy]" in text:
+            rows.append((name, re.sub(r"(?m)^.*Copyright \[yyyy\].*\n", "", text)))
+        for begin, last in ((r"Licensed under the Apache License", r"limitations under the License\."), (r"This Source Code Form is subject", r"MPL/2\.0/\."), (r"This (?:program|library) is free software", r"licenses/>\.|MA +[-0-9]+,? +USA\.?|USA")):
+            rows += [(name, y) for x in re.findall(rf"{begin}[\s\S]{{0,900}}?(?:{last})", text) for y in {x, x.replace("http:", "https:")}]
+    for name, text in (("BSD-2-Clause", _BSD % ""), ("BSD-3-Clause", _BSD % _NAMED)):
+        for body in (text, re.sub(r"(?m)^[123]\. ", "", text)):
+            rows += [(name, body), *((name, f"{title}\n\n{body}") for title in _TITLES[name])]
+    return rows
+
+
+def _known_notices() -> list[tuple[str, str]]:
+    rows = []
+    for name, said in _NAMES.items():
+        forms = [name, *(f"{name}-{x}" for x in ("only", "or-later") if "GPL-" in name)]
+        rows += [(x, f"SPDX-License-Identifier: {x}") for x in forms]
+        for x in said.split("|"):
+            rows += [(name, f"{start} {the}{x}") for start in _SAID for the in ("", "the ")]
+    return rows
+
+
+KNOWN += [("MIT", "The MIT License (MIT)\n\n" + _MIT), ("MIT", "The MIT License\n\n" + _MIT), *_known_texts(), *_known_notices()]
 SPELLINGS = [
     (" licence ", " license "),
     (" licences ", " licenses "),

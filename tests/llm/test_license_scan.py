@@ -1,6 +1,7 @@
 import hashlib
 import re
 import textwrap
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,18 @@ def test_pattern_is_the_same_in_sql():
     assert [bool(re.match(ls._COPYRIGHT, x)) for x in lines] == dropped
     duckdb = pytest.importorskip("duckdb")
     assert [duckdb.execute("SELECT regexp_matches(?, '" + ls._COPYRIGHT + "')", [x]).fetchone()[0] for x in lines] == dropped
+
+
+def test_common_licences_are_known(spark):
+    known = Path(ls.__file__).with_name("licenses")
+    rows = [(p.stem, "", p.read_text()) for p in sorted(known.glob("*.txt"))]
+    bsd = ls._BSD % ls._NAMED
+    rows += [("BSD-3-Clause", "", "Copyright (c) 2020, X\nAll rights reserved.\n\n" + bsd), ("BSD-2-Clause", "", "BSD 2-Clause License\n\nCopyright (c) 2020, X\n\n" + ls._BSD % "")]
+    apache = (known / "Apache-2.0.txt").read_text()
+    rows += [("Apache-2.0", "", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 X"))]
+    rows += [(None, x, f"# {said}\ncode") for x, said in (("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"), ("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-or-later"))]
+    got = ls.scan(spark.createDataFrame(rows, "want string, line string, text string"), ls.known_digests(spark)).collect()
+    assert [(r.want, r.license) for r in got if r.want != r.license] == []
+    assert [r for r in got if r.line and r.notices != r.line] == []
+    headers = {n for n, t in ls.KNOWN if 100 < len(t) < 1000 and ("free software" in t or "Apache License" in t or "Source Code Form" in t)}
+    assert {"Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1"} <= headers
