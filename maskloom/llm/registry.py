@@ -1,6 +1,6 @@
 """Registered queries of this folder and their SQL, where SQL can express them."""
 
-from maskloom.llm import approximation_search, hard_negatives, license_scan, line_dedup, mixing, multiset_hash, near_dedup, one_bit_search, packing, quality, repeats, url_rules
+from maskloom.llm import approximation_search, collocations, hard_negatives, license_scan, line_dedup, mixing, multiset_hash, near_dedup, one_bit_search, packing, quality, repeats, url_rules
 
 QUERIES = {
     "op1_repeats": repeats.op1_repeats,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_approximation_search": approximation_search.op11_approximation_search,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op2_license_scan": license_scan.SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op9_line_dedup": line_dedup.SQL,
     "op11_approximation_search": approximation_search.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_collocations": collocations.SQL,
 }
