@@ -83,11 +83,11 @@ class Terms:
         return np.array([xxhash.xxh64_intdigest(w, seeds[i]) for w, i in zip(self.words.cast(pa.binary()).to_pylist(), self.lang)], np.uint64)
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Terms, list[str]]]:
+def _terms(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[Terms, list[str]]]:
     for batch in batches:
         coded = batch.column(0).dictionary_encode()
         names, langs = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        for first, last, data, offsets in chunks(batch, "text", CHUNK):
+        for first, last, data, offsets in chunks(batch, "text", chunk):
             if len(data):
                 yield Terms(data, offsets, langs[first:last]), names
 
@@ -96,13 +96,17 @@ def _named(names: list[str], lang: np.ndarray) -> pa.Array:
     return pa.array(names, pa.string()).take(pa.array(lang))
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_counts(chunk: int):
     """(lang, phrase, n): each word of a chunk, and under a null phrase the number of all words."""
-    for terms, names in _terms(batches):
-        n = np.bincount(terms.terms, minlength=len(terms.lang)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([_named(names, terms.lang), terms.words, pa.array(n)], ["lang", "phrase", "n"])
-        total = np.bincount(terms.lang, n, minlength=len(names)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.nulls(len(names), pa.string()), pa.array(total)], ["lang", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for terms, names in _terms(batches, chunk):
+            n = np.bincount(terms.terms, minlength=len(terms.lang)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([_named(names, terms.lang), terms.words, pa.array(n)], ["lang", "phrase", "n"])
+            total = np.bincount(terms.lang, n, minlength=len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.nulls(len(names), pa.string()), pa.array(total)], ["lang", "phrase", "n"])
+
+    return run
 
 
 def _pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -126,13 +130,13 @@ def bit_table(rows: DataFrame, hashed: Column) -> np.ndarray:
 
 
 def maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes & np.uint64(FILTER_BITS - 1)
+    slot = hashes & np.uint64(len(bits) * 64 - 1)
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _pair_counts(bits: np.ndarray):
+def _pair_counts(bits: np.ndarray, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for terms, names in _terms(batches):
+        for terms, names in _terms(batches, chunk):
             fine = maybe(bits, terms.hashes([x.encode() for x in names]))[terms.terms]
             at = np.flatnonzero(terms.joined & fine[1:] & fine[:-1])
             pairs, n = np.unique(terms.terms[at] * len(terms.lang) + terms.terms[at + 1], return_counts=True)
@@ -153,11 +157,11 @@ def alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def _suffixes(bits: np.ndarray, max_words: int):
+def _suffixes(bits: np.ndarray, max_words: int, chunk: int):
     """(lang, words, n): the pruned suffixes of a chunk, equal ones added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for terms, names in _terms(batches):
+        for terms, names in _terms(batches, chunk):
             hashes = terms.hashes([x.encode() for x in names])[terms.terms]
             good = terms.joined & maybe(bits, _pair_hashes(hashes[:-1], hashes[1:]))
             at = np.flatnonzero(good)
@@ -180,7 +184,7 @@ def _suffixes(bits: np.ndarray, max_words: int):
     return run
 
 
-def multikey_quicksort(keys: np.ndarray, weights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def multikey_quicksort(keys: np.ndarray, weights: np.ndarray, least: int, few: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of, depth and weight of every equal partition of ``least`` weight or more.
 
     Three-way partitioning of row pointers by one column after the other; -1 ends a row. Partitions
@@ -193,7 +197,7 @@ def multikey_quicksort(keys: np.ndarray, weights: np.ndarray, least: int) -> tup
     stack = [(np.arange(len(keys)), 0)]
     while stack:
         rows, depth = stack.pop()
-        if len(rows) <= SMALL:
+        if len(rows) <= few:
             small.append((rows, depth))
             continue
         value = keys[rows, depth]
@@ -264,19 +268,19 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     """(lang, n) of all words; (lang, phrase, size, n) of the frequent words; and of the frequent phrases of 2 to ``max_words`` words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_word_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(_word_counts(CHUNK), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     counted = saved(counted.where(F.col("phrase").isNull() | (F.col("n") >= min_count)))
     totals = counted.where(F.col("phrase").isNull() & (F.col("n") > 0)).select("lang", "n")
     words = counted.where(F.col("phrase").isNotNull()).select("lang", "phrase", F.lit(1).alias("size"), "n")
 
     bits = bit_table(words, F.xxhash64("lang", "phrase"))
-    leads = texts.mapInArrow(_pair_counts(bits), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    leads = texts.mapInArrow(_pair_counts(bits, CHUNK), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     leads = saved(leads.where(F.col("n") >= min_count))
     bits = bit_table(leads, _pair_hash_column())
     total = leads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(parts(spark), -(-total // TASK_SUFFIXES))
 
-    suffixes = texts.mapInArrow(_suffixes(bits, max_words), "lang string, words string, n long")
+    suffixes = texts.mapInArrow(_suffixes(bits, max_words, CHUNK), "lang string, words string, n long")
     hot = F.broadcast(saved(leads.where(F.col("n") * 4 * tasks > total).select("lang", F.col("phrase").alias("lead"), F.lit(True).alias("hot"))))
     led = suffixes.withColumn("lead", F.substring_index("words", " ", 2)).join(hot, ["lang", "lead"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     route = F.when(F.col("hot"), F.xxhash64("lang", "words")).otherwise(F.xxhash64("lang", "lead"))

@@ -58,10 +58,9 @@ def rows_of(seed, hot=0.0):
     return rows + [("en", None), ("en", ""), (None, None), ("fr", " .,\n"), ("de", "a a a a a a a a a a a a"), ("de", "a b. a b, a b")] + [rows[0]] * 7
 
 
-@pytest.mark.parametrize("seed,hot,small", [(1, 0.0, 64), (2, 0.8, 2), (3, 0.3, 1)])
-def test_matches_brute_force(spark, monkeypatch, seed, hot, small):
+@pytest.mark.parametrize("seed,hot", [(1, 0.0), (2, 0.8)])
+def test_matches_brute_force(spark, monkeypatch, seed, hot):
     rows = rows_of(seed, hot)
-    monkeypatch.setattr(co, "SMALL", small)
     monkeypatch.setattr(co, "CHUNK", 300)
     want = brute(rows, 4)
     assert len(want) > 50
@@ -89,8 +88,7 @@ def test_empty_rare_and_extra_columns(spark):
 
 
 @pytest.mark.parametrize("least,small", [(1, 0), (7, 0), (7, 20), (1, 64)])
-def test_partition_sizes_are_counts(monkeypatch, least, small):
-    monkeypatch.setattr(co, "SMALL", small)
+def test_partition_sizes_are_counts(least, small):
     rng = np.random.default_rng(least + small)
     keys = np.minimum(rng.integers(0, 9, (3000, 4)), rng.integers(0, 9, (3000, 4)))
     for d in range(1, 4):
@@ -101,6 +99,6 @@ def test_partition_sizes_are_counts(monkeypatch, least, small):
         for d in range(1, 5):
             if row[d - 1] >= 0:
                 want[tuple(row[:d])] += w
-    head, depth, sums = co.multikey_quicksort(keys, weights, least)
+    head, depth, sums = co.multikey_quicksort(keys, weights, least, small)
     got = [(tuple(keys[h, :d].tolist()), int(s)) for h, d, s in zip(head, depth, sums)]
     assert len(got) == len(set(got)) and dict(got) == {p: n for p, n in want.items() if n >= least}
