@@ -43,7 +43,7 @@ from maskloom.runtime import spread_join
 MIN_COUNT, MAX_WORDS, TOP, SHARE = 100, 5, 2000, 100
 #: Bits of the table of words (and of pairs) that may be frequent; a larger vocabulary makes it less selective, never wrong.
 FILTER_BITS = 1 << 24
-CHUNK = 1 << 25
+CHUNK = 1 << 22
 #: Suffixes a task sorts, and rows of a partition from which three-way partitioning goes on.
 TASK_SUFFIXES, SMALL = 1 << 21, 64
 _PIECE = np.zeros(256, bool)
@@ -67,7 +67,7 @@ class Terms:
         ends[cuts - 1] = inside[cuts - 1]
         first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         row = np.searchsorted(offsets, first, "right") - 1
-        piece = np.cumsum(_PIECE[data], dtype=np.int64)
+        piece = np.cumsum(_PIECE[data], dtype=np.int32)
         self.joined = (row[1:] == row[:-1]) & (piece[first[1:]] == piece[last[:-1] - 1])
         bounds = np.zeros(len(first) + 1, np.int64)
         np.cumsum(last - first, out=bounds[1:])
