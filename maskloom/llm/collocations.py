@@ -1,25 +1,28 @@
 """Collocated phrases by multikey three-way quicksort of suffixes.
 
-Leads. Texts are cut into pieces and words, and words counted per language; then pairs of
-neighbouring words that may both be frequent. A phrase's words and pairs are at least as frequent
-as the phrase, so a suffix (the up to ``max_words`` words from a position on) ends before its first
-pair that is not frequent. Which words and pairs may be frequent, tasks look up in a bit table of
-fixed size: it has no false negatives, so it only saves work, whatever the size of the corpus.
-
-Sort. Suffixes, equal ones of a chunk added up, are routed by language and leading two words, so a
-task holds whole partitions. It sorts its suffix pointers by three-way partitioning, word by word:
-the weight of an equal partition at depth d is the count of its d words, a partition below the
-least count is abandoned at once, and small ones are finished by a plain sort. A lead that alone
-fills much of a task is hot: its suffixes are routed by all their words, partitions of it are never
-abandoned, and their sizes are added up over the tasks. There are at most ``4 * tasks`` hot leads.
+Slots. A phrase is at most as frequent as its words and as its pairs of neighbouring words. Words,
+then pairs, are counted by hash in a table of fixed size, cut into ranges that tasks add up; a slot
+below the least count rules its words or pairs out. Slots have no false negatives, so they only
+save work, whatever the size of the corpus. A suffix (the up to ``max_words`` words from a position
+on) ends before its first pair that is ruled out.
+
+Sort. Suffixes, equal ones of a task added up, are routed by language and leading two words, packed
+as runs, so a task holds whole partitions. It sorts its suffix pointers by three-way partitioning,
+word by word: the weight of an equal partition at depth d is the count of its d words, a partition
+below the least count is abandoned at once, and small ones are finished by a plain sort. A lead that
+alone fills much of a task is hot: its suffixes are routed by all their words, partitions of it are
+never abandoned, and their sizes are added up over the tasks. There are at most ``4 * tasks`` hot
+leads.
 
 Scores. Each cut of a phrase looks up the counts of its two parts by equi-joins that spread hot
 parts; products are decimals of 38 digits. Sub-phrases of longer phrases meet them by an equi-join
 after the most frequent container is taken.
 
-Scale. Texts are read three times and never shuffled; what is shuffled are counts per chunk and
-pruned suffixes. Number of tasks follows the number of suffixes, so that a task's share fits in
-memory. The driver sees the bit tables and one total; written tables are in the shared folder.
+Scale. Texts are read three times and never shuffled; what is shuffled are compressed counts and
+runs of pruned suffixes. A task hands out what it gathered when that passes ``GATHERED`` entries. The
+number of tasks follows the number of suffixes, so that a task's share fits in memory. The driver
+sees the bit tables (8 MB), hot leads, and as many common words as have a short number (``NUMBERED``
+at most; others are spelled out in each run). Written tables are in the shared folder.
 
 Defined results. A null text counts as empty, a null lang as ``und``. Rows need no id, repeated rows
 count as often as they are there. Equal scores and counts: phrase in byte order. Empty tables, and
@@ -28,22 +31,27 @@ tables without a frequent phrase, give an empty result. Extra columns are not re
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from maskloom.llm.common import chunks, measured, parts, saved, table
+from maskloom.llm.common import chunks, measured, mix64, parts, saved, table
 from maskloom.llm.words import LOWER
 from maskloom.runtime import spread_join
 
 MIN_COUNT, MAX_WORDS, TOP, SHARE = 100, 5, 2000, 100
-#: Bits of the table of words (and of pairs) that may be frequent; a larger vocabulary makes it less selective, never wrong.
-FILTER_BITS = 1 << 24
-CHUNK = 1 << 22
+#: Slots of the counts of words (and of pairs), and of one range of them; more words make slots less selective, never wrong.
+SLOTS, RANGE = 1 << 26, 1 << 20
+#: Slots of a range that may be hot leads.
+NAMED = 1 << 12
+#: Bytes of text at once; entries a task gathers before it hands them out; words with a short number.
+CHUNK, GATHERED, NUMBERED = 1 << 22, 1 << 22, 1 << 20
 #: Suffixes a task sorts, and rows of a partition from which three-way partitioning goes on.
 TASK_SUFFIXES, SMALL = 1 << 21, 64
 _PIECE = np.zeros(256, bool)
@@ -77,9 +85,8 @@ class Terms:
         self.lang, word = np.divmod(both, max(len(coded.dictionary), 1))
         self.words = coded.dictionary.take(pa.array(word)).cast(pa.binary()).cast(pa.string())
 
-    def hashes(self, langs: list[bytes]) -> np.ndarray:
-        """What xxhash64(lang, word) gives in Spark."""
-        seeds = [xxhash.xxh64_intdigest(x, 42) for x in langs]
+    def hashes(self, names: list[str]) -> np.ndarray:
+        seeds = [xxhash.xxh64_intdigest(x.encode()) for x in names]
         return np.array([xxhash.xxh64_intdigest(w, seeds[i]) for w, i in zip(self.words.cast(pa.binary()).to_pylist(), self.lang)], np.uint64)
 
 
@@ -96,57 +103,144 @@ def _named(names: list[str], lang: np.ndarray) -> pa.Array:
     return pa.array(names, pa.string()).take(pa.array(lang))
 
 
-def _word_counts(chunk: int):
-    """(lang, phrase, n): each word of a chunk, and under a null phrase the number of all words."""
+class Slots:
+    """Counts by slot, gathered as sorted numbers and handed out in ranges: (range, packed slots and counts)."""
+
+    def __init__(self):
+        self.size, self.parts = 0, []
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray | None) -> None:
+        slots = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        slots, at = np.unique(slots, return_inverse=True)
+        self.parts.append((slots, np.bincount(at, counts).astype(np.int64)))
+        self.size += len(slots)
+
+    def packed(self) -> tuple[list[int], list[bytes]]:
+        slots, counts = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        slots, at = np.unique(slots, return_inverse=True)
+        counts = np.bincount(at, counts, len(slots)).astype(np.int64)
+        self.__init__()
+        ranges, first = np.unique(slots // RANGE, return_index=True)
+        shrink = zstandard.ZstdCompressor(level=1)
+        out = []
+        for a, b in zip(first, np.append(first, len(slots))[1:]):
+            steps = np.diff(slots[a:b] % RANGE, prepend=0).astype("<u4")
+            out.append(shrink.compress(np.array([b - a], "<i8").tobytes() + steps.tobytes() + counts[a:b].astype("<i8").tobytes()))
+        return ranges.tolist(), out
+
+
+def _summed(least: int):
+    """Of each range: a bit for every slot of ``least`` or more, their sum, and the largest counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for terms, names in _terms(batches, chunk):
-            n = np.bincount(terms.terms, minlength=len(terms.lang)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([_named(names, terms.lang), terms.words, pa.array(n)], ["lang", "phrase", "n"])
-            total = np.bincount(terms.lang, n, minlength=len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.nulls(len(names), pa.string()), pa.array(total)], ["lang", "phrase", "n"])
+        number, counts = None, np.zeros(RANGE, np.int64)
+
+        def done() -> pa.RecordBatch:
+            bits = np.packbits(counts >= least, bitorder="little").tobytes()
+            named = np.argpartition(counts, -NAMED)[-NAMED:] if RANGE > NAMED else np.arange(RANGE)
+            named = named[counts[named] >= least]
+            values = [pa.array([number], pa.int32()), pa.array([bits]), pa.array([int(counts[counts >= least].sum())]), pa.array([(named + number * RANGE).tolist()], pa.list_(pa.int64())), pa.array([counts[named].tolist()], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(values, ["range", "bits", "total", "named", "counts"])
+
+        for batch in batches:
+            for range_, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if range_ != number:
+                    if number is not None:
+                        yield done()
+                    number, counts = range_, np.zeros(RANGE, np.int64)
+                data = zstandard.ZstdDecompressor().decompress(blob.as_py())
+                n = int(np.frombuffer(data, "<i8", 1)[0])
+                counts[np.cumsum(np.frombuffer(data, "<u4", n, 8).astype(np.int64))] += np.frombuffer(data, "<i8", n, 8 + 4 * n)
+        if number is not None:
+            yield done()
 
     return run
 
 
-def _pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A hash of two words' hashes, cheap in numpy and in Spark."""
-    return left ^ ((right << np.uint64(1)) | (right >> np.uint64(63)))
+def frequent_slots(blobs: DataFrame, least: int) -> tuple[np.ndarray, int, dict[int, int]]:
+    """The bit table, the sum of frequent slots, and the slots that may be hot with their counts."""
+    ranges = blobs.where("blob is not null").select("range", "blob").repartition(SLOTS // RANGE, "range").sortWithinPartitions("range")
+    rows = ranges.mapInArrow(_summed(least), "range int, bits binary, total long, named array<long>, counts array<long>").collect()
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in rows:
+        bits[r["range"] * (RANGE // 8) : (r["range"] + 1) * (RANGE // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return bits, sum(r["total"] for r in rows), {k: v for r in rows for k, v in zip(r["named"], r["counts"])}
+
 
+def maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0
 
-def _pair_hash_column() -> Column:
-    one, two = (F.xxhash64("lang", F.split_part("phrase", F.lit(" "), F.lit(i))) for i in (1, 2))
-    return one.bitwiseXOR(F.shiftleft(two, 1).bitwiseOR(F.shiftrightunsigned(two, 63)))
 
+def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix64(left ^ ((right << np.uint64(1)) | (right >> np.uint64(63))))
 
-def bit_table(rows: DataFrame, hashed: Column) -> np.ndarray:
-    """Bits of the rows' hashes; at most FILTER_BITS / 64 numbers reach the driver."""
-    slot = F.pmod(hashed, F.lit(FILTER_BITS))
-    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
-    found = rows.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    table_ = np.zeros(FILTER_BITS // 64, np.int64)
-    table_[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return table_.view(np.uint64)
 
+def _table(kind: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
+    """A batch whose other columns are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kind.items()], list(kind))
 
-def maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes & np.uint64(len(bits) * 64 - 1)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
+_COUNTS = {"lang": pa.string(), "phrase": pa.string(), "n": pa.int64(), "range": pa.int32(), "blob": pa.binary()}
+_COUNTS_SQL = "lang string, phrase string, n long, range int, blob binary"
+
+
+def _word_slots(chunk: int, gathered: int):
+    """Slots of words, and under a null phrase the number of all words of a language."""
 
-def _pair_counts(bits: np.ndarray, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, totals = Slots(), Counter()
         for terms, names in _terms(batches, chunk):
-            fine = maybe(bits, terms.hashes([x.encode() for x in names]))[terms.terms]
-            at = np.flatnonzero(terms.joined & fine[1:] & fine[:-1])
-            pairs, n = np.unique(terms.terms[at] * len(terms.lang) + terms.terms[at + 1], return_counts=True)
-            one, two = np.divmod(pairs, max(len(terms.lang), 1))
-            phrase = pc.binary_join_element_wise(terms.words.take(pa.array(one)), terms.words.take(pa.array(two)), " ")
-            yield pa.RecordBatch.from_arrays([_named(names, terms.lang[one]), phrase, pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
+            n = np.bincount(terms.terms, minlength=len(terms.lang))
+            slots.add(terms.hashes(names), n)
+            for lang, total in zip(names, np.bincount(terms.lang, n, len(names)).tolist()):
+                totals[lang] += int(total)
+            if slots.size > gathered:
+                ranges, blobs = slots.packed()
+                yield _table(_COUNTS, range=ranges, blob=blobs)
+        ranges, blobs = slots.packed()
+        yield _table(_COUNTS, range=ranges, blob=blobs)
+        yield _table(_COUNTS, lang=list(totals), n=list(totals.values()))
 
     return run
 
 
+def _pair_slots(words, chunk: int, gathered: int):
+    """Slots of pairs of words that may be frequent, and the counts of such words themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, counts, size = Slots(), [], 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            ranges, blobs = slots.packed()
+            yield _table(_COUNTS, range=ranges, blob=blobs)
+            if counts:
+                summed = pa.concat_tables(counts).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).combine_chunks()
+                for b in summed.to_batches():
+                    yield _table(_COUNTS, lang=b.column("lang"), phrase=b.column("phrase"), n=b.column("n_sum"))
+
+        for terms, names in _terms(batches, chunk):
+            hashes = terms.hashes(names)
+            fine = maybe(words.value, hashes)
+            n = np.bincount(terms.terms, minlength=len(terms.lang))
+            kept = np.flatnonzero(fine)
+            counts.append(pa.table({"lang": _named(names, terms.lang[kept]), "phrase": terms.words.take(pa.array(kept)), "n": pa.array(n[kept].astype(np.int64))}))
+            size += len(kept)
+            at = np.flatnonzero(terms.joined & fine[terms.terms[1:]] & fine[terms.terms[:-1]])
+            slots.add(pair_hashes(hashes[terms.terms[at]], hashes[terms.terms[at + 1]]), None)
+            if slots.size + size > gathered:
+                yield from given()
+                counts, size = [], 0
+        yield from given()
+
+    return run
+
+
+def _named(names: list[str], lang: np.ndarray) -> pa.Array:
+    return pa.array(names, pa.string()).take(pa.array(lang))
+
+
 def alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row order by the columns of keys, and in that order how many first columns a row shares with the row before (-1: the first)."""
     order = np.lexsort(keys.T[::-1])
@@ -157,13 +251,73 @@ def alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def _suffixes(bits: np.ndarray, max_words: int, chunk: int):
-    """(lang, words, n): the pruned suffixes of a chunk, equal ones added up."""
+class Numbers:
+    """A number for each of some strings beyond those that have one already."""
+
+    def __init__(self, given: dict[str, int] | None = None):
+        self.given, self.own, self.names = given or {}, {}, []
+
+    def of(self, names: list[str]) -> np.ndarray:
+        out = []
+        for name in names:
+            number = self.given.get(name)
+            if number is None:
+                number = self.own.get(name)
+            if number is None:
+                number = self.own[name] = len(self.given) + len(self.names)
+                self.names.append(name)
+            out.append(number)
+        return np.array(out, np.int32)
+
+
+_RUN = "route int, hot boolean, langs array<string>, words array<string>, blob binary"
+_RUN_NAMES = ["route", "hot", "langs", "words", "blob"]
+
+
+class Runs:
+    """Suffixes of a task, equal ones added up, handed out as a packed run for each route.
+
+    Columns of a row: route and whether it is hot, language, words.
+    """
+
+    def __init__(self, common: dict[str, int]):
+        self.common, self.langs, self.words = common, Numbers(), Numbers(common)
+        self.keys, self.weights, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.weights.append(weights)
+        self.size += len(keys)
+
+    def packed(self) -> pa.RecordBatch:
+        keys, weights = np.concatenate(self.keys or [np.zeros((0, 3), np.int32)]), np.concatenate(self.weights or [np.zeros(0, np.int64)])
+        order, shared = alike(keys)
+        heads = np.flatnonzero(shared < keys.shape[1])
+        weights = np.add.reduceat(weights[order], heads) if len(heads) else weights
+        keys = keys[order[heads]]
+        routes, first = np.unique(keys[:, 0], return_index=True)
+        shrink, rows, common = zstandard.ZstdCompressor(level=3), [], len(self.common)
+        for route, a, b in zip(routes.tolist(), first, np.append(first, len(keys))[1:]):
+            lang, lang_at = np.unique(keys[a:b, 1], return_inverse=True)
+            part = keys[a:b, 2:].copy()
+            own, own_at = np.unique(part[part >= common], return_inverse=True)
+            part[part >= common] = own_at + common
+            data = np.array(part.shape, "<i8").tobytes() + weights[a:b].astype("<i8").tobytes() + np.column_stack([lang_at, part]).astype("<i4").tobytes(order="F")
+            rows.append((route >> 1, bool(route & 1), [self.langs.names[x] for x in lang], [self.words.names[x - common] for x in own], shrink.compress(data)))
+        self.__init__(self.common)
+        kinds = (pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], _RUN_NAMES)
+
+
+def _suffixes(pairs, common, hot: np.ndarray, max_words: int, routes: int, chunk: int, gathered: int):
+    """The pruned suffixes of a task as runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(common.value)
         for terms, names in _terms(batches, chunk):
-            hashes = terms.hashes([x.encode() for x in names])[terms.terms]
-            good = terms.joined & maybe(bits, _pair_hashes(hashes[:-1], hashes[1:]))
+            hashes = terms.hashes(names)[terms.terms]
+            led = pair_hashes(hashes[:-1], hashes[1:])
+            good = terms.joined & maybe(pairs.value, led)
             at = np.flatnonzero(good)
             good = np.append(good, np.zeros(max_words, bool))
             keys = np.full((len(at), max_words), -1, np.int64)
@@ -174,12 +328,22 @@ def _suffixes(bits: np.ndarray, max_words: int, chunk: int):
             order, shared = alike(keys)
             heads = np.flatnonzero(shared < max_words)
             n = np.diff(np.append(heads, len(order)))
-            keys = keys[order[heads]]
-            long = keys >= 0
-            ends = np.zeros(len(keys) + 1, np.int32)
-            np.cumsum(long.sum(axis=1), out=ends[1:])
-            words = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), terms.words.take(pa.array(keys[long]))), " ")
-            yield pa.RecordBatch.from_arrays([_named(names, terms.lang[keys[:, 0]]), words, pa.array(n.astype(np.int64))], ["lang", "words", "n"])
+            first = order[heads]
+            keys, lead = keys[first], led[at[first]]
+            is_hot = np.isin((lead & np.uint64(SLOTS - 1)).astype(np.int64), hot)
+            spread = lead.copy()
+            for d in range(2, max_words):
+                there = is_hot & (keys[:, d] >= 0)
+                spread[there] = mix64(spread[there] ^ hashes[at[first[there]] + d])
+            route = (np.where(is_hot, spread, lead) >> np.uint64(32)).astype(np.int64) % routes
+            used, at_used = np.unique(keys, return_inverse=True)
+            numbers = np.append(runs.words.of(terms.words.take(pa.array(used[used >= 0])).to_pylist()), np.int32(-1))
+            numbers = np.roll(numbers, 1) if (used < 0).any() else numbers
+            rows = np.column_stack([route * 2 + is_hot, runs.langs.of(names)[terms.lang[keys[:, 0]]], numbers[at_used].reshape(keys.shape)])
+            runs.add(rows.astype(np.int32), n.astype(np.int64))
+            if runs.size > gathered:
+                yield runs.packed()
+        yield runs.packed()
 
     return run
 
@@ -233,33 +397,33 @@ def multikey_quicksort(keys: np.ndarray, weights: np.ndarray, least: int, few: i
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _sorted(min_count: int, max_words: int):
+def _sorted(common, min_count: int, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = [b for b in batches if b.num_rows]
-        if not given:
+        langs, words, base = Numbers(), Numbers(common.value), len(common.value)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = zstandard.ZstdDecompressor().decompress(row["blob"])
+                n, width = np.frombuffer(data, "<i8", 2)
+                keys = np.frombuffer(data, "<i4", n * (width + 1), 16 + 8 * n).reshape((n, width + 1), order="F").copy()
+                keys[:, 0] = langs.of(row["langs"])[keys[:, 0]]
+                own = keys[:, 1:] >= base
+                keys[:, 1:][own] = words.of(row["words"])[keys[:, 1:][own] - base]
+                parts.append((keys, np.frombuffer(data, "<i8", n, 16), np.full(n, row["hot"])))
+        if not parts:
             return
-        rows = pa.Table.from_batches(given).combine_chunks()
-        lang = rows.column("lang").combine_chunks().dictionary_encode()
-        lists = pc.split_pattern(rows.column("words").combine_chunks().cast(pa.large_string()), " ")
-        coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.cast(pa.string())
-        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
-        begins = np.cumsum(sizes) - sizes
-        keys = np.full((rows.num_rows, max_words + 1), -1, np.int32)
-        keys[:, 0] = lang.indices.to_numpy()
-        at = np.repeat(np.arange(rows.num_rows), sizes)
-        keys[at, np.arange(len(at)) - begins[at] + 1] = coded.indices.to_numpy()
-        weights, hot = rows.column("n").to_numpy(), rows.column("hot").to_numpy()
+        keys, weights, hot = (np.concatenate(x) for x in zip(*parts))
+        known = sorted(common.value, key=common.value.get)
+        spelled = pa.array(known + words.names, pa.string())
         for which, least in ((~hot, min_count), (hot, 1)):
             chosen = np.flatnonzero(which)
             head, depth, sums = multikey_quicksort(keys[chosen], weights[chosen], least)
-            for words in range(2, max_words + 1):
-                fit = depth == words + 1
+            for size in range(2, max_words + 1):
+                fit = depth == size + 1
                 found = chosen[head[fit]]
-                flat = names.take(pa.array(keys[found, 1 : words + 1].ravel()))
-                ends = pa.array(np.arange(len(found) + 1) * words, pa.int32())
-                phrase = pc.binary_join(pa.ListArray.from_arrays(ends, flat), " ")
-                yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(keys[found, 0])), phrase, pa.array(np.full(len(found), words, np.int32)), pa.array(sums[fit].astype(np.int64))], ["lang", "phrase", "size", "n"])
+                ends = pa.array(np.arange(len(found) + 1) * size, pa.int32())
+                phrase = pc.binary_join(pa.ListArray.from_arrays(ends, spelled.take(pa.array(keys[found, 1 : size + 1].ravel()))), " ")
+                yield pa.RecordBatch.from_arrays([_named(langs.names, keys[found, 0]), phrase, pa.array(np.full(len(found), size, np.int32)), pa.array(sums[fit].astype(np.int64))], ["lang", "phrase", "size", "n"])
 
     return run
 
@@ -268,24 +432,22 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     """(lang, n) of all words; (lang, phrase, size, n) of the frequent words; and of the frequent phrases of 2 to ``max_words`` words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_word_counts(CHUNK), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    counted = saved(counted.where(F.col("phrase").isNull() | (F.col("n") >= min_count)))
-    totals = counted.where(F.col("phrase").isNull() & (F.col("n") > 0)).select("lang", "n")
-    words = counted.where(F.col("phrase").isNotNull()).select("lang", "phrase", F.lit(1).alias("size"), "n")
-
-    bits = bit_table(words, F.xxhash64("lang", "phrase"))
-    leads = texts.mapInArrow(_pair_counts(bits, CHUNK), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    leads = saved(leads.where(F.col("n") >= min_count))
-    bits = bit_table(leads, _pair_hash_column())
-    total = leads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = spark.sparkContext.broadcast
+    counted = saved(texts.mapInArrow(_word_slots(CHUNK, GATHERED), _COUNTS_SQL))
+    totals = saved(counted.where("blob is null and n > 0").groupBy("lang").agg(F.sum("n").alias("n")))
+    bits, _, _ = frequent_slots(counted, min_count)
+
+    counted = saved(texts.mapInArrow(_pair_slots(share(bits), CHUNK, GATHERED), _COUNTS_SQL))
+    words = counted.where("blob is null").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    words = saved(words.select("lang", "phrase", F.lit(1).alias("size"), "n"))
+    bits, total, named = frequent_slots(counted, min_count)
     tasks = max(parts(spark), -(-total // TASK_SUFFIXES))
+    hot = np.array([slot for slot, n in named.items() if n * 4 * tasks > total], np.int64)
+    first = words.groupBy("phrase").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "phrase").limit(NUMBERED).select("phrase")
+    common = share({r[0]: i for i, r in enumerate(first.collect())})
 
-    suffixes = texts.mapInArrow(_suffixes(bits, max_words, CHUNK), "lang string, words string, n long")
-    hot = F.broadcast(saved(leads.where(F.col("n") * 4 * tasks > total).select("lang", F.col("phrase").alias("lead"), F.lit(True).alias("hot"))))
-    led = suffixes.withColumn("lead", F.substring_index("words", " ", 2)).join(hot, ["lang", "lead"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    route = F.when(F.col("hot"), F.xxhash64("lang", "words")).otherwise(F.xxhash64("lang", "lead"))
-    routed = led.select("lang", "words", "n", "hot", route.alias("route")).repartition(tasks, "route").select("lang", "words", "n", "hot")
-    found = routed.mapInArrow(_sorted(min_count, max_words), "lang string, phrase string, size int, n long")
+    suffixes = texts.mapInArrow(_suffixes(share(bits), common, hot, max_words, 2 * tasks, CHUNK, GATHERED), _RUN)
+    found = suffixes.repartition(tasks, "route").mapInArrow(_sorted(common, min_count, max_words), "lang string, phrase string, size int, n long")
     phrases = found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     return totals, words, saved(phrases)
 

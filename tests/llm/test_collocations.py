@@ -70,7 +70,8 @@ def test_matches_brute_force(spark, monkeypatch, seed, hot):
 def test_hot_leads_full_filters_and_many_tasks(spark, monkeypatch):
     rows = rows_of(5, 0.9) + [("en", "the of " + " ".join("n%d" % (i % 40) for i in range(j, j + 6))) for j in range(300)]
     monkeypatch.setattr(co, "TASK_SUFFIXES", 100)
-    monkeypatch.setattr(co, "FILTER_BITS", 64)
+    monkeypatch.setattr(co, "GATHERED", 50)
+    monkeypatch.setattr(co, "NUMBERED", 3)
     assert run(spark, rows, 3, share=90, top=30) == brute(rows, 3, share=90, top=30)
 
 
