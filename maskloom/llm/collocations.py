@@ -182,12 +182,12 @@ def _table(kind: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kind.items()], list(kind))
 
 
-_COUNTS = {"lang": pa.string(), "phrase": pa.string(), "n": pa.int64(), "range": pa.int32(), "blob": pa.binary()}
-_COUNTS_SQL = "lang string, phrase string, n long, range int, blob binary"
+_COUNTS = {"lang": pa.string(), "n": pa.int64(), "range": pa.int32(), "blob": pa.binary(), "words": pa.binary()}
+_COUNTS_SQL = "lang string, n long, range int, blob binary, words binary"
 
 
 def _word_slots(chunk: int, gathered: int):
-    """Slots of words, and under a null phrase the number of all words of a language."""
+    """Slots of words, and for each language the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, totals = Slots(), Counter()
@@ -206,8 +206,12 @@ def _word_slots(chunk: int, gathered: int):
     return run
 
 
+def _grouped(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "phrase", "range"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "range", "n"]).combine_chunks()
+
+
 def _pair_slots(words, chunk: int, gathered: int):
-    """Slots of pairs of words that may be frequent, and the counts of such words themselves."""
+    """Slots of pairs of words that may be frequent, and the counts of such words themselves, packed by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, counts, size = Slots(), [], 0
@@ -216,16 +220,23 @@ def _pair_slots(words, chunk: int, gathered: int):
             ranges, blobs = slots.packed()
             yield _table(_COUNTS, range=ranges, blob=blobs)
             if counts:
-                summed = pa.concat_tables(counts).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).combine_chunks()
-                for b in summed.to_batches():
-                    yield _table(_COUNTS, lang=b.column("lang"), phrase=b.column("phrase"), n=b.column("n_sum"))
+                summed = _grouped(counts).sort_by("range")
+                ranges, first = np.unique(summed.column("range").to_numpy(), return_index=True)
+                packed = []
+                for a, b in zip(first, np.append(first, len(summed))[1:]):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, summed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_table(summed.slice(a, b - a).combine_chunks())
+                    packed.append(sink.getvalue().to_pybytes())
+                yield _table(_COUNTS, range=ranges.tolist(), words=packed)
 
         for terms, names in _terms(batches, chunk):
             hashes = terms.hashes(names)
             fine = maybe(words.value, hashes)
             n = np.bincount(terms.terms, minlength=len(terms.lang))
             kept = np.flatnonzero(fine)
-            counts.append(pa.table({"lang": _named(names, terms.lang[kept]), "phrase": terms.words.take(pa.array(kept)), "n": pa.array(n[kept].astype(np.int64))}))
+            ranges = ((hashes[kept] & np.uint64(SLOTS - 1)) // np.uint64(RANGE)).astype(np.int32)
+            counts.append(pa.table({"lang": _named(names, terms.lang[kept]), "phrase": terms.words.take(pa.array(kept)), "range": ranges, "n": n[kept].astype(np.int64)}))
             size += len(kept)
             at = np.flatnonzero(terms.joined & fine[terms.terms[1:]] & fine[terms.terms[:-1]])
             slots.add(pair_hashes(hashes[terms.terms[at]], hashes[terms.terms[at + 1]]), None)
@@ -237,8 +248,22 @@ def _pair_slots(words, chunk: int, gathered: int):
     return run
 
 
-def _named(names: list[str], lang: np.ndarray) -> pa.Array:
-    return pa.array(names, pa.string()).take(pa.array(lang))
+def _summed_words(least: int):
+    """Frequent words of whole ranges: (lang, phrase, size, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: list[pa.Table] = []
+        for batch in batches:
+            for blob in batch.column("words"):
+                gathered.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                if len(gathered) > 64:
+                    gathered = [_grouped(gathered)]
+        if gathered:
+            done = _grouped(gathered).filter(pc.field("n") >= least).combine_chunks()
+            for b in done.to_batches():
+                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("phrase"), pa.array(np.ones(len(b), np.int32)), b.column("n")], ["lang", "phrase", "size", "n"])
+
+    return run
 
 
 def alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -434,12 +459,12 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     share = spark.sparkContext.broadcast
     counted = saved(texts.mapInArrow(_word_slots(CHUNK, GATHERED), _COUNTS_SQL))
-    totals = saved(counted.where("blob is null and n > 0").groupBy("lang").agg(F.sum("n").alias("n")))
+    totals = saved(counted.where("n > 0").groupBy("lang").agg(F.sum("n").alias("n")))
     bits, _, _ = frequent_slots(counted, min_count)
 
     counted = saved(texts.mapInArrow(_pair_slots(share(bits), CHUNK, GATHERED), _COUNTS_SQL))
-    words = counted.where("blob is null").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    words = saved(words.select("lang", "phrase", F.lit(1).alias("size"), "n"))
+    packed = counted.where("words is not null").select("range", "words").repartition("range")
+    words = saved(packed.mapInArrow(_summed_words(min_count), "lang string, phrase string, size int, n long"))
     bits, total, named = frequent_slots(counted, min_count)
     tasks = max(parts(spark), -(-total // TASK_SUFFIXES))
     hot = np.array([slot for slot, n in named.items() if n * 4 * tasks > total], np.int64)
