@@ -47,22 +47,73 @@ ID_KINDS = ("uuid", "slack_id", "prefix_id")
 def _parses(text: Column) -> Column:
     # For this test alone a non-finite number is a 0; inside strings that changes nothing.
     finite = F.regexp_replace(text, _NOT_FINITE, "0")
-    wrapped = F.get_json_object(F.concat(F.lit("["), finite, F.lit("]")), "$")
-    return wrapped.isNotNull() & ~F.contains(F.regexp_replace(text, _JSON_STRING, ""), F.lit("'"))
+    # A closing bracket too many ends one of the wrappers early, but is an error in the other.
+    listed = F.get_json_object(F.concat(F.lit("["), finite, F.lit("]")), "$")
+    held = F.get_json_object(F.concat(F.lit('{"v":'), finite, F.lit("}")), "$")
+    return listed.isNotNull() & held.isNotNull() & ~F.contains(F.regexp_replace(text, _JSON_STRING, ""), F.lit("'"))
+
+
+# What a JSON text is made of, for the walk below.
+_SCALAR = r"(?s)[ \t\n\r]*(?:-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)[ \t\n\r]*"
+_GOOD_STRING = r'(?s)"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1F]*+)*+"'
+_TOKEN = rf'(?s){_JSON_STRING}|[{{}}\[\],:]|[^{{}}\[\],:"]++|"'
+#: The JVM parser refuses deep nesting and long strings, keys and numbers; none of these fits in fewer characters.
+_PARSER_LIMIT = 1000
+
+
+def _walks(text: Column) -> Column:
+    """The same question decided token by token, without limits on depth or length.
+
+    State: what may come next (value, Value or end of an empty array, key, Key or end of an
+    empty object, colon, separator, end, x for an error) and the brackets that are open.
+    """
+    state = "struct<next:string,open:string>"
+
+    def step(acc: Column, token: Column) -> Column:
+        sign = F.left(token, F.lit(1))
+        value_next = acc["next"].isin("v", "V")
+        inside = F.right(acc["open"], F.lit(1))
+        outer = F.left(acc["open"], F.length(acc["open"]) - 1)
+        done = F.when(acc["open"] == "", F.lit("e")).otherwise(F.lit(","))
+        closed = F.when(F.length(acc["open"]) <= 1, F.lit("e")).otherwise(F.lit(","))
+        string, blank = sign == '"', token.rlike(r"^[ \t\n\r]*$")
+
+        def to(next_: Column | str, open_: Column) -> Column:
+            return F.struct((F.lit(next_) if isinstance(next_, str) else next_).alias("next"), open_.alias("open"))
+
+        return (
+            F.when(blank | (acc["next"] == "x"), acc)
+            .when(string & ~token.rlike(rf"^(?:{_GOOD_STRING})$"), to("x", F.lit("")))
+            .when(string & acc["next"].isin("k", "K"), to(":", acc["open"]))
+            .when((sign == "{") & value_next, to("K", F.concat(acc["open"], sign)))
+            .when((sign == "[") & value_next, to("V", F.concat(acc["open"], sign)))
+            .when((sign == "}") & (inside == "{") & acc["next"].isin("K", ","), to(closed, outer))
+            .when((sign == "]") & (inside == "[") & acc["next"].isin("V", ","), to(closed, outer))
+            .when((sign == ",") & (acc["next"] == ","), to(F.when(inside == "{", F.lit("k")).otherwise(F.lit("v")), acc["open"]))
+            .when((sign == ":") & (acc["next"] == ":"), to("v", acc["open"]))
+            .when(value_next & (string | token.rlike(rf"^(?:{_SCALAR})$")), to(done, acc["open"]))
+            .otherwise(to("x", F.lit("")))
+        )
+
+    start = F.struct(F.lit("v").alias("next"), F.lit("").alias("open")).cast(state)
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), start, lambda acc, t: step(acc, t).cast(state), lambda acc: acc["next"] == "e")
 
 
 def is_json(text: Column) -> Column:
     """The text parses and its root is an object or an array.
 
     White space around the root and non-finite numbers are taken, as common parsers do.
-    The extra brackets make the parser refuse anything after the root value; it also
+    Brackets put around it make the parser refuse anything after the root value; it also
     takes single quotes, which JSON does not, so quotes outside strings are refused.
+    What the parser refuses may still be JSON past the parser's own limits; texts long
+    enough for that are decided by their tokens.
     """
     body = F.btrim(text, F.lit(" \t\n\r"))
     closed = (F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))) | (
         F.startswith(body, F.lit("[")) & F.endswith(body, F.lit("]"))
     )
-    return F.when(closed, _parses(text)).otherwise(F.lit(False))
+    parses = F.when(_parses(text), F.lit(True)).when(F.length(text) > _PARSER_LIMIT, _walks(text)).otherwise(F.lit(False))
+    return F.when(closed, parses).otherwise(F.lit(False))
 
 
 def protected_spans(text: Column, kinds=tuple(_KINDS)) -> Column:

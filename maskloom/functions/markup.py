@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from maskloom.functions.spans import SPACE
+from maskloom.functions.spans import SPACE, regex_spans, walk
 
 SHIFT = "array<struct<at:int,extra:int>>"
 LEAF = "array<struct<path:string,key:string,obj:int,start:int,raw:string>>"
@@ -25,13 +25,25 @@ HTML_ESCAPE = "&(?:#39|amp|lt|gt|quot|nbsp);"
 
 _STATE = (
     "struct<pos:int,objs:int,stack:array<struct<obj:int,path:string>>,path:string,key:string,"
-    f"held:struct<start:int,raw:string>,out:{LEAF}>"
+    "held:struct<start:int,raw:string>>"
 )
 
 
+#: Characters of a string that the JVM parser decodes whole; it refuses 20 000 000.
+_DECODED_WHOLE = 4_000_000
+_DECODE_PARTS = r"(?s)[^\\]{1,65536}+|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[^u]"
+
+
 def json_string(raw: Column) -> Column:
-    """Decode the body of a JSON string token."""
-    return F.when(F.contains(raw, F.lit("\\")), F.get_json_object(F.concat(F.lit('{"v":"'), raw, F.lit('"}')), "$.v")).otherwise(raw)
+    """Decode the body of a JSON string token, whatever its length."""
+
+    def decoded(body: Column) -> Column:
+        return F.get_json_object(F.concat(F.lit('{"v":"'), body, F.lit('"}')), "$.v")
+
+    parts = F.regexp_extract_all(raw, F.lit(_DECODE_PARTS), F.lit(0))
+    long = F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("\\")), decoded(p)).otherwise(p)), "")
+    escaped = F.when(F.length(raw) <= _DECODED_WHOLE, decoded(raw)).otherwise(long)
+    return F.when(F.contains(raw, F.lit("\\")), escaped).otherwise(raw)
 
 
 def json_leaves(text: Column) -> Column:
@@ -49,10 +61,9 @@ def json_leaves(text: Column) -> Column:
         F.lit("").alias("path"),
         F.lit("").alias("key"),
         F.lit(None).cast("struct<start:int,raw:string>").alias("held"),
-        F.lit([]).cast(LEAF).alias("out"),
     ).cast(_STATE)
 
-    def step(acc: Column, token: Column) -> Column:
+    def step(acc: Column, token: Column) -> tuple[Column, Column]:
         first = F.left(token, F.lit(1))
         is_string = first == '"'
         opens, closes = first.isin("{", "["), first.isin("}", "]")
@@ -79,7 +90,7 @@ def json_leaves(text: Column) -> Column:
         )
         popped = F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))
         after_key = F.when(top_path == "", key).otherwise(F.concat(top_path, F.lit("."), key))
-        return F.struct(
+        after = F.struct(
             (acc["pos"] + F.length(token)).alias("pos"),
             objs.alias("objs"),
             F.when(opens, pushed).when(closes, popped).otherwise(acc["stack"]).alias("stack"),
@@ -98,10 +109,27 @@ def json_leaves(text: Column) -> Column:
             .when(opens | closes | first.isin(",", ":"), F.lit(None).cast("struct<start:int,raw:string>"))
             .otherwise(acc["held"])
             .alias("held"),
-            F.when(emits, F.concat(acc["out"], leaf)).otherwise(acc["out"]).alias("out"),
         ).cast(_STATE)
+        return after, F.when(emits, leaf.cast(LEAF)).otherwise(F.lit([]).cast(LEAF))
+
+    return walk(tokens, init, LEAF, step)
+
+
+def siblings(leaves: Column, mark_path: str, mark: str, path: str) -> Column:
+    """Leaves at ``path`` whose object also has the value ``mark`` at ``mark_path``: (obj, start, raw)."""
+    kind = "array<struct<obj:int,text:boolean,start:int,raw:string>>"
+    rows = F.transform(
+        F.filter(leaves, lambda x: x["path"].isin(mark_path, path)),
+        lambda x: F.struct(x["obj"].alias("obj"), (x["path"] == path).alias("text"), x["start"].alias("start"), x["raw"].alias("raw")),
+    )
+
+    def step(acc: Column, row: Column) -> tuple[Column, Column]:
+        here = ~row["text"] & (row["raw"] == mark)
+        marked = here | ((acc["obj"] == row["obj"]) & acc["marked"])
+        after = F.struct(row["obj"].alias("obj"), marked.alias("marked"))
+        return after, F.when(row["text"] & marked, F.array(row).cast(kind)).otherwise(F.lit([]).cast(kind))
 
-    return F.aggregate(tokens, init, step, lambda acc: acc["out"])
+    return walk(F.array_sort(rows), F.struct(F.lit(-1).alias("obj"), F.lit(False).alias("marked")), kind, step)
 
 
 def html_text(raw: Column) -> Column:
@@ -114,46 +142,24 @@ def html_text(raw: Column) -> Column:
 def html_pieces(text: Column) -> Column:
     """The non-blank text between tags, undecoded, with its offset. Tags are not pieces."""
     tokens = F.regexp_extract_all(text, F.lit(r"(?s)<[^>]*(?:>|\z)|[^<]+"), F.lit(0))
-    walked = F.aggregate(
-        tokens,
-        F.struct(F.lit(0).alias("pos"), F.lit([]).cast(PIECE).alias("out")),
-        lambda acc, t: F.struct(
-            (acc["pos"] + F.length(t)).alias("pos"),
-            F.when(
-                ~F.startswith(t, F.lit("<")) & t.rlike(rf"[^{SPACE}]"),
-                F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), t.alias("raw")))),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return walked
+
+    def step(pos: Column, t: Column) -> tuple[Column, Column]:
+        shown = ~F.startswith(t, F.lit("<")) & t.rlike(rf"[^{SPACE}]")
+        piece = F.array(F.struct(pos.alias("start"), t.alias("raw"))).cast(PIECE)
+        return pos + F.length(t), F.when(shown, piece).otherwise(F.lit([]).cast(PIECE))
+
+    return walk(tokens, F.lit(0), PIECE, step)
 
 
 def shifts(raw: Column, escape: str, decoded_length) -> Column:
     """Where decoding ``raw`` made it shorter, and by how much (empty for most pieces)."""
-    from maskloom.functions.spans import regex_spans
-
-    spans = regex_spans(raw, escape)
-    walked = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("lost"), F.lit([]).cast(SHIFT).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["lost"] + F.length(s["value"]) - decoded_length(s["value"])).cast("int").alias("lost"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (s["start"] - acc["lost"]).cast("int").alias("at"),
-                        (F.length(s["value"]) - decoded_length(s["value"])).cast("int").alias("extra"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return walked
+
+    def step(lost: Column, s: Column) -> tuple[Column, Column]:
+        extra = (F.length(s["value"]) - decoded_length(s["value"])).cast("int")
+        here = F.struct((s["start"] - lost).cast("int").alias("at"), extra.alias("extra"))
+        return (lost + extra).cast("int"), F.array(here)
+
+    return walk(regex_spans(raw, escape), F.lit(0), SHIFT, step)
 
 
 def json_shifts(raw: Column) -> Column:

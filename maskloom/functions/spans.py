@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Letters, digits and underscore of any script next to a token. Java's own \b and \w
@@ -14,6 +16,70 @@ SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+#: Items of a block of a walk, and how often blocks are put into blocks; characters of a part of a long text.
+BLOCK, LEVELS, PART = 32, 4, 4096
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def walk(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Go through an array with a state; all that the steps give out, as one array of ``kind``.
+
+    ``step(state, item)`` -> the next state and an array of what it gives out. What a fold has
+    gathered is copied at every step, so a plain fold takes time with the square of what it
+    gives out. Here blocks of ``BLOCK`` items gather on their own, then blocks of blocks, so
+    that each item is copied a few times whatever the length.
+    """
+    none = F.lit([]).cast(kind)
+
+    def acc_of(state: Column, out: Column) -> Column:
+        return F.struct(state.alias("state"), out.alias("out"))
+
+    def whole(array: Column) -> Column:
+        def one(acc: Column, place: Column) -> Column:
+            after, given = step(acc["state"], F.get(array, place))
+            return acc_of(after, F.when(F.size(given) > 0, F.concat(acc["out"], given)).otherwise(acc["out"]))
+
+        def gather(state: Column, first: Column, level: int) -> Column:
+            width = BLOCK**level
+            count = F.least(F.floor((F.size(array) - 1 - first) / (width // BLOCK)).cast("int"), F.lit(BLOCK - 1)) if level <= LEVELS else F.floor((F.size(array) - 1) / (width // BLOCK)).cast("int")
+            start = acc_of(state, none)
+            if level == 1:
+                return F.aggregate(F.sequence(first, first + count), start, one)
+
+            def join(acc: Column, number: Column) -> Column:
+                inner = gather(acc["state"], first + number * (width // BLOCK), level - 1)
+                # a fold over one item names the inner result once
+                return F.aggregate(F.array(inner), acc, lambda a, r: acc_of(r["state"], F.concat(a["out"], r["out"])))
+
+            return F.aggregate(F.sequence(F.lit(0), count), start, join)
+
+        return F.when(F.size(array) > 0, gather(state, F.lit(0), LEVELS + 1)["out"]).otherwise(none)
+
+    return let(items, whole)
+
+
+def parts_of(text: Column) -> Column:
+    """The text in parts of ``PART`` characters, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PART}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` up to ``end``, without a walk from the text's first character."""
+    first, last = F.floor(start / PART).cast("int"), F.floor((end - 1) / PART).cast("int")
+    head, tail = F.get(parts, first), F.get(parts, last)
+    at = start - first * PART + 1
+    several = F.concat(
+        F.substring(head, at, F.lit(PART)),
+        F.when(last - first > 1, F.array_join(F.transform(F.sequence(first + 1, last - 1), lambda i: F.get(parts, i)), "")).otherwise(F.lit("")),
+        F.substring(tail, F.lit(1), end - last * PART),
+    )
+    return F.when(end <= start, F.lit("")).when(first == last, F.substring(head, at, end - start)).otherwise(several)
+
+
 def unicode_edges(pattern: str) -> str:
     """Rewrite ``\\b`` as an edge between a word character of any script and the rest."""
     edge = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
@@ -37,24 +103,13 @@ def regex_spans(text: Column, pattern: str, test: str | None = None) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.arrays_zip(found.alias("hit"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("pos"), F.lit([]).cast(SPAN).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["pos"] + F.length(s["gap"]) + F.length(s["hit"])).alias("pos"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["pos"] + F.length(s["gap"])).alias("start"),
-                        (acc["pos"] + F.length(s["gap"]) + F.length(s["hit"])).alias("end"),
-                        s["hit"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def step(pos: Column, s: Column) -> tuple[Column, Column]:
+        start = pos + F.length(s["gap"])
+        end = start + F.length(s["hit"])
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), s["hit"].alias("value")))
+
+    walked = walk(steps, F.lit(0), SPAN, step)
     return F.when(text.rlike(test or pattern), walked).otherwise(F.lit([]).cast(SPAN))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from maskloom.functions.spans import overlaps
+from maskloom.functions.spans import cut, let, overlaps, parts_of
 
 
 def splice(text: Column, edits: Column) -> Column:
@@ -12,19 +12,16 @@ def splice(text: Column, edits: Column) -> Column:
 
     ``edits``: ``array<struct<start,end,replacement>>``, sorted, not overlapping.
     """
-    walked = F.aggregate(
-        edits,
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        lambda acc, e: F.struct(
-            e["end"].cast("int").alias("pos"),
-            F.concat(
-                acc["out"],
-                F.substring(text, acc["pos"] + 1, e["start"] - acc["pos"]),
-                e["replacement"],
-            ).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))),
-    )
+
+    def whole(parts: Column) -> Column:
+        def one(edit: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(edits, i - 1)["end"])
+            return F.concat(cut(parts, before, edit["start"]), edit["replacement"])
+
+        last = F.get(edits, F.size(edits) - 1)["end"].cast("int")
+        return F.concat(F.array_join(F.transform(edits, one), ""), cut(parts, last, F.greatest(last, F.length(text))))
+
+    walked = let(parts_of(text), whole)
     return F.when(F.size(edits) > 0, walked).otherwise(text)
 
 

@@ -346,6 +346,30 @@ def _(spark, sf):
     return fields.with_field_entity(leaf, default_policy()).select("c_custkey", "value", "entity_type")
 
 
+# Texts that are JSON, look like it, or pass the limits of a parser.
+_SHAPES = """
+SELECT c_custkey, CASE c_custkey % 12
+         WHEN 0 THEN '{"a":"' || c_name || '"}'
+         WHEN 1 THEN chr(10) || '[1, "' || c_name || '"] ' || chr(9)
+         WHEN 2 THEN '[NaN,-Infinity,' || cast(c_custkey as string) || ']'
+         WHEN 3 THEN '{"p":{"password":"' || c_name || '"},"d":' || repeat('[', 1200) || repeat(']', 1200) || '}'
+         WHEN 4 THEN '{"a" 1}' || repeat(' ', 1200)
+         WHEN 5 THEN '[' || repeat('7', 1500) || ']'
+         WHEN 6 THEN '[1 2]' || repeat(' ', 1100)
+         WHEN 7 THEN '{"' || repeat('k', CASE WHEN c_custkey % 120 = 7 THEN 60000 ELSE 60 END) || '":"' || c_name || '"}'
+         WHEN 8 THEN '"' || c_name || '"'
+         WHEN 9 THEN repeat('[', 1300) || repeat(']', 1299)
+         WHEN 10 THEN '{"a":[1,{"b":null}],"c":"x"} ' || repeat('{}', c_custkey % 2)
+         ELSE '{' || c_name || '}' END AS text
+FROM customer"""
+_FINITE = "regexp_replace(text, 'NaN|-Infinity', '0', 'g')"
+
+
+@query("D9_json_texts", f"SELECT c_custkey, json_valid({_FINITE}) AND left(trim(text, chr(32) || chr(9) || chr(10)), 1) IN ('{{', '[') AS json FROM ({_SHAPES}) s")
+def _(spark, sf):
+    return load(spark, sf, _SHAPES).select("c_custkey", filters.is_json(F.col("text")).alias("json"))
+
+
 @query("F5_name_combine", f"SELECT c_custkey, full_name AS real_value FROM ({inp.RECORDS}) r")
 def _(spark, sf):
     docs = docs_of(spark, sf, inp.RECORDS, "c_custkey")

@@ -77,11 +77,7 @@ def mask_envelopes(
     """
     docs = computed(bodies.select(*keys, F.col(body).alias("text")), json=filters.is_json(F.col("text"))).where("json")
     docs = computed(docs, leaves=markup.json_leaves(F.col("text")))
-    texts = F.filter("leaves", lambda x: (x["path"] == "result.content.text"))
-    typed = F.transform(
-        F.filter("leaves", lambda x: (x["path"] == "result.content.type") & (x["raw"] == "text")), lambda x: x["obj"]
-    )
-    wanted = F.filter(texts, lambda x: F.array_contains(typed, x["obj"]))
+    wanted = markup.siblings(F.col("leaves"), "result.content.type", "text", "result.content.text")
     items = docs.select(*keys, F.explode(wanted).alias("leaf")).select(
         *keys, F.col("leaf.start").alias("__start"), F.col("leaf.raw").alias("__raw"), markup.json_string(F.col("leaf.raw")).alias("text")
     )
