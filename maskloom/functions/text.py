@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from maskloom.functions.spans import SPACE, WORD
 from maskloom.policy import NOTICE, Policy
@@ -65,12 +65,17 @@ def with_notice(text: Column, masked: Column, policy: Policy) -> Column:
     return F.when(masked > 0, F.concat(text, F.lit("\n\n" + NOTICE))).otherwise(text)
 
 
-def content_with_notice(items: Column, masked: Column, policy: Policy) -> Column:
-    """The same for a list of ``struct<type,text>`` items: one more item."""
+def content_with_notice(content: Column, kind: T.DataType, masked: Column, policy: Policy) -> Column:
+    """The same for a result of any shape: behind a string, or as one more item of a list."""
+    if isinstance(kind, T.StringType):
+        return with_notice(content, masked, policy)
     if not policy.notice:
-        return items
-    item = F.struct(F.lit("text").alias("type"), F.lit(NOTICE).alias("text"))
-    return F.when(masked > 0, F.array_append(items, item)).otherwise(items)
+        return content
+    item = F.lit(NOTICE)
+    if isinstance(kind.elementType, T.StructType):
+        given = {"type": F.lit("text"), "text": F.lit(NOTICE)}
+        item = F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.elementType.fields])
+    return F.when(masked > 0, F.array_append(content, item)).otherwise(content)
 
 
 def json_quoted(value: Column) -> Column:

@@ -962,6 +962,53 @@ def _(spark, sf):
     )
 
 
+def _shaped(spark, sf, shape: str) -> DataFrame:
+    """The calls of P3 with another shape of result."""
+    return load(
+        spark,
+        sf,
+        f"""SELECT o_orderkey, 's1' AS server, 'notes' AS tool_name, '{{"n":' || cast(form as string) || '}}' AS args, {shape} AS content FROM ({_NOTE_ROWS}) n""",
+    )
+
+
+_MASKED = "form <> 2"
+_NOTICE_SQL = "'[PII surrogated — pass back verbatim]'"
+
+
+@query(
+    "P3_string_results",
+    f"SELECT o_orderkey, {_FORMS} || CASE WHEN {_MASKED} THEN chr(10) || chr(10) || {_NOTICE_SQL} ELSE '' END AS content FROM ({_NOTE_ROWS}) n",
+)
+def _(spark, sf):
+    done, _ = mask_calls(_shaped(spark, sf, "text"), ["o_orderkey"], default_policy(), CHECK_KEY, load(spark, sf, inp.VAULT))
+    return done.documents.select("o_orderkey", "content")
+
+
+@query(
+    "P3_list_results",
+    f"SELECT o_orderkey, 'plain|' || {_FORMS} || '|' || CASE WHEN {_MASKED} THEN {_NOTICE_SQL} ELSE '' END AS content FROM ({_NOTE_ROWS}) n",
+)
+def _(spark, sf):
+    done, _ = mask_calls(_shaped(spark, sf, "array('plain', text)"), ["o_orderkey"], default_policy(), CHECK_KEY, load(spark, sf, inp.VAULT))
+    third = F.coalesce(F.get("content", F.lit(2)), F.lit(""))
+    return done.documents.select("o_orderkey", F.concat_ws("|", F.col("content")[0], F.col("content")[1], third).alias("content"))
+
+
+@query(
+    "P3_mixed_items",
+    f"""SELECT o_orderkey, cast(o_orderkey % 7 as bigint) AS width, md5(cast(o_orderkey as string)) AS data, email AS caption, {_FORMS} AS answer,
+        CASE WHEN {_MASKED} THEN 4 ELSE 3 END AS items FROM ({_NOTE_ROWS}) n""",
+)
+def _(spark, sf):
+    item = "named_struct('type', %s, 'text', %s, 'data', %s, 'size', %s)"
+    image = item % ("'image'", "email", "md5(cast(o_orderkey as string))", "named_struct('width', o_orderkey % 7, 'height', 1)")
+    none = "cast(null as struct<width:bigint,height:int>)"
+    shape = f"array({image}, {item % (repr('text'), 'text', 'cast(null as string)', none)}, {item % (repr('text'), 'cast(null as string)', 'cast(null as string)', none)})"
+    done, _ = mask_calls(_shaped(spark, sf, shape), ["o_orderkey"], default_policy(), CHECK_KEY, load(spark, sf, inp.VAULT))
+    c = F.col("content")
+    return done.documents.select("o_orderkey", c[0]["size"]["width"].alias("width"), c[0]["data"].alias("data"), c[0]["text"].alias("caption"), c[1]["text"].alias("answer"), F.size(c).alias("items"))
+
+
 @query(
     "P4_resource_masking",
     f"SELECT page_id, regexp_replace(html, '{RE2_EMAIL}', '&lt;EMAIL_ADDRESS&gt;', 'g') AS text, cast(len(regexp_extract_all(html, '{RE2_EMAIL}')) as int) AS masked FROM pages",

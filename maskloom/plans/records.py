@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from maskloom.functions import filters, markup, text as tx
+from maskloom.functions.spans import walk
 from maskloom.functions.splice import splice
 from maskloom.operators import audit, demask, fields
 from maskloom.plans.mask import Masked, mask
 from maskloom.policy import Policy, glob_regex
 from maskloom.runtime import checked_broadcast, computed, materialize
 
-CONTENT = "array<struct<type:string,text:string>>"
+#: A text of a call's result and where it stands there.
+ITEM = "array<struct<item:int,text:string>>"
 
 
 def mask_columns(
@@ -126,6 +128,42 @@ def sensitive(text, policy: Policy):
     return F.coalesce(F.exists(leaves, matches), F.lit(False))
 
 
+def content_texts(content: Column, kind: T.DataType) -> Column:
+    """The texts of a result with their positions: a string is one text, a list of strings has one an item;
+    of a list of structs the items with a ``text`` count, if they have a ``type`` only those of type ``text``."""
+
+    def at(i: Column, text: Column) -> Column:
+        return F.struct(i.cast("int").alias("item"), text.alias("text"))
+
+    if isinstance(kind, T.StringType):
+        texts = F.array(at(F.lit(0), content))
+    elif isinstance(kind.elementType, T.StringType):
+        texts = F.transform(content, lambda c, i: at(i, c))
+    elif "text" in kind.elementType.names:
+        shown = (lambda c: c["type"] == "text") if "type" in kind.elementType.names else (lambda c: F.lit(True))
+        texts = F.transform(content, lambda c, i: at(i, F.when(shown(c), c["text"])))
+    else:
+        return F.lit([]).cast(ITEM)
+    return F.coalesce(F.filter(texts.cast(ITEM), lambda x: x["text"].isNotNull()), F.lit([]).cast(ITEM))
+
+
+def with_texts(content: Column, kind: T.DataType, changes: Column) -> Column:
+    """The result with the texts of ``changes`` (sorted by position) in place; all else keeps its type and value."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.get(changes, F.lit(0))["text"], content)
+    layout = kind.simpleString()
+    plain = isinstance(kind.elementType, T.StringType)
+
+    def step(done: Column, here: Column) -> tuple[Column, Column]:
+        change = F.get(changes, done)
+        hit = F.coalesce(change["item"] == here["i"], F.lit(False))
+        new = change["text"] if plain else here["c"].withField("text", change["text"])
+        return done + hit.cast("int"), F.array(F.when(hit, new).otherwise(here["c"])).cast(layout)
+
+    places = F.transform(content, lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    return F.when(content.isNotNull(), walk(places, F.lit(0), layout, step))
+
+
 def mask_calls(
     calls: DataFrame, keys: list[str], policy: Policy, key: str, vault: DataFrame, **options
 ) -> tuple[Masked, DataFrame]:
@@ -133,33 +171,31 @@ def mask_calls(
 
     Arguments are demapped; a call whose arguments match a sensitive glob has each text
     replaced whole by one SECRET surrogate; other texts are masked; a notice is added.
-    ``structured`` (a struct column), when there, is masked too and nulled for sensitive
-    calls. Returns the calls and their audit events.
+    ``content`` is a string, a list of strings or a list of structs with any fields; what
+    is not text passes unchanged, a null result stays null. ``structured`` (a struct column),
+    when there, is masked too and nulled for sensitive calls. Returns the calls and their
+    audit events.
     """
+    kind = calls.schema["content"].dataType
     args = demask.demap(calls.select(*keys, F.col("args").alias("text")), keys, policy, vault)
     args = computed(args, sensitive=sensitive(F.col("text"), policy))
     args = materialize(args.withColumnRenamed("text", "args"))
     flagged = calls.drop("args").join(args, keys)
     inner = [*keys, "__item"]
-    items = flagged.select(*keys, F.posexplode("content").alias("__item", "__c"), F.col("sensitive").alias("blob"))
-    items = items.where((F.col("__c.type") == "text") & F.col("__c.text").isNotNull()).select(*inner, F.col("__c.text").alias("text"), "blob")
+    items = flagged.select(*keys, F.explode(content_texts(F.col("content"), kind)).alias("__c"), F.col("sensitive").alias("blob"))
+    items = items.select(*keys, F.col("__c.item").alias("__item"), F.col("__c.text").alias("text"), "blob")
     done = mask(items, inner, policy, key, vault, **options)
     changed = done.documents.where("masked_count > 0")
     edits = materialize(
         changed.groupBy(*keys).agg(
-            F.collect_list(F.struct("__item", "text")).alias("__items"),
+            F.array_sort(F.collect_list(F.struct(F.col("__item").alias("item"), "text"))).alias("__items"),
             F.array_distinct(F.flatten(F.collect_list("entity_types"))).alias("entity_types"),
             F.sum("masked_count").cast("int").alias("masked_count"),
         )
     )
     side, _ = checked_broadcast(edits)
     joined = flagged.join(side, keys, "left")
-
-    def item(c, i):
-        new = F.try_element_at(F.filter("__items", lambda x: x["__item"] == i), F.lit(1))["text"]
-        return F.struct(c["type"].alias("type"), F.coalesce(new, c["text"]).alias("text"))
-
-    content = F.when(F.col("__items").isNotNull(), F.transform("content", item)).otherwise(F.col("content")).cast(CONTENT)
+    content = F.when(F.col("__items").isNotNull(), with_texts(F.col("content"), kind, F.col("__items"))).otherwise(F.col("content"))
     out = joined.withColumn("masked_count", F.coalesce("masked_count", F.lit(0)))
     out = out.withColumns(
         {
@@ -179,5 +215,5 @@ def mask_calls(
             }
         ).drop("__types", "__count")
         added, vault = added.unionByName(both.added), both.vault
-    out = out.withColumn("content", tx.content_with_notice(F.col("content"), F.col("masked_count"), policy))
+    out = out.withColumn("content", tx.content_with_notice(F.col("content"), kind, F.col("masked_count"), policy))
     return Masked(out, done.findings, vault, added), audit.events_of(out, keys)

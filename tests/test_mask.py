@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from maskloom.operators import demask
 from maskloom.plans.mask import mask
 from maskloom.plans.records import mask_calls
-from maskloom.policy import default_policy
+from maskloom.policy import REPLACE, EntityRule, Policy, default_policy
 
 SECRET = "ghp_abcdefghijklmnopqrstuvwxyz0123456789"
 TEXTS = {
@@ -116,3 +116,26 @@ def test_names_under_never_mask_paths_are_not_learned(spark, key):
     done = mask(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], policy, key)
     assert {r.doc_id: r.text for r in done.documents.collect()} == dict(rows)
     assert done.added.count() == 0
+
+
+def test_results_of_any_shape(spark, key):
+    policy = Policy(entities={"EMAIL_ADDRESS": EntityRule(REPLACE)}, sensitive_args=("*raw*",))
+    vault = mask(spark.createDataFrame([(0, "x")], "id int, text string"), ["id"], policy, key).vault
+    layout = "array<struct<text:string,data:binary,size:struct<w:int>,type:string>>"
+    rich = [(1, "{}", [("a@b.com", None, None, "text"), ("a@b.com", bytearray(b"png"), (3,), "image"), (None, None, None, "text")]), (2, '{"k":"raw"}', [("blob 1", None, None, "text")]), (3, "{}", None), (4, "{}", [])]
+    shapes = {layout: rich, "string": [(1, "{}", "to a@b.com"), (2, '{"k":"raw"}', "blob 1"), (3, "{}", None), (4, "{}", "")]}
+    shapes["array<string>"] = [(1, "{}", ["ok", "a@b.com", None]), (2, '{"k":"raw"}', ["blob 1"]), (3, "{}", None), (4, "{}", [])]
+    notice = "[PII surrogated — pass back verbatim]"
+    for kind, rows in shapes.items():
+        calls = spark.createDataFrame([(i, "s", "t", a, c) for i, a, c in rows], f"id int, server string, tool_name string, args string, content {kind}")
+        done, _ = mask_calls(calls, ["id"], policy, key, vault)
+        assert done.documents.schema["content"].dataType.simpleString() == calls.schema["content"].dataType.simpleString()
+        got = {r.id: r.content for r in done.documents.collect()}
+        assert got[3] is None and not got[4]
+        if kind == "string":
+            assert got[1] == "to <EMAIL_ADDRESS>\n\n" + notice and "blob" not in got[2]
+        elif kind == layout:
+            assert [(x.text, x.type) for x in got[1]] == [("<EMAIL_ADDRESS>", "text"), ("a@b.com", "image"), (None, "text"), (notice, "text")]
+            assert got[1][1].data == b"png" and got[1][1].size.w == 3 and "blob" not in got[2][0].text
+        else:
+            assert got[1] == ["ok", "<EMAIL_ADDRESS>", None, notice] and "blob" not in got[2][0]
