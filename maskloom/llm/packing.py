@@ -11,7 +11,9 @@
 
 A tokenizer splits texts into words before it merges letters, and no word holds a white-space
 character after another character. So texts are taken apart at white space, each word is looked
-up in a bounded table of what the tokenizer made of it, and only new words are tokenized.
+up in a bounded table of what the tokenizer made of it, and only new words are tokenized, many at
+once. A text is first cut at the tokenizer's added tokens (``<|endoftext|>``), which have ids of
+their own.
 
 Defined results. A null text is empty: its only id is 0. Repeated rows are packed each for
 itself. Documents longer than a sequence are cut. An empty table gives an empty result. Extra
@@ -20,6 +22,7 @@ columns are not carried: pieces belong to doc_id.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -35,8 +38,10 @@ LENGTH = 1024
 WIDTH, DIMENSIONS, BITS = 512, 3, 16
 KNOWN_WORDS = 400_000
 LONGEST_KNOWN = 48
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 22
 SEQUENCES_PER_RANGE = 128
+#: Bytes of ids a range holds at most, about.
+RANGE_BYTES = 1 << 25
 _RUN = re.compile(r"(\s{2,})")
 _STATE: dict = {}
 
@@ -55,11 +60,16 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = json.loads(self.tokenizer.to_str())["added_tokens"]
+        self.added = {t["content"]: t["id"] for t in added}
+        # Plain added tokens just cut a text; others look at their neighbours, so such texts are tokenized whole.
+        self.plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+        self.cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.bare: list[dict[str, bytes]] = [{"": b""}, {}]  # the table in use, and the one before
         self.spaced: list[dict[str, bytes]] = [{}, {}]
+        self.newline = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -67,6 +77,23 @@ class Words:
             out += [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
         return out
 
+    def _encode_words(self, words: list[str], before: str) -> dict[str, bytes]:
+        """Ids of words. A newline between words is a token of its own and merges with nothing, so many words are one text."""
+        joined = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        made = {}
+        size = self.kind.itemsize
+        for i in range(0, len(joined), 8192):
+            some = joined[i : i + 8192]
+            ids = self._encode([("\n" + before).join(["", *some])[1:]])[0]
+            cuts = np.flatnonzero(np.frombuffer(ids, self.kind) == np.frombuffer(self.newline, self.kind)[0])
+            if len(self.newline) != size or len(cuts) != len(some) - 1:
+                continue  # another kind of tokenizer: the words are left for the plain way
+            ends = [*(cuts * size).tolist(), len(ids)]
+            made.update(zip(some, (ids[a:b] for a, b in zip([0, *(e + size for e in ends[:-1])], ends))))
+        rest = [w for w in words if w not in made]
+        made.update(zip(rest, self._encode([before + w for w in rest])))
+        return made
+
     def _learn(self, tables: list[dict[str, bytes]], wanted: set[str], before: str) -> dict[str, bytes]:
         """A table that has all the wanted words. A full one becomes the old one, from which words come back."""
         known, old = tables
@@ -81,12 +108,21 @@ class Words:
                 known[w] = old[w]
             else:
                 new.append(w)
-        made = dict(zip(new, self._encode([before + w for w in new])))
+        made = self._encode_words(new, before)
         known.update((w, x) for w, x in made.items() if len(w) <= LONGEST_KNOWN)
         return {**{w: known[w] for w in wanted if w in known}, **made} if any(len(w) > LONGEST_KNOWN for w in new) else known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes."""
+        """Ids of each text, as bytes; the tokenizer's added tokens cut a text and have ids of their own."""
+        if self.cuts is None or not any(map(self.cuts.search, texts)):
+            return self._encode_texts(texts)
+        if not self.plain:
+            return [self._encode([t])[0] if self.cuts.search(t) else self._encode_texts([t])[0] for t in texts]
+        split = [self.cuts.split(t) for t in texts]
+        found = iter(self._encode_texts([part for parts_ in split for part in parts_[::2]]))
+        return [b"".join(next(found) if i % 2 == 0 else self.kind.type(self.added[part]).tobytes() for i, part in enumerate(parts_)) for parts_ in split]
+
+    def _encode_texts(self, texts: list[str]) -> list[bytes]:
         plans, bare, spaced = [], {"", "\n"}, set()
         for text in texts:
             plan = []  # (before: run of white space or "", text without runs, whether it follows a blank)
@@ -169,7 +205,9 @@ def curve_keys(documents: list[np.ndarray]) -> np.ndarray:
         _STATE["directions"] = directions()
         _STATE["slots"] = (mix64(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(WIDTH)).astype(np.int64)
     slots = _STATE["slots"]
-    vectors = np.stack([np.sqrt(np.bincount(slots[ids & 0xFFFF], minlength=WIDTH)) for ids in documents])
+    row = np.repeat(np.arange(len(documents)) * WIDTH, [len(x) for x in documents])
+    counts = np.bincount(row + slots[np.concatenate(documents) & 0xFFFF], minlength=len(documents) * WIDTH)
+    vectors = np.sqrt(counts.reshape(-1, WIDTH))
     vectors /= np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
     # Each column is added up slot by slot in the same order whatever the batch: equal texts, equal keys.
     places = np.stack([(vectors * _STATE["directions"][:, d]).sum(axis=1) for d in range(DIMENSIONS)], axis=1)
@@ -227,7 +265,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     tokens = saved(texts.mapInArrow(_tokenized(tokenizer or default_tokenizer()), "doc_id long, key long, doc_tokens long, ids binary"))
     total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
-    ranges = max(1, min(parts(spark), total // (length * SEQUENCES_PER_RANGE)))
+    ranges = max(1, min(max(parts(spark), 4 * total // RANGE_BYTES), total // (length * SEQUENCES_PER_RANGE)))
     ranged = tokens.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return ranged.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(_packed(length), _PIECES)
 

@@ -1,20 +1,28 @@
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from maskloom.llm import packing as pk
 
-ODD = ["", " ", "\n", "  ", "a", " a", "a ", "a\n", "\na", "a  b", "a \n b", "a\n\nb  ", "  lead", "it's I'll don't 'll", "x\t y\t\tz \t", " n b   c", "a  b", "<|endoftext|> hi<|endoftext|>", "1234 56,7 !!", "é\U0001F600 中文 ñandú", "tab\tsep", "\r\n\r\nx\r\ny", "a\x1cb \x1c c", "w" * 3000, "end \n", " \n"]
+ODD = ["", " ", "\n", "  ", "a", " a", "a ", "a\n", "\na", "a  b", "a \n b", "a\n\nb  ", "  lead", "it's I'll don't 'll", "x\t y\t\tz \t", " n b   c", "a  b", "<|endoftext|> hi<|endoftext|>", "a  <|endoftext|>\n<|endoftext|><|endof", "1234 56,7 !!", "é\U0001F600 中文 ñandú", "tab\tsep", "\r\n\r\nx\r\ny", "a\x1cb \x1c c", "w" * 3000, "end \n", " \n"]
+
+
+def fresh():
+    """The tokenizer as the file has it, not the object the code uses."""
+    return Tokenizer.from_file(pk.default_tokenizer())
 
 
 def test_word_table_gives_the_tokenizers_ids():
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice(["a", "B", " ", " ", "\n", "\t", "1", ".", "'", "s", "é", " ", "中"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
     words = pk.Words(pk.default_tokenizer())
-    want = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in fresh().encode_batch(texts, add_special_tokens=False)]
+    assert want[ODD.index("<|endoftext|> hi<|endoftext|>")] == [50256, 23105, 50256]
     got = []
     for i in range(0, len(texts), 100):
         got += [np.frombuffer(x, words.kind).tolist() for x in words.encode(texts[i : i + 100])]
@@ -27,7 +35,7 @@ def test_word_table_stays_bounded(monkeypatch):
     words = pk.Words(pk.default_tokenizer())
     for i in range(30):
         text = " ".join("w%d" % (i * 17 + k) for k in range(30))
-        assert np.frombuffer(words.encode([text])[0], words.kind).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode([text])[0], words.kind).tolist() == fresh().encode(text, add_special_tokens=False).ids
     assert max(len(t) for t in words.spaced) <= 80
 
 
@@ -41,7 +49,7 @@ def test_hilbert_curve_visits_neighbours():
 
 
 def check(spark, rows, pieces):
-    words = pk.Words(pk.default_tokenizer())
+    words = SimpleNamespace(tokenizer=fresh())
     want = defaultdict(list)
     for doc, text in rows:
         want[doc].append(words.tokenizer.encode(text or "", add_special_tokens=False).ids + [0])
