@@ -33,10 +33,29 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _documents(done.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept"))))
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Rows with a ``row_key`` of their own: the doc_id where one row has it, a number no doc_id has for rows
+    that share an id or have none."""
+    seen = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = measured(saved(seen.where("doc_id is not null and n > 1").select("doc_id")))
+    least, most = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    own = docs.where("doc_id is not null").join(shared, "doc_id", "left_anti").withColumn("row_key", F.col("doc_id").cast("long"))
+    others = docs.where("doc_id is null").unionByName(docs.join(shared, "doc_id", "left_semi"))
+    place = F.monotonically_increasing_id()
+    key = F.lit(most) + 1 + place if most < 1 << 61 else F.lit(least) - 1 - place
+    return own.unionByName(saved(others.withColumn("row_key", key)))
+
+
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (five-word shingles, similarity 0.8). Rows without an id stay."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id"))
-    return docs.join(measured(saved(gone)), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group stays (five-word shingles, similarity 0.8), decided for every row.
+
+    Rows that share a doc_id are judged by their own texts, rows without an id take part, of equal
+    rows one stays. Rows without words are in no group and stay.
+    """
+    rows = row_keys(docs.select(*COLUMNS))
+    gone = near_dedup.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text")).where(~F.col("kept"))
+    gone = measured(saved(gone.select(F.col("doc_id").alias("row_key"))))
+    return rows.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
