@@ -40,3 +40,31 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in seen["packing"]} == ids["mixing"]
     again = cp.run(spark, str(tmp_path))
     assert sum(r.length for r in again.collect()) == sum(r.length for r in seen["packing"])
+
+
+def near(spark, rows, path):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row_key string")
+    docs.repartition(3).write.parquet(f"{path}/in")
+    return sorted((tuple(r)[:2] for r in cp.near_deduplication(spark, spark.read.parquet(f"{path}/in"), str(path)).collect()), key=repr)
+
+
+def text_of(seed, words=60):
+    rng = random.Random(seed)
+    return " ".join("w%d" % rng.randrange(5000) for _ in range(words))
+
+
+def test_near_dedup_decides_for_each_row(spark, tmp_path):
+    u, v, w, long = text_of(1), text_of(2), text_of(3), text_of(4, 60_000)
+    rows = [(1, u), (7, u), (7, v), (9, v + " x"), (20, w), (20, w), (20, w), (None, text_of(5)), (None, text_of(5)), (None, u), (30, None), (30, ""), (None, None), (40, long), (41, long + " end")]
+    got = near(spark, [(i, t, "en", "s", 0, "clash") for i, t in rows], tmp_path)
+    texts = Counter(t for _, t in got)
+    assert texts[u] == texts[w] == texts[text_of(5)] == 1 and texts[v] + texts[v + " x"] == 1 and texts[long] + texts[long + " end"] == 1
+    assert (1, u) in got and texts[None] + texts[""] == 3 and len(got) == 8
+
+
+def test_stages_take_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert near(spark, [], tmp_path) == []
+    assert cp.line_deduplication(spark, docs, str(tmp_path)).count() == 0
+    assert cp.source_mixing(spark, docs, str(tmp_path)).count() == 0 and cp.curve_packing(spark, docs, str(tmp_path)).count() == 0
