@@ -13,7 +13,8 @@ met exactly by whole passes (epochs) over the source plus some blocks of one mor
   of all blocks would give it, and quotas are kept exactly. It needs counts only.
 * Which blocks: each pass orders a source's blocks by a keyed permutation of 0..n-1
   (swap-or-not shuffle, computed per block, no sort). Shards own disjoint runs of that order.
-* In a shard, rows are to be sorted by ``place``, a hash: the local shuffle.
+* ``shuffled`` puts rows into their shards and sorts each shard by ``place``, a hash: the local
+  shuffle. A run of blocks that stays one text goes to the shard of its first block.
 
 The running positions of documents need no big window: documents are dealt into hashed cells
 of their source, cells get their offset from cell sums, and windows run inside cells. A source
@@ -38,7 +39,7 @@ SHARDS = 16
 SEED = 20240229
 CELLS = 4096
 ROUNDS = 24
-_OWN = ("size", "skey", "start", "pieces", "target", "source_size")
+_OWN = ("size", "skey", "start", "pieces", "target", "source_size", "src", "run", "shard", "place")
 
 
 def source_key(source: Column) -> Column:
@@ -174,18 +175,38 @@ def taken(pieces: str = "pieces") -> Column:
     return F.aggregate(pieces, F.lit(0).cast("long"), lambda s, p: s + p["words"])
 
 
+def taken_by_shard(pieces: str = "pieces") -> Column:
+    """(shard, words) of each shard that takes words of the document, in order of shards."""
+
+    def words(shard: Column) -> Column:
+        mine = F.filter(pieces, lambda p: p["shard"] == shard)
+        return F.struct(shard.alias("shard"), F.aggregate(mine, F.lit(0).cast("long"), lambda s, p: s + p["words"]).alias("words"))
+
+    return F.transform(F.array_sort(F.array_distinct(F.transform(pieces, lambda p: p["shard"]))), words)
+
+
+def shuffled(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Rows with a shard and a place: a shard's rows together, and in order of their places.
+
+    A shard has several slices of its places, so that it is no single task.
+    """
+    slices = max(1, -(-parts(rows.sparkSession) // shards))
+    dealt = rows.repartition(shards * slices, F.col("shard"), F.pmod(F.col("place"), F.lit(slices)))
+    return dealt.sortWithinPartitions("shard", "place")
+
+
 def mixed_texts(mixed: DataFrame) -> DataFrame:
-    """One row per run of words the mix takes: the document's columns, text cut to that run.
+    """One row per run of words the mix takes: the document's columns, text cut to that run, shard and place.
 
     Blocks that follow each other in a document and pass are one run, cut at word starts; white
     space stays with the word before it, so that a whole document comes back as it was.
     """
-    kind = "array<struct<epoch:bigint,from_word:bigint,words:bigint>>"
+    kind = "array<struct<epoch:bigint,from_word:bigint,words:bigint,shard:int,place:bigint>>"
 
     def join(s, p):
         last = F.element_at(s, -1)
-        more = F.struct(p["epoch"].alias("epoch"), p["from_word"].alias("from_word"), p["words"].alias("words"))
-        longer = F.struct(last["epoch"].alias("epoch"), last["from_word"].alias("from_word"), (last["words"] + p["words"]).alias("words"))
+        more = F.struct(p["epoch"].alias("epoch"), p["from_word"].alias("from_word"), p["words"].alias("words"), p["shard"].alias("shard"), p["place"].alias("place"))
+        longer = F.struct(last["epoch"].alias("epoch"), last["from_word"].alias("from_word"), (last["words"] + p["words"]).alias("words"), last["shard"].alias("shard"), last["place"].alias("place"))
         follows = (F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["epoch"] == p["epoch"]) & (F.try_element_at(s, F.lit(-1))["from_word"] + F.try_element_at(s, F.lit(-1))["words"] == p["from_word"])
         return F.when(F.coalesce(follows, F.lit(False)), F.array_append(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), longer)).otherwise(F.array_append(s, more))
 
@@ -194,9 +215,9 @@ def mixed_texts(mixed: DataFrame) -> DataFrame:
     whole = F.col("run.words") == F.col("size")
     words = F.regexp_extract_all("text", F.lit(rf"(?:^[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*"), F.lit(0))
     cut = F.array_join(F.slice(words, (F.col("run.from_word") + 1).cast("int"), F.col("run.words").cast("int")), "")
-    return rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    return rows.withColumns({"text": F.when(whole, F.col("text")).otherwise(cut), "shard": F.col("run.shard"), "place": F.col("run.place")})
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = saved(table(spark, sf_dir, "documents").select("doc_id", "source", words_of().alias("size")))
-    return mix(docs).select("doc_id", "size", "source_size", "target", taken().alias("taken"))
+    return mix(docs).select("doc_id", "size", "source_size", "target", taken().alias("taken"), taken_by_shard().alias("taken_by_shard"))

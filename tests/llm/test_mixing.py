@@ -114,3 +114,41 @@ def test_permutation_is_one(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mx.mix(docs).count() == 0
+
+
+def test_the_tree_decides_which_shard_takes_which_words(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3], "w " * 300) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+    def result():
+        mixed = mx.mix(docs, block_words=16, shards=4)
+        got = mixed.select("doc_id", mx.taken().alias("taken"), mx.taken_by_shard().alias("by")).collect()
+        assert all(r.taken == sum(x.words for x in r.by) and len({x.shard for x in r.by}) == len(r.by) for r in got)
+        per_shard = Counter()
+        for r in got:
+            per_shard.update({x.shard: x.words for x in r.by})
+        texts = mx.shuffled(mx.mixed_texts(mixed), 4).withColumn("part", F.spark_partition_id()).collect()
+        return {(r.doc_id, *map(tuple, r.by)) for r in got}, per_shard, texts
+
+    before, per_shard, texts = result()
+    assert max(per_shard.values()) - min(per_shard.values()) <= 3 * 16 and len(per_shard) == 4
+    shards_of = {}
+    for part in {r.part for r in texts}:
+        each = [(r.shard, r.place) for r in texts if r.part == part]
+        assert each == sorted(each)
+        shards_of[part] = {s for s, _ in each}
+    assert len({r.shard for r in texts}) == 4 and [r.doc_id for r in texts] != sorted(r.doc_id for r in texts)
+
+    def all_in_one(quotas, shards, seed):
+        return quotas.selectExpr("skey", "explode(sequence(0, 3)) AS shard", "quota").selectExpr("skey", "shard", "IF(shard = 0, quota, 0L) AS blocks")
+
+    monkeypatch.setattr(mx, "split_tree", all_in_one)
+    assert result()[0] != before
+
+
+def test_clashing_names_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 2)], "doc_id long, source string, text string, other long")
+    assert "other" in mx.mix(docs).columns
+    for name in ("src", "run", "Shard", "place", "pieces", "size"):
+        with pytest.raises(ValueError):
+            mx.mix(docs.withColumnRenamed("other", name), size=mx.words_of())
