@@ -59,8 +59,9 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes, a row for each run of words: sources meet their target weights."""
-    return _documents(mixing.mixed_texts(mixing.mix(docs.select(*COLUMNS))))
+    """What the mix takes, a row for each run of words: sources meet their target weights. Rows lie in shards,
+    shuffled inside each."""
+    return _documents(mixing.shuffled(mixing.mixed_texts(mixing.mix(docs.select(*COLUMNS)))))
 
 
 def curve_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
