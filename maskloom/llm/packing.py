@@ -10,8 +10,8 @@
    ranges grows with the tokens, so that it stays under one in a hundred.
 
 A tokenizer splits texts into words before it merges letters, and no word holds a white-space
-character after another character. So texts are taken apart at white space, each word is looked
-up in a bounded table of what the tokenizer made of it, and only new words are tokenized, many at
+character after another character. So texts are taken apart at white space, each distinct word of
+a chunk is looked up in a bounded table of what the tokenizer made of it, and only new words are tokenized, many at
 once. A text is first cut at the tokenizer's added tokens (``<|endoftext|>``), which have ids of
 their own.
 
@@ -42,8 +42,19 @@ CHUNK_BYTES = 1 << 22
 SEQUENCES_PER_RANGE = 128
 #: Bytes of ids a range holds at most, about.
 RANGE_BYTES = 1 << 25
-_RUN = re.compile(r"(\s{2,})")
+_RUN = re.compile("([\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{2,})")
 _STATE: dict = {}
+# White space as the tokenizer's pattern sees it, in ASCII and beyond.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WIDE_FIRST = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+# White space 0, letters 1, digits 2, other signs 3; 4 where only the tokenizer knows (apostrophes, beyond ASCII).
+_KIND = np.full(256, 3, np.uint8)
+_KIND[_SPACE] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[128:] = _KIND[39] = 4
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def default_tokenizer() -> str:
@@ -65,10 +76,12 @@ class Words:
         # Plain added tokens just cut a text; others look at their neighbours, so such texts are tokenized whole.
         self.plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
         self.cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+        self.byte_cuts = re.compile(self.cuts.pattern.encode()) if added else None
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.bare: list[dict[str, bytes]] = [{"": b""}, {}]  # the table in use, and the one before
         self.spaced: list[dict[str, bytes]] = [{}, {}]
+        self.known: list[dict[bytes, bytes]] = [{}, {}]
         self.newline = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -77,21 +90,23 @@ class Words:
             out += [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
         return out
 
-    def _encode_words(self, words: list[str], before: str) -> dict[str, bytes]:
-        """Ids of words. A newline between words is a token of its own and merges with nothing, so many words are one text."""
-        joined = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        made = {}
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces. A newline between them is a token of its own and merges with nothing, so many pieces are one text."""
+        joined = [i for i, w in enumerate(words) if w and (w[0] == " " or not w[0].isspace()) and len(w.strip()) >= len(w) - 1 and not w[-1].isspace()]
+        made: list[bytes | None] = [None] * len(words)
         size = self.kind.itemsize
-        for i in range(0, len(joined), 8192):
-            some = joined[i : i + 8192]
-            ids = self._encode([("\n" + before).join(["", *some])[1:]])[0]
+        for at in range(0, len(joined), 8192):
+            some = joined[at : at + 8192]
+            ids = self._encode(["\n".join([words[i] for i in some])])[0]
             cuts = np.flatnonzero(np.frombuffer(ids, self.kind) == np.frombuffer(self.newline, self.kind)[0])
             if len(self.newline) != size or len(cuts) != len(some) - 1:
-                continue  # another kind of tokenizer: the words are left for the plain way
+                continue  # another kind of tokenizer: the pieces are left for the plain way
             ends = [*(cuts * size).tolist(), len(ids)]
-            made.update(zip(some, (ids[a:b] for a, b in zip([0, *(e + size for e in ends[:-1])], ends))))
-        rest = [w for w in words if w not in made]
-        made.update(zip(rest, self._encode([before + w for w in rest])))
+            for i, a, b in zip(some, [0, *(e + size for e in ends[:-1])], ends):
+                made[i] = ids[a:b]
+        rest = [i for i, x in enumerate(made) if x is None]
+        for i, x in zip(rest, self._encode([words[i] for i in rest])):
+            made[i] = x
         return made
 
     def _learn(self, tables: list[dict[str, bytes]], wanted: set[str], before: str) -> dict[str, bytes]:
@@ -108,10 +123,71 @@ class Words:
                 known[w] = old[w]
             else:
                 new.append(w)
-        made = self._encode_words(new, before)
+        made = dict(zip(new, self._encode_words([before + w for w in new])))
         known.update((w, x) for w, x in made.items() if len(w) <= LONGEST_KNOWN)
         return {**{w: known[w] for w in wanted if w in known}, **made} if any(len(w) > LONGEST_KNOWN for w in new) else known
 
+    def encode_chunk(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Ids of each text, as bytes with id 0 at the end. ``data`` are the texts' bytes, text i from at[i] to at[i + 1].
+
+        A text is cut where the tokenizer cuts at white space: a blank goes with the word after it, of
+        a longer run all but the last character is one piece. Each distinct piece is looked up once.
+        Texts with added tokens, or white space beyond ASCII, go the longer way.
+        """
+        whole, count = data.tobytes(), len(at) - 1
+        odd = []
+        if any(x in whole for x in (*_WIDE_FIRST, *(t.encode() for t in self.added))):
+            raw = [whole[s:e] for s, e in zip(at[:-1], at[1:])]
+            odd = [i for i, t in enumerate(raw) if _WIDE_SPACE.search(t) or (self.byte_cuts and self.byte_cuts.search(t))]
+        end = np.zeros(1, self.kind).tobytes()
+        if odd:
+            slow = dict(zip(odd, self.encode([raw[i].decode("utf-8", "replace") for i in odd])))
+            fast = [t for i, t in enumerate(raw) if i not in slow]
+            sizes = np.cumsum([0, *map(len, fast)])
+            rest = iter(self.encode_chunk(np.frombuffer(b"".join(fast), np.uint8), sizes) if fast else [])
+            return [slow[i] + end if i in slow else next(rest) for i in range(count)]
+        n, size = len(data), self.kind.itemsize
+        if not n:
+            return [end] * count
+        blank = _SPACE[data]
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        filled = at[:-1][at[1:] > at[:-1]]
+        first[filled], last[np.append(filled[1:], n) - 1] = True, True
+        before = np.concatenate([[False], blank[:-1]]) & ~first  # a blank of the same text stands before
+        word_next = np.concatenate([~blank[1:], [False]]) & ~last
+        starts = first | (blank & ~before) | (blank & before & word_next)
+        starts |= ~blank & before & (np.concatenate([[0], data[:-1]]) != 32)
+        begins = np.flatnonzero(starts)
+        # ASCII pieces are cut on, where letters, digits and other signs meet: so does the tokenizer.
+        kind = _KIND[data]
+        simple = np.repeat(np.maximum.reduceat(kind, begins) < 4, np.diff(np.append(begins, n)))
+        turns = np.concatenate([[False], (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)])
+        begins = np.flatnonzero(starts | (turns & simple))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, n)), pa.py_buffer(whole)])
+        coded = pieces.dictionary_encode()
+        table = [*self._pieces(coded.dictionary.to_pylist()), end]
+        index = np.insert(coded.indices.to_numpy().astype(np.int64), np.searchsorted(begins, at[1:]), len(table) - 1)
+        sizes = np.array([len(x) // size for x in table], np.int64)
+        flat, offsets = np.frombuffer(b"".join(table), self.kind), np.cumsum(sizes) - sizes
+        counts = sizes[index]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat(offsets[index] - (ends - counts), counts) + np.arange(ends[-1])].tobytes()
+        stops = (ends[index == len(table) - 1] * size).tolist()
+        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
+    def _pieces(self, wanted: list[bytes]) -> list[bytes]:
+        """Ids of pieces, from the table of known ones, which is bounded as the tables of words are."""
+        known, old = self.known
+        missing = [p for p in wanted if p not in known]
+        if len(known) + len(missing) > KNOWN_WORDS:
+            self.known[:] = known, old = {p: known[p] for p in wanted if p in known}, known
+        new = [p for p in missing if p not in old]
+        known.update((p, old[p]) for p in missing if p in old)
+        made = self._encode_words([p.decode("utf-8", "replace") for p in new])
+        fresh = dict(zip(new, made))
+        known.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST_KNOWN)
+        return [x if (x := known.get(p)) is not None else fresh[p] for p in wanted]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes; the tokenizer's added tokens cut a text and have ids of their own."""
         if self.cuts is None or not any(map(self.cuts.search, texts)):
@@ -219,12 +295,9 @@ def _tokenized(path: str):
         if path not in _STATE:
             _STATE[path] = Words(path)
         words = _STATE[path]
-        end = np.zeros(1, words.kind).tobytes()
         for batch in batches:
             for first, last, data, at in chunks(batch, "text", CHUNK_BYTES):
-                whole = data.tobytes()
-                texts = [whole[s:e].decode("utf-8", "replace") for s, e in zip(at[:-1], at[1:])]
-                ids = [x + end for x in words.encode(texts)]
+                ids = words.encode_chunk(data, at)
                 keys = curve_keys([np.frombuffer(x, words.kind).astype(np.int64) for x in ids])
                 counts = np.array([len(x) // words.kind.itemsize for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(

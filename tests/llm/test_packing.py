@@ -30,6 +30,22 @@ def test_word_table_gives_the_tokenizers_ids():
         assert w == g, repr(t)
 
 
+def test_chunks_of_bytes_give_the_tokenizers_ids(monkeypatch):
+    rng = random.Random(2)
+    alphabet = ["a", "B", " ", " ", "\n", "\t", "\r", "1", ".", "'s", "é", "\u00a0", "\u3000", "中", "\x1c", "word", "<|endoftext|>", "\x0b"]
+    texts = ODD + ["", ""] + ["".join(rng.choice(alphabet[: rng.choice([6, 12, 18])]) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["", "\n", "   "]
+    monkeypatch.setattr(pk, "KNOWN_WORDS", 300)
+    words = pk.Words(pk.default_tokenizer())
+    tokenizer = fresh()
+    for i in range(0, len(texts), 150):
+        raw = [t.encode() for t in texts[i : i + 150]]
+        got = words.encode_chunk(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for t, g in zip(texts[i : i + 150], got):
+            assert np.frombuffer(g, words.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [0], repr(t)
+    assert words.encode_chunk(np.zeros(0, np.uint8), np.zeros(4, np.int64)) == [b"\0\0"] * 3
+    assert max(map(len, words.known)) < 3000
+
+
 def test_word_table_stays_bounded(monkeypatch):
     monkeypatch.setattr(pk, "KNOWN_WORDS", 50)
     words = pk.Words(pk.default_tokenizer())
