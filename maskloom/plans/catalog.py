@@ -20,6 +20,7 @@ from maskloom.policy import (
     REPLACE, SECRET_PATTERNS, EntityRule, FieldRule, Policy, default_policy, hmac_pads, policy_table,
 )
 from maskloom.runtime import materialize, shared_dir
+from maskloom.sources.policy_store import PolicyStore
 from maskloom.sources.vault_store import VaultStore, seal, unseal
 from maskloom.streaming import streams
 
@@ -1153,6 +1154,47 @@ def _(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
+def _halves(spark, base: str, rows: DataFrame, start, between) -> None:
+    """Even rows as the first micro-batch of a stream, ``between``, then odd rows as the second."""
+    for half in (0, 1):
+        rows.where(F.col(rows.columns[0]) % 2 == half).write.mode("append").parquet(f"{base}/in")
+        _finish(start(spark.readStream.schema(rows.schema).parquet(f"{base}/in")))
+        if half == 0:
+            between()
+
+
+@query(
+    "R4_policy_reload",
+    f"SELECT doc_id, regexp_replace(text, '{RE2_EMAIL}', CASE WHEN doc_id % 2 = 0 THEN '<EMAIL_ADDRESS>' ELSE '[mail]' END, 'g') AS text FROM documents",
+)
+def _(spark, sf):
+    base = _scratch(spark)
+    store, policies = VaultStore(spark, f"{base}/vault"), PolicyStore(spark, f"{base}/policy")
+    policies.publish(EMAIL_ONLY)
+    changed = Policy(entities={"EMAIL_ADDRESS": EntityRule(REPLACE, new_value="[mail]")})
+    _halves(
+        spark, base, load(spark, sf, _DOCUMENTS),
+        lambda stream: streams.mask_stream(stream, store, policies, CHECK_KEY, ["doc_id"], f"{base}/out", f"{base}/ckpt"),
+        lambda: policies.publish(changed, from_batch=1),
+    )
+    return spark.read.parquet(f"{base}/out").select("doc_id", "text")
+
+
+_SHIPPED = "SELECT o_orderkey, 'Order for ' || %s || ' shipped' AS text FROM (%s) n"
+
+
+@query("R5_vault_refresh", _SHIPPED % ("CASE WHEN o_orderkey % 2 = 0 THEN full_name ELSE s_name END", _NOTE_ROWS))
+def _(spark, sf):
+    base = _scratch(spark)
+    store, other = VaultStore(spark, f"{base}/vault"), VaultStore(spark, f"{base}/vault", writer="other")
+    _halves(
+        spark, base, load(spark, sf, _SHIPPED % ("full_name", _NOTE_ROWS)),
+        lambda stream: streams.mask_stream(stream, store, default_policy, CHECK_KEY, ["o_orderkey"], f"{base}/out", f"{base}/ckpt"),
+        lambda: other.write(0, load(spark, sf, inp.VAULT)),
+    )
+    return spark.read.parquet(f"{base}/out").select("o_orderkey", "text")
+
+
 # ── User hook ────────────────────────────────────────────────────────────
 
 _BADGES = "SELECT l_orderkey * 10 + l_linenumber AS line, 'badge EMP-' || lpad(cast(l_partkey as string), 6, '0') || ' seen, org_' || 'EMP00000' || cast(l_linenumber as string) AS text FROM lineitem"

@@ -123,7 +123,11 @@ def glob_regex(pattern: str) -> str:
 
 
 def read_policy(path: str | Path) -> Policy:
-    raw = yaml.safe_load(Path(path).read_text()) or {}
+    return policy_from_text(Path(path).read_text())
+
+
+def policy_from_text(text: str) -> Policy:
+    raw = yaml.safe_load(text) or {}
     return Policy(
         entities={
             name: EntityRule(c.get("operator", REPLACE), c.get("tweak"), c.get("new_value"))
@@ -144,6 +148,10 @@ def read_policy(path: str | Path) -> Policy:
 
 def write_policy(policy: Policy, path: str | Path) -> None:
     """Write every field, so that reading the file back gives an equal policy."""
+    Path(path).write_text(policy_text(policy))
+
+
+def policy_text(policy: Policy) -> str:
 
     def given(**values):
         return {k: v for k, v in values.items() if v is not None}
@@ -164,7 +172,7 @@ def write_policy(policy: Policy, path: str | Path) -> None:
         "host_fragments": list(policy.host_fragments),
         "surrogate_notice": policy.notice,
     }
-    Path(path).write_text(yaml.safe_dump(data, sort_keys=False, allow_unicode=True))
+    return yaml.safe_dump(data, sort_keys=False, allow_unicode=True)
 
 
 # ── Tables ───────────────────────────────────────────────────────────────
@@ -223,17 +231,3 @@ def policy_table(spark: SparkSession, policy: Policy, key: str, extra_entities=(
         inner_pad=pa.array([inner] * len(names), pa.binary()),
         outer_pad=pa.array([outer] * len(names), pa.binary()),
     )
-
-
-def field_rule_table(spark: SparkSession, policy: Policy) -> DataFrame:
-    rules = policy.field_rules
-    return _table(
-        spark,
-        ord=pa.array(range(len(rules)), pa.int32()),
-        path_regex=pa.array([glob_regex(r.pattern) for r in rules], pa.string()),
-        entity_type=pa.array([r.entity for r in rules], pa.string()),
-    )
-
-
-def path_table(spark: SparkSession, patterns) -> DataFrame:
-    return _table(spark, path_regex=pa.array([glob_regex(p) for p in patterns], pa.string()))

@@ -72,8 +72,10 @@ def unseal(rows: DataFrame, key: str) -> DataFrame:
 
 
 class VaultStore:
-    def __init__(self, spark: SparkSession, path: str, key: str | None = None):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    """A vault in segments, one a writer and batch, so that writers never touch each other's files."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str | None = None, writer: str = "main"):
+        self.spark, self.path, self.key, self.writer = spark, path.rstrip("/"), key, writer
 
     def _generation(self) -> int:
         try:
@@ -83,23 +85,33 @@ class VaultStore:
             return 0
 
     def read(self, before: int | None = None) -> DataFrame:
-        """Everything committed, or what batches before ``before`` committed."""
-        layout = VAULT if self.key is None else SEALED
-        try:
-            rows = self.spark.read.schema(f"{layout}, generation int, batch_id long").parquet(f"{self.path}/segments")
-        except AnalysisException:
+        """Everything committed, or of this writer only what its batches before ``before`` committed."""
+        rows = self._segments()
+        if rows is None:
             return empty_vault(self.spark)
-        rows = rows.where(F.col("generation") == self._generation())
         if before is not None:
-            rows = rows.where(F.col("batch_id") < before)
-        rows = rows.drop("generation", "batch_id")
+            rows = rows.where((F.col("writer") != self.writer) | (F.col("batch_id") < before))
+        rows = rows.drop("generation", "writer", "batch_id")
         return rows if self.key is None else unseal(rows, self.key)
 
+    def _segments(self) -> DataFrame | None:
+        layout = VAULT if self.key is None else SEALED
+        try:
+            rows = self.spark.read.schema(f"{layout}, generation int, writer string, batch_id long").parquet(f"{self.path}/segments")
+        except AnalysisException:
+            return None
+        return rows.where(F.col("generation") == self._generation())
+
+    def conflicts(self) -> DataFrame:
+        """Surrogates that writers gave to different values: (surrogate, real_values)."""
+        held = self.read().groupBy(F.lower("surrogate").alias("surrogate")).agg(F.collect_set(F.lower("real_value")).alias("real_values"))
+        return held.where(F.size("real_values") > 1)
+
     def write(self, batch_id: int, rows: DataFrame) -> None:
         out = rows.select("entity_type", "real_value", "surrogate", "seq", "derived")
         if self.key is not None:
             out = seal(out, self.key)
-        target = f"{self.path}/segments/generation={self._generation()}/batch_id={batch_id}"
+        target = f"{self.path}/segments/generation={self._generation()}/writer={self.writer}/batch_id={batch_id}"
         out.write.mode("overwrite").parquet(target)
 
     def clear(self) -> None:
@@ -110,7 +122,7 @@ class VaultStore:
         view = forward(self.read())
         fresh = self._generation() + 1
         out = view if self.key is None else seal(view, self.key)
-        out.write.mode("overwrite").parquet(f"{self.path}/segments/generation={fresh}/batch_id=-1")
+        out.write.mode("overwrite").parquet(f"{self.path}/segments/generation={fresh}/writer={self.writer}/batch_id=-1")
         self._start(fresh)
 
     def _start(self, generation: int) -> None:
