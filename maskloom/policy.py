@@ -14,6 +14,7 @@ import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
+# Operator names, the default tweak and the notice.
 FAKE, FPE, REPLACE = "deterministic_faker", "fpe", "replace"
 DEFAULT_TWEAK = "CBD09280979564"
 NOTICE = "[PII surrogated — pass back verbatim]"
@@ -75,14 +76,32 @@ SECRET_PATTERNS = (
     r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
     r"\bsk-(?:ant-)?[A-Za-z0-9_-]{20,}\b",
 )
-_FIELDS = {
-    "PERSON": "first_name last_name full_name name",
-    "EMAIL_ADDRESS": "email email_address",
-    "PHONE_NUMBER": "phone phone_number",
-    "US_SSN": "ssn social_security_number",
-    "SECRET": "password passwd api_key api_secret access_token refresh_token id_token bearer_token"
-    " client_secret private_key secret_key session_token auth_token authorization",
-}
+FIELD_RULES = (
+    FieldRule("*.first_name", "PERSON"),
+    FieldRule("*.last_name", "PERSON"),
+    FieldRule("*.full_name", "PERSON"),
+    FieldRule("*.name", "PERSON"),
+    FieldRule("*.email", "EMAIL_ADDRESS"),
+    FieldRule("*.email_address", "EMAIL_ADDRESS"),
+    FieldRule("*.phone", "PHONE_NUMBER"),
+    FieldRule("*.phone_number", "PHONE_NUMBER"),
+    FieldRule("*.ssn", "US_SSN"),
+    FieldRule("*.social_security_number", "US_SSN"),
+    FieldRule("*.password", "SECRET"),
+    FieldRule("*.passwd", "SECRET"),
+    FieldRule("*.api_key", "SECRET"),
+    FieldRule("*.api_secret", "SECRET"),
+    FieldRule("*.access_token", "SECRET"),
+    FieldRule("*.refresh_token", "SECRET"),
+    FieldRule("*.id_token", "SECRET"),
+    FieldRule("*.bearer_token", "SECRET"),
+    FieldRule("*.client_secret", "SECRET"),
+    FieldRule("*.private_key", "SECRET"),
+    FieldRule("*.secret_key", "SECRET"),
+    FieldRule("*.session_token", "SECRET"),
+    FieldRule("*.auth_token", "SECRET"),
+    FieldRule("*.authorization", "SECRET"),
+)
 
 
 def default_policy() -> Policy:
@@ -92,9 +111,7 @@ def default_policy() -> Policy:
     return Policy(
         entities=entities,
         recognizers=tuple(Recognizer("SECRET", p, 0.95, FAKE) for p in SECRET_PATTERNS),
-        field_rules=tuple(
-            FieldRule(f"*.{name}", entity) for entity, names in _FIELDS.items() for name in names.split()
-        ),
+        field_rules=FIELD_RULES,
         host_fragments=("assets.",),
     )
 
