@@ -17,7 +17,8 @@ hold the texts wherever these are partitioned by the document already.
 
 Defined results. A null text is an empty text: one empty paragraph. Repeated rows are documents
 of their own. In ``with_next`` rows are ordered by doc_id, then text, null ids last. An empty
-table gives an empty result. Lanes count up to 2**31 shingles, more than a string can hold.
+table gives an empty result. Lanes count up to 2**31 shingles, more than a string can hold. The
+query reads doc_id and text alone: extra columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ cut into short texts in such a way that equal strings always lie at equal column
 
 Defined results. A null text is empty. Repeated rows are documents like others: a text of at
 least LENGTH bytes that occurs twice goes entirely. Very long texts are worked on whole. Rows
-with a null doc_id count like others. An empty table gives an empty result.
+with a null doc_id count like others. An empty table gives an empty result. Only doc_id and text
+are read: extra columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -56,5 +57,43 @@ def test_order_independent_and_incremental(spark):
     assert r.plus == x[1] and r.minus == x[3]
 
 
+def brute_lanes(spark, text):
+    """The lanes of one text, added up in Python from the engine's 64-bit hashes."""
+    out = [0] * 73
+    for paragraph in (text or "").split("\n"):
+        words = re.split("[\x20\x09-\x0d]+", paragraph)
+        wide = spark.createDataFrame([(paragraph,)], "p string").select(*[F.xxhash64(F.lit(i), "p") for i in range(4)]).first()
+        for i, h in enumerate(wide):
+            out[2 * i] += h & 0xFFFFFFFF
+            out[2 * i + 1] += (h >> 32) & 0xFFFFFFFF
+        rows = [(words[i], *(words[i + k] if i + k < len(words) else None for k in (1, 2))) for i in range(len(words))]
+        for (h,) in spark.createDataFrame(rows, "w string, w2 string, w3 string").select(F.xxhash64("w", "w2", "w3")).collect():
+            out[8] += 1
+            for j in range(64):
+                out[9 + j] += (h >> j) & 1
+    return [x % (1 << 32) for x in out]
+
+
+def test_fingerprints_and_likeness_match_brute_force(spark, tmp_path):
+    texts = ["a b c d\ne f", "", "one\n\none", "e f\na b c d", "x " * 40]
+    rows = [(i, t, "clash", 5) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, edited string, place int").write.parquet(f"{tmp_path}/documents.parquet")
+    lanes = [brute_lanes(spark, t) for t in texts]
+
+    def likeness(a, b):
+        signs = [[2 * x - v[8] for x in v[9:]] for v in (a, b)]
+        apart, own = sum((x - y) ** 2 for x, y in zip(*signs)), sum(x * x for v in signs for x in v)
+        return 1.0 if a == b else max(0.0, 1 - apart / own) if own else 0.0
+
+    for r in mh.op8_multiset_hash(spark, str(tmp_path)).collect():
+        after = texts[(r.doc_id + 1) % len(texts)]
+        text, half = texts[r.doc_id], len(texts[r.doc_id]) // 2
+        edited = brute_lanes(spark, text[: len(text) - half] + after[:half])
+        assert r.fingerprint == "".join("%08x" % x for x in lanes[r.doc_id])
+        assert r.edited_fingerprint == "".join("%08x" % x for x in edited)
+        assert abs(r.near_edited - likeness(lanes[r.doc_id], edited)) < 1e-9
+        assert abs(r.near_next - likeness(lanes[r.doc_id], lanes[(r.doc_id + 1) % len(texts)])) < 1e-9
+
+
 def test_empty(spark, tmp_path):
     assert run(spark, [], tmp_path) == []
