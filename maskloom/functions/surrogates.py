@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from maskloom.runtime import computed
+
 # Own word material. First and last names are built from syllables, so that the pools
 # (5 760 and 19 200 words) stay useful for large vaults.
 ONSETS = "B,Br,C,Cl,D,Dr,F,G,Gr,H,J,K,L,M,N,P,R,S,St,T,Th,V,W,Z".split(",")
@@ -22,6 +24,11 @@ STREETS = "Street,Avenue,Lane,Road,Court,Drive,Way,Place".split(",")
 FIRMS = "Group,Partners,Works,Labs,Holdings,Supply,Systems,Trading".split(",")
 DOMAINS = "example.com,example.net,example.org,mail.example.com,post.example.net".split(",")
 
+# Words of syllables, a consonant and a vowel each, for values whose own words are taken.
+CONSONANTS, VOWELS = "bdfgklmnprstvz", "aeiou"
+SYLLABLES = len(CONSONANTS) * len(VOWELS)
+SYLLABLE = f"(?:[{CONSONANTS}][{VOWELS}])"
+
 FIRSTS = len(ONSETS) * len(NUCLEI) * len(ENDINGS)
 LASTS = len(STEMS) * len(LINKS) * len(TAILS)
 
@@ -62,10 +69,15 @@ def _last_name(n: Column) -> Column:
     return F.concat(_pick(STEMS, n), _pick(LINKS, rest), _pick(TAILS, _div(rest, len(LINKS))))
 
 
-def _fake(entity: Column, mac: Column, seed: Column, first: Column, last: Column) -> Column:
+def syllable_word(number: Column, syllables: int) -> Column:
+    """The word of a number below ``SYLLABLES ** syllables``; no two numbers have one word."""
+    digits = [F.floor(number / SYLLABLES**i).cast("long") % SYLLABLES for i in range(syllables)]
+    return F.concat(*[F.concat(_pick(list(CONSONANTS), d), _pick(list(VOWELS), _div(d, len(CONSONANTS)))) for d in digits])
+
+
+def _fake(entity: Column, mac: Column, seed: Column, first: Column, last: Column, tag: Column) -> Column:
     """The surrogate of the kind the entity asks for; an unknown entity gets a name."""
     high = _div(seed, FIRSTS)
-    tag = F.substring(mac, 9, 4)
     return (
         F.when(
             entity == "EMAIL_ADDRESS",
@@ -89,17 +101,20 @@ def with_fake(df: DataFrame, out: str, attempt: Column | int = 0) -> DataFrame:
     Staged columns: the HMAC is computed once per row, not once per use.
     """
     names = [c for c in df.columns if c != out]
-    return (
-        df.withColumn("__mac", hmac_hex(mac_message(F.col("entity_type"), F.col("real_value"), attempt)))
-        .withColumn("__seed", seed_of(F.col("__mac")))
-        .withColumns(
-            {"__first": _first_name(F.col("__seed")), "__last": _last_name(_div(F.col("__seed"), FIRSTS))}
-        )
-        .withColumn(
-            out, _fake(F.col("entity_type"), F.col("__mac"), F.col("__seed"), F.col("__first"), F.col("__last"))
-        )
-        .select(*names, out)
-    )
+    staged = _seeded(df, attempt).withColumns({"__first": _first_name(F.col("__seed")), "__last": _last_name(_div(F.col("__seed"), FIRSTS))})
+    made = _fake(F.col("entity_type"), F.col("__mac"), F.col("__seed"), F.col("__first"), F.col("__last"), F.substring("__mac", 9, 4))
+    return staged.withColumn(out, made).select(*names, out)
+
+
+def with_words(df: DataFrame, out: str, first: str, last: str) -> DataFrame:
+    """Add the surrogate of ``(entity_type, real_value)`` with the words of two columns in it, each bounded by other signs."""
+    made = _fake(F.col("entity_type"), F.col("__mac"), F.col("__seed"), F.col(first), F.col(last), F.lit(""))
+    return _seeded(df).withColumn(out, made).drop("__mac", "__seed")
+
+
+def _seeded(df: DataFrame, attempt: Column | int = 0) -> DataFrame:
+    mac = hmac_hex(mac_message(F.col("entity_type"), F.col("real_value"), attempt))
+    return computed(df, __mac=mac).withColumn("__seed", seed_of(F.col("__mac")))
 
 
 def discriminator(length: int) -> Column:

@@ -1,8 +1,8 @@
 """Surrogates for values the vault does not have yet.
 
 New values are made distinct first, so a value in a third of all rows is one row here.
-Fake values that collide are re-rolled in rounds; only the losers of a round go on, and
-each round is checkpointed, so a lost executor never replays the earlier rounds.
+A fake value whose hash names what another value owns is dealt words that nobody uses, in one
+step; steps are checkpointed, so a lost executor never replays the earlier ones.
 """
 
 from __future__ import annotations
@@ -10,101 +10,110 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from maskloom.functions.fpe import fpe, spread_digits
-from maskloom.functions.surrogates import discriminator, hmac_hex, mac_message, with_fake
+from maskloom.functions.surrogates import (
+    SYLLABLE, SYLLABLES, discriminator, hmac_hex, mac_message, syllable_word, with_fake, with_words,
+)
 from maskloom.functions.text import words
 from maskloom.operators import vault as v
 from maskloom.policy import FAKE, FPE, REPLACE
-from maskloom.runtime import global_rank, materialize, rebalanced
+from maskloom.runtime import computed, global_rank, materialize, rebalanced
 
-MAX_ATTEMPTS = 32
 CIPHER_STEPS = 8  # values unsettled then are dealt the free numbers of their format
 LOW_DIGITS = 15  # digits that vary among the numbers dealt
 BLOCK = 4096
-CLAIM = "struct<token:string,owner:string>"
+MIN_SYLLABLES, MAX_SYLLABLES = 3, 8
+ROOM = 16  # numbers a word for each that is needed
 ROW = ["entity_type", "real_value", "surrogate", "ord"]
-
-
 KEY = ["entity_type", "real_value"]
 
 
-def _claims(rows: DataFrame, keep=()) -> DataFrame:
-    """Every word form a candidate would occupy: itself, and its aligned PERSON words."""
-    own = F.array(F.struct(F.lower("surrogate").alias("token"), F.col("real_value").alias("owner")).cast(CLAIM))
-    aligned = F.transform(
-        v.aligned_pairs(F.col("real_value"), F.col("surrogate")),
-        lambda p: F.struct(F.lower(p["surrogate"]).alias("token"), p["real"].alias("owner")).cast(CLAIM),
-    )
-    both = F.when(F.col("entity_type").isin(*v.SUBTOKEN_TYPES), F.concat(own, aligned)).otherwise(own)
-    return rows.select(*KEY, *keep, F.explode(both).alias("c")).select(*KEY, *keep, "c.token", "c.owner")
-
-
-def _taken(rows: DataFrame, owned: DataFrame, reals: DataFrame, keep=()) -> DataFrame:
+def _taken(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> DataFrame:
     """Rows whose candidate belongs to another value already, or equals a real value that
     somebody may want masked."""
-    key = [*KEY, *keep]
-    held = _claims(rows, keep).join(owned.withColumnRenamed("owner", "holder"), "token").where("owner <> holder")
+    held = v.claims(rows, "surrogate").join(owned.withColumnRenamed("owner", "holder"), "token").where("owner <> holder")
     real = rows.withColumn("token", F.lower("surrogate")).join(reals, "token", "left_semi")
-    return held.select(key).union(real.select(key)).distinct()
+    return held.select(KEY).union(real.select(KEY))
 
 
 def _clashing(rows: DataFrame) -> DataFrame:
-    """Rows of one round that want a word form an earlier row of the round wants too."""
-    claims = _claims(rows, ("ord",))
+    """Rows that want a word form an earlier one of them wants too."""
+    claims = v.claims(rows, "surrogate", ("ord",))
     first = claims.groupBy("token").agg(F.min_by("owner", "ord").alias("winner"))
-    return claims.join(first, "token").where("owner <> winner").select(KEY).distinct()
+    return claims.join(first, "token").where("owner <> winner").select(KEY)
+
 
+def _settle(tried: DataFrame, owned: DataFrame, reals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows nobody contests, and the rest."""
+    lost = _taken(tried, owned, reals).union(_clashing(tried)).distinct().withColumn("lost", F.lit(True))
+    state = materialize(tried.join(lost, KEY, "left"))
+    return state.where("lost is null").select(*ROW), state.where("lost").drop("lost")
 
-def _roll(pending: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFrame]:
-    """Rounds of candidates until nobody loses.
 
-    In a round each value takes the first of its next ``width`` attempts that nobody owns;
-    among the values of the round the earliest keeps what several want. The width grows,
-    because a round that left many losers shows that the free names are getting rare.
-    After ``MAX_ATTEMPTS`` a value gets a hash suffix: 6 hex digits, then 16, then all.
+def _with_claims(owned: DataFrame, rows: DataFrame) -> DataFrame:
+    return owned.union(v.claims(rows, "surrogate").select("token", "owner"))
+
+
+def _named(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFrame]:
+    """Fake surrogates: the one the hash of the value names, or else a dealt one.
+
+    Where the hash of a value names what another value owns, the value is dealt two words that
+    nobody uses, so no further rounds are needed however full the word lists are. A hash suffix
+    comes only where the kind of surrogate holds no word and its hash is taken.
     """
-    done: list[DataFrame] = []
-    spent: list[DataFrame] = []
-    pending = pending.withColumn("next", F.lit(0))
-    width = 1
-    while not pending.isEmpty():
-        attempts = F.sequence(F.col("next"), F.least(F.col("next") + width, F.lit(MAX_ATTEMPTS)) - 1)
-        tried = rebalanced(pending).withColumn("attempt", F.explode(attempts))
-        tried = materialize(with_fake(tried, "surrogate", F.col("attempt")))
-        free = tried.join(_taken(tried, owned, reals, ("attempt",)), [*KEY, "attempt"], "left_anti")
-        picks = materialize(
-            free.groupBy(*KEY)
-            .agg(F.min_by(F.struct("surrogate", "attempt", "ord"), "attempt").alias("p"))
-            .select(*KEY, "p.*")
-        )
-        lost = _clashing(picks).withColumn("lost", F.lit(True))
-        state = pending.join(picks.drop("ord").join(lost, KEY, "left"), KEY, "left")
-        state = materialize(state)
-        won = state.where("surrogate is not null and lost is null").select(*ROW)
-        done.append(won)
-        after = F.when(F.col("surrogate").isNull(), F.col("next") + width).otherwise(F.col("attempt") + 1)
-        rest = state.where("surrogate is null or lost").withColumn("next", after).drop("surrogate", "attempt", "lost")
-        spent.append(rest.where(F.col("next") >= MAX_ATTEMPTS))
-        pending = rest.where(F.col("next") < MAX_ATTEMPTS)
-        owned = materialize(owned.union(_claims(won).select("token", "owner")).distinct())
-        width = min(width * 4, MAX_ATTEMPTS)
-    pending = _union(spent) if spent else pending
+    won, pending = _settle(materialize(with_fake(rebalanced(rows), "surrogate")), owned, reals)
+    done = [won]
+    if pending.isEmpty():
+        return done
+    owned = _with_claims(owned, won)
+    won, pending = _settle(_dealt_names(pending.drop("surrogate"), owned, reals), owned, reals)
+    done.append(won)
     for size in (6, 16, 64):
         if pending.isEmpty():
             return done
-        tried = with_fake(pending, "surrogate", MAX_ATTEMPTS - 1)
-        tried = materialize(
-            tried.withColumn("surrogate", F.concat("surrogate", F.lit(" ("), discriminator(size), F.lit(")")))
-        )
-        bad = _taken(tried, owned, reals).union(_clashing(tried)).distinct().withColumn("lost", F.lit(True))
-        state = materialize(tried.join(bad, KEY, "left"))
-        done.append(state.where("lost is null").select(*ROW))
-        owned = owned.union(_claims(done[-1]).select("token", "owner")).distinct()
-        pending = state.where("lost").drop("surrogate", "lost")
+        owned = _with_claims(owned, done[-1])
+        suffixed = F.concat("surrogate", F.lit(" ("), discriminator(size), F.lit(")"))
+        won, pending = _settle(materialize(with_fake(pending, "surrogate").withColumn("surrogate", suffixed)), owned, reals)
+        done.append(won)
     if not pending.isEmpty():
         raise RuntimeError("values left without a surrogate")
     return done
 
 
+def _dealt_names(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> DataFrame:
+    """``rows`` with surrogates of two words each that no surrogate and no real value holds.
+
+    Words are numbers written in syllables, so two numbers never give one word. The number of
+    syllables grows with the vault; a keyed linear map strews the numbers over all words of that
+    many. With u of them in use and n rows waiting, 2 n + u numbers hold enough free ones.
+    """
+    rows = materialize(rows)
+    n = rows.count()
+    texts = owned.select("token").union(reals.select("token"))
+    found = F.regexp_extract_all("token", F.lit(f"(?<![a-z])({SYLLABLE}{{{MIN_SYLLABLES},{MAX_SYLLABLES}}})(?![a-z])"), F.lit(1))
+    held = materialize(texts.select(F.explode(found).alias("word")).distinct())
+    in_use = {r[0]: r[1] for r in held.groupBy(F.length("word")).count().collect()}  # one row per length
+    roomy = (s for s in range(MIN_SYLLABLES, MAX_SYLLABLES) if SYLLABLES**s >= ROOM * (2 * n + in_use.get(2 * s, 0)))
+    syllables = next(roomy, MAX_SYLLABLES)
+    size, needed = SYLLABLES**syllables, 2 * n + in_use.get(2 * syllables, 0)
+    # SYLLABLES * k + 3 has no factor in common with the number of words, so no word comes twice
+    mac = hmac_hex(F.lit(f"WORDS:{syllables}"))
+    part = [F.conv(F.substring("mac", i, 12), 16, 10).cast("decimal(19,0)") for i in (1, 13)]
+    map_of = rows.agg(F.min_by(F.struct("inner_pad", "outer_pad"), F.struct(*KEY)).alias("pads")).select("pads.*").select(mac.alias("mac"))
+    map_of = map_of.select(F.lit(0).alias("all"), ((part[0] * SYLLABLES + 3) % size).cast("decimal(19,0)").alias("times"), part[1].alias("plus"))
+    number = (F.col("id").cast("decimal(19,0)") * F.col("times") + F.col("plus")) % F.lit(size).cast("decimal(19,0)")
+    made = rows.sparkSession.range(needed).withColumn("all", F.lit(0)).join(F.broadcast(map_of), "all")  # one row
+    made = computed(made, number=number.cast("long")).select("id", syllable_word(F.col("number"), syllables).alias("word"))
+    free = global_rank(made.join(held, "word", "left_anti"), [F.col("id")], "place")
+    second = F.col("place") % 2 == 1
+    pairs = free.groupBy(F.floor(F.col("place") / 2).alias("place")).agg(
+        F.max(F.when(~second, F.initcap("word"))).alias("first"), F.max(F.when(second, F.initcap("word"))).alias("last")
+    )
+    waiting = rows.withColumn("mac", hmac_hex(mac_message(F.col("entity_type"), F.col("real_value"))))
+    waiting = global_rank(waiting, [F.col(c) for c in ("mac", *KEY)], "place").drop("mac")
+    got = with_words(waiting.join(pairs, "place"), "surrogate", "first", "last")
+    return materialize(got.drop("place", "first", "last"))
+
+
 def assign(values: DataFrame, vault: DataFrame, rules: DataFrame) -> DataFrame:
     """New vault rows for ``values(entity_type, real_value, ord)``.
 
@@ -131,8 +140,8 @@ def assign(values: DataFrame, vault: DataFrame, rules: DataFrame) -> DataFrame:
     kinds = {(r[0], r[1]) for r in fresh.select("operator", _is_single(fresh)).distinct().collect()}
     if not kinds:
         return v.empty_vault(spark)
-    owned = v.reverse(vault).select(F.col("surrogate_lower").alias("token"), F.col("real_value").alias("owner"))
-    reals = vault.select(F.lower("real_value").alias("token")).union(fresh.select(F.lower("real_value"))).distinct()
+    owned = materialize(v.reverse(vault).select(F.col("surrogate_lower").alias("token"), F.col("real_value").alias("owner")))
+    reals = materialize(vault.select(F.lower("real_value").alias("token")).union(fresh.select(F.lower("real_value"))).distinct())
     rows: list[DataFrame] = []
 
     if any(op == FPE for op, _ in kinds):
@@ -141,9 +150,9 @@ def assign(values: DataFrame, vault: DataFrame, rules: DataFrame) -> DataFrame:
     fakes = fresh.where(F.col("operator") == FAKE)
     single = _is_single(fresh)
     if (FAKE, False) in kinds:
-        won = _roll(fakes.where(~single), owned, reals)
+        won = _named(fakes.where(~single), owned, reals)
         rows += won
-        owned = owned.union(_claims(_union(won)).select("token", "owner"))
+        owned = _with_claims(owned, _union(won))
     if not rows:
         ranked = None
     else:
@@ -156,7 +165,7 @@ def assign(values: DataFrame, vault: DataFrame, rules: DataFrame) -> DataFrame:
             derived = materialize(derived)
             alone = v.find_surrogate(alone, derived, "__got").where("__got is null").drop("__got")
         if not alone.isEmpty():
-            more = _ranked(_union(_roll(alone, owned, reals)), vault if ranked is None else vault.unionByName(ranked))
+            more = _ranked(_union(_named(alone, owned, reals)), vault if ranked is None else vault.unionByName(ranked))
             ranked = more if ranked is None else ranked.unionByName(more)
     out = ranked if derived is None else ranked.unionByName(derived)
     return materialize(out.select("entity_type", "real_value", "surrogate", "seq", "derived"))
@@ -180,11 +189,10 @@ def _encrypt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFr
     def settle(tried: DataFrame) -> DataFrame:
         """Keep the rows nobody contests; the rest is returned."""
         nonlocal owned
-        lost = _taken(tried, owned, reals).union(_clashing(tried)).distinct().withColumn("lost", F.lit(True))
-        state = materialize(tried.join(lost, KEY, "left"))
-        done.append(state.where("lost is null").select(*ROW))
-        owned = owned.union(_claims(done[-1]).select("token", "owner"))
-        return state.where("lost").drop("lost")
+        won, lost = _settle(tried, owned, reals)
+        done.append(won)
+        owned = _with_claims(owned, won)
+        return lost
 
     for _ in range(CIPHER_STEPS):
         pending = settle(pending)

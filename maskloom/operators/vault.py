@@ -224,35 +224,31 @@ def subtokens(rows: DataFrame, vault: DataFrame) -> DataFrame:
     )
 
 
+def claims(rows: DataFrame, column: str, keep=()) -> DataFrame:
+    """Every word form a candidate would occupy: itself, and its aligned PERSON words."""
+    kind = "struct<token:string,owner:string>"
+    own = F.array(F.struct(F.lower(column).alias("token"), F.col("real_value").alias("owner")).cast(kind))
+    aligned = F.transform(
+        aligned_pairs(F.col("real_value"), F.col(column)),
+        lambda p: F.struct(F.lower(p["surrogate"]).alias("token"), p["real"].alias("owner")).cast(kind),
+    )
+    both = F.when(F.col("entity_type").isin(*SUBTOKEN_TYPES), F.concat(own, aligned)).otherwise(own)
+    names = ["entity_type", "real_value", *keep]
+    return rows.select(*names, F.explode(both).alias("c")).select(*names, "c.token", "c.owner")
+
+
 def collisions(candidates: DataFrame, vault: DataFrame) -> DataFrame:
     """``(entity_type, real_value, candidate)`` plus ``collides``: the candidate, or one of
     its aligned PERSON words, belongs to another real value in the vault or the batch."""
-    claim = "struct<token:string,owner:string>"
-    claims = candidates.select(
-        "entity_type",
-        "real_value",
-        "candidate",
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lower("candidate").alias("token"), F.col("real_value").alias("owner")).cast(claim)),
-                F.when(
-                    F.col("entity_type").isin(*SUBTOKEN_TYPES),
-                    F.transform(
-                        aligned_pairs(F.col("real_value"), F.col("candidate")),
-                        lambda p: F.struct(F.lower(p["surrogate"]).alias("token"), p["real"].alias("owner")).cast(claim),
-                    ),
-                ).otherwise(F.lit([]).cast(f"array<{claim}>")),
-            )
-        ).alias("c"),
-    ).select("entity_type", "real_value", "candidate", "c.token", "c.owner")
+    wanted = claims(candidates, "candidate")
     owners = reverse(vault).select(F.col("surrogate_lower").alias("token"), F.col("real_value").alias("owner"))
     spans = (
-        owners.union(claims.select("token", "owner"))
+        owners.union(wanted.select("token", "owner"))
         .groupBy("token")
         .agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
     )
     bad = (
-        claims.join(spans.where("lo <> hi"), "token", "left_semi")
+        wanted.join(spans.where("lo <> hi"), "token", "left_semi")
         .select("entity_type", "real_value")
         .distinct()
         .withColumn("collides", F.lit(True))

@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from maskloom.functions.surrogates import SYLLABLE, SYLLABLES, syllable_word
 from maskloom.operators import assign as asg, demask, vault as v
 from maskloom.policy import default_policy, policy_table
 from maskloom.sources.vault_store import VaultStore
@@ -60,17 +63,33 @@ def test_assignment_is_injective_and_order_free(spark, key):
     assert asg.assign(values, one, rules).count() == 0
 
 
-def test_exhausted_pool_gets_suffixes(spark, key, monkeypatch):
+def test_exhausted_pool_deals_words(spark, key, monkeypatch):
+    """One place name for five places and a vault that holds dealt words: all different, no suffix."""
     from maskloom.functions import surrogates
 
-    monkeypatch.setattr(asg, "MAX_ATTEMPTS", 1)
     monkeypatch.setattr(surrogates, "STEMS", ["Ash"])
     monkeypatch.setattr(surrogates, "LINKS", ["a"])
     monkeypatch.setattr(surrogates, "TAILS", ["ton"])
-    values = spark.createDataFrame([("LOCATION", f"city {i}", i) for i in range(5)], "entity_type string, real_value string, ord int")
-    made = asg.assign(values, v.empty_vault(spark), policy_table(spark, default_policy(), key))
-    got = [r.surrogate for r in made.collect()]
-    assert len(set(got)) == 5 and sum(s == "Ashaton" for s in got) == 1
+    rules = policy_table(spark, default_policy(), key)
+    rows = [("LOCATION", f"city {i}", i) for i in range(5)] + [("PERSON", f"Ann Lee{i}", 5 + i) for i in range(40)]
+    values = spark.createDataFrame(rows, "entity_type string, real_value string, ord int")
+    vault = asg.assign(values, v.empty_vault(spark), rules)
+    got = [r.surrogate for r in vault.where("not derived").collect()]
+    assert len(set(got)) == 45 and sum(s == "Ashaton" for s in got) == 1 and not any("(" in s for s in got)
+    later = spark.createDataFrame([(t, f"{r} more", o) for t, r, o in rows], "entity_type string, real_value string, ord int")
+    more = [r.surrogate for r in asg.assign(later, vault, rules).where("not derived").collect()]
+    assert len(set(more)) == 45 and not {s.lower() for s in more} & {s.lower() for s in got}
+    dealt = [w for s in [*got, *more] for w in s.split() if is_dealt(w)]
+    assert len(set(dealt)) == len(dealt)
+
+
+def is_dealt(word):
+    return re.fullmatch(f"(?i){SYLLABLE}{{3,8}}", word) is not None
+
+
+def test_words_of_numbers_differ(spark):
+    words = spark.range(SYLLABLES**3).select(syllable_word(F.col("id"), 3).alias("w"))
+    assert words.distinct().count() == SYLLABLES**3 and words.where(F.col("w").rlike(f"^{SYLLABLE}{{3}}$")).count() == SYLLABLES**3
 
 
 def test_store(spark, vault, tmp_path):
