@@ -184,7 +184,8 @@ def _encrypt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFr
     row, and masking falls back to the type name.
     """
     done: list[DataFrame] = []
-    first = pending = materialize(fpe(rows, "real_value", "surrogate").where("surrogate is not null"))
+    made = materialize(fpe(rows, "real_value", "surrogate"))  # filtered after, so that the cipher runs once a row
+    first = pending = made.where("surrogate is not null")
 
     def settle(tried: DataFrame) -> DataFrame:
         """Keep the rows nobody contests; the rest is returned."""

@@ -280,13 +280,15 @@ def reconcile(partials: DataFrame, vault: DataFrame) -> DataFrame:
     """``(entity_type, partial)`` -> the surrogate of the one real value it can stand for.
 
     Each mask shape in use is applied to the vault values of its type and length; the
-    visible characters are then an equi-join key. Shapes are few (one per number format).
+    visible characters are then an equi-join key. Shapes are few (one per number format) and
+    are broadcast once measured; should they be many, the values of a frequent type and length
+    are salted.
     """
     probes = partials.select("entity_type", "partial").distinct().withColumn("shape", mask_shape(F.col("partial")))
     probes = probes.where("shape is not null").withColumn("seen", visible(F.col("partial"), F.col("shape")))
     shapes = probes.select("entity_type", "shape", F.length("shape").alias("n")).distinct()
     fwd = forward(vault).withColumn("n", F.length("real_value"))
-    keyed = fwd.join(shapes, ["entity_type", "n"]).withColumn("seen", visible(F.col("real_value"), F.col("shape")))
+    keyed = spread_join(fwd, shapes, ["entity_type", "n"], "inner").withColumn("seen", visible(F.col("real_value"), F.col("shape")))
     # one vault row per visible signature: counted map-side, so a popular ending is one row
     unique = (
         keyed.groupBy("entity_type", "shape", "seen")

@@ -711,6 +711,22 @@ def _(spark, sf):
     return v.find_real(load(spark, sf, _PROBES).drop("real_value"), load(spark, sf, inp.VAULT))
 
 
+def _sealed_store(spark, sf) -> VaultStore:
+    store = VaultStore(spark, _scratch(spark), SEAL_KEY)
+    store.write(0, load(spark, sf, inp.VAULT))
+    return store
+
+
+@query("S2_sealed_forward", _lookup_sql("real_value", "surrogate", "ci", True))
+def _(spark, sf):
+    return _sealed_store(spark, sf).find_surrogate(load(spark, sf, _PROBES).drop("surrogate"))
+
+
+@query("S2_sealed_reverse", _lookup_sql("surrogate", "real_value", "exact", True))
+def _(spark, sf):
+    return _sealed_store(spark, sf).find_real(load(spark, sf, _PROBES).drop("real_value"))
+
+
 @query(
     "V4_reverse_any_type",
     f"""SELECT p.probe, p.entity_type, p.surrogate, coalesce(v.real_value, p.surrogate) AS restored

@@ -6,7 +6,8 @@ segments before its own, so a replay sees the vault it saw the first time. Clear
 starts a new generation. Nothing is ever rewritten in place.
 
 With a key, real values and surrogates are stored as AES-256-GCM (nonce, ciphertext,
-tag) and an HMAC index of each lets joins work on the encrypted table.
+tag) and an HMAC index of each lets joins work on the encrypted table: lookups join the
+indexes of the values asked for and decrypt the rows they hit, no others.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskloom.functions.surrogates import hmac_hex
-from maskloom.operators.vault import VAULT, empty_vault, forward
+from maskloom.operators.vault import VAULT, empty_vault, find_real, find_surrogate, forward
 from maskloom.policy import hmac_pads
+from maskloom.runtime import materialize
 
 SEALED = (
     "entity_type string, real_sealed binary, surrogate_sealed binary, real_index string, surrogate_index string, "
@@ -71,6 +73,12 @@ def unseal(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def blind_index(values: DataFrame, column: str, name: str, key: str) -> DataFrame:
+    """The indexes, as stored with sealed rows, of the distinct values of a column in any letter case."""
+    asked = values.select(F.lit("").alias("entity_type"), F.lower(column).alias("value")).where("value is not null").distinct()
+    return asked.join(_key_table(values.sparkSession, [""], key), "entity_type").select(hmac_hex(F.col("value")).alias(name))
+
+
 class VaultStore:
     """A vault in segments, one a writer and batch, so that writers never touch each other's files."""
 
@@ -102,6 +110,30 @@ class VaultStore:
             return None
         return rows.where(F.col("generation") == self._generation())
 
+    def find_surrogate(self, rows: DataFrame, out: str = "surrogate") -> DataFrame:
+        """``vault.find_surrogate`` on the store."""
+        return find_surrogate(rows, self._answering(rows, "real_value", ("real_index",)), out)
+
+    def find_real(self, rows: DataFrame, out: str = "real_value") -> DataFrame:
+        """``vault.find_real`` on the store."""
+        return find_real(rows, self._answering(rows, "surrogate", ("surrogate_index", "real_index")), out)
+
+    def _answering(self, rows: DataFrame, column: str, indexes: tuple[str, ...]) -> DataFrame:
+        """Vault rows that can answer for ``column`` of ``rows``; of a sealed store only these are opened.
+
+        Found by the first index; by each further one come the rows that share it with a found
+        one, as a value written again later no longer stands for its first surrogate. What is
+        checkpointed here is sealed.
+        """
+        stored = self._segments()
+        if self.key is None or stored is None:
+            return self.read()
+        asked = blind_index(rows, column, indexes[0], self.key)
+        found = stored.join(asked, indexes[0], "left_semi")
+        for index in indexes[1:]:
+            found = stored.join(materialize(found.select(index).distinct()), index, "left_semi")
+        return unseal(materialize(found.drop("generation", "writer", "batch_id")), self.key)
+
     def conflicts(self) -> DataFrame:
         """Surrogates that writers gave to different values: (surrogate, real_values)."""
         held = self.read().groupBy(F.lower("surrogate").alias("surrogate")).agg(F.collect_set(F.lower("real_value")).alias("real_values"))

@@ -113,6 +113,28 @@ def test_store(spark, vault, tmp_path):
         other.read().collect()
 
 
+def test_sealed_lookups(spark, vault, tmp_path, monkeypatch):
+    """As on the open vault, also after a value was written again, and only the hits are opened."""
+    from maskloom.sources import vault_store
+
+    store = VaultStore(spark, f"{tmp_path}/sealed", SEAL)
+    later = spark.createDataFrame([("PERSON", "John Smith", "Ada Byron", 9, False)], v.VAULT)
+    probes = [("PERSON", "john smith", "Maria Rodriguez"), ("PERSON", "John", "Maria"), ("US_SSN", "a@b.com", "831-24-5067"), ("SECRET", None, None), ("SECRET", "", "")]
+    rows = spark.createDataFrame(probes, "entity_type string, real_value string, surrogate string")
+    asked, replies = rows.drop("surrogate"), rows.drop("real_value")
+    assert store.find_surrogate(asked).where("surrogate is not null").isEmpty()
+    store.write(0, vault)
+    store.write(1, later)
+    opened, both = [], vault.union(later)
+    unseal = vault_store.unseal
+    monkeypatch.setattr(vault_store, "unseal", lambda found, key: opened.append(found.count()) or unseal(found, key))
+    assert set(store.find_surrogate(asked).collect()) == set(v.find_surrogate(asked, both).collect())
+    got = set(store.find_real(replies).collect())
+    assert got == set(v.find_real(replies, both).collect())
+    assert ("PERSON", "Maria Rodriguez", None) in {tuple(r) for r in got}
+    assert opened == [4, 4]  # of 7 rows: both of John Smith, John, and the row with a@b.com or the number
+
+
 def test_cipher_surrogates_are_no_real_values(spark, key):
     """Three digits, 400 of the 1000 numbers in use: the walk goes on until the number is free."""
     values = spark.createDataFrame([("PHONE_NUMBER", f"{i:03d}", i) for i in range(400)], "entity_type string, real_value string, ord int")
