@@ -53,6 +53,34 @@ def _parses(text: Column) -> Column:
     return listed.isNotNull() & held.isNotNull() & ~F.contains(F.regexp_replace(text, _JSON_STRING, ""), F.lit("'"))
 
 
+#: The parser with its limits lifted and nothing allowed that JSON does not have.
+_UNLIMITED = {
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": "broken",
+    "maxNestingDepth": "2147483647",
+    "maxNumLen": "2147483647",
+    "maxStringLen": "2147483647",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+#: Characters of a key that the parser takes; no option lifts this.
+_KEY_LIMIT = 50_000
+
+
+def _parses_unlimited(text: Column) -> Column:
+    """The text parses, whatever its depth and the length of its strings and numbers.
+
+    The wrapped text is passed over, not copied. Of two wrappers one refuses a closing bracket too many.
+    """
+    finite = F.regexp_replace(text, _NOT_FINITE, "0")
+
+    def sound(head: str, tail: str) -> Column:
+        read = F.from_json(F.concat(F.lit(head), finite, F.lit(tail)), "none int, broken string", _UNLIMITED)
+        return read.isNotNull() & read["broken"].isNull()
+
+    return sound('{"v":', "}") & sound('{"v":[', "]}")
+
+
 # What a JSON text is made of, for the walk below.
 _SCALAR = r"(?s)[ \t\n\r]*(?:-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)[ \t\n\r]*"
 _GOOD_STRING = r'(?s)"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1F]*+)*+"'
@@ -106,13 +134,16 @@ def is_json(text: Column) -> Column:
     Brackets put around it make the parser refuse anything after the root value; it also
     takes single quotes, which JSON does not, so quotes outside strings are refused.
     What the parser refuses may still be JSON past the parser's own limits; texts long
-    enough for that are decided by their tokens.
+    enough for that go through a parser without these limits, and those with a key beyond the
+    one limit that stays are decided by their tokens.
     """
     body = F.btrim(text, F.lit(" \t\n\r"))
     closed = (F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))) | (
         F.startswith(body, F.lit("[")) & F.endswith(body, F.lit("]"))
     )
-    parses = F.when(_parses(text), F.lit(True)).when(F.length(text) > _PARSER_LIMIT, _walks(text)).otherwise(F.lit(False))
+    long_key = F.exists(F.regexp_extract_all(text, F.lit(_JSON_STRING), F.lit(0)), lambda s: F.length(s) > _KEY_LIMIT)
+    beyond = F.when(_parses_unlimited(text), F.lit(True)).when(F.length(text) > _KEY_LIMIT, long_key & _walks(text)).otherwise(F.lit(False))
+    parses = F.when(_parses(text), F.lit(True)).when(F.length(text) > _PARSER_LIMIT, beyond).otherwise(F.lit(False))
     return F.when(closed, parses).otherwise(F.lit(False))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskloom.runtime import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -88,9 +90,14 @@ SELECT event_id AS ingest_seq, cast(event_id as string) AS timestamp, CASE WHEN
 FROM events"""
 
 
+#: Tables of narrow rows, from which much longer texts are derived: a few megabytes would be one task's work.
+NARROW = ("customer", "orders", "lineitem", "events")
+
+
 def tables(spark: SparkSession, sf_dir: str) -> SparkSession:
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (spread(rows) if name in NARROW else rows).createOrReplaceTempView(name)
     return spark
 
 

@@ -104,3 +104,19 @@ def test_items_of_one_object(spark):
     text = json.dumps({"result": {"content": [{"type": "text", "text": "a"}, {"text": "b", "type": "text"}, {"type": "image", "text": "c"}, {"text": "d"}]}})
     rows = one(spark, text, lambda t: markup.siblings(markup.json_leaves(t), "result.content.type", "text", "result.content.text"))
     assert [r.raw for r in rows] == ["a", "b"]
+
+
+def test_deep_texts_are_decided_without_a_walk_of_their_brackets(spark):
+    """Time with the square of the depth would take minutes here."""
+    deep = "[" * 200_000 + "]" * 200_000
+    began = time.time()
+    assert one(spark, '{"a":' + deep + "}", filters.is_json)
+    assert not one(spark, "[" + deep, filters.is_json) and not one(spark, "[" + deep + "}]", filters.is_json)
+    assert time.time() - began < 30
+
+
+def test_closing_brackets_too_many_past_the_parser_limits(spark):
+    pad = " " * 1100
+    texts = {"{}}": False, "[]]": False, "{}]}": False, "[]}]": False, '{}},"w":{}': False, "[],[]": False, "{},{}": False, '[{"broken":"x"}]': True}
+    rows = spark.createDataFrame([(t[0] + pad + t[1:], ok) for t, ok in texts.items()], "text string, ok boolean")
+    assert rows.where(filters.is_json(F.col("text")) != F.col("ok")).count() == 0
