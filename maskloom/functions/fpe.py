@@ -115,6 +115,7 @@ def fpe(df: DataFrame, value: str, out: str, decrypt: bool = False) -> DataFrame
         out,
         F.when(
             F.length(digits).between(1, MAX_DIGITS),
-            spread_digits(F.col(value), F.right(whole, F.length(digits))),
+            # the last digits; ``right`` would name the cipher twice
+            spread_digits(F.col(value), F.substring(whole, -F.length(digits), F.length(digits))),
         ),
     )

@@ -195,15 +195,26 @@ def _encrypt(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> list[DataFr
         owned = _with_claims(owned, won)
         return lost
 
-    for _ in range(CIPHER_STEPS):
+    stuck = None  # values of formats all of whose numbers are in use: no step can settle them
+    for step in range(CIPHER_STEPS):
         pending = settle(pending)
         if pending.isEmpty():
-            return done
-        again = pending.withColumnRenamed("surrogate", "before")
+            break
+        if step == 0:
+            full = _full_formats(pending, owned, reals)
+            if not full.isEmpty():
+                marked = pending.withColumn("format", _format(F.col("real_value")))
+                stuck = marked.join(full, "format", "left_semi").select(KEY)
+                pending = marked.join(full, "format", "left_anti").drop("format")
+        again = rebalanced(pending.withColumnRenamed("surrogate", "before"))
         pending = materialize(fpe(again, "before", "surrogate").drop("before"))
-    free = _dealt(pending.drop("surrogate"), owned, reals)
-    left = pending.join(free.select(KEY), KEY, "left_anti").select(KEY)
-    pending = settle(free).select(KEY).union(left)
+    if not pending.isEmpty():
+        free = _dealt(pending.drop("surrogate"), owned, reals)
+        left = pending.join(free.select(KEY), KEY, "left_anti").select(KEY)
+        pending = settle(free).select(KEY).union(left)
+    pending = pending.select(KEY)
+    if stuck is not None:
+        pending = pending.union(stuck)
     if pending.isEmpty():
         return done
     for size in (16, 64):
@@ -219,6 +230,15 @@ def _format(text):
     return F.regexp_replace(F.lower(text), "[0-9]", "0")
 
 
+def _full_formats(rows: DataFrame, owned: DataFrame, reals: DataFrame) -> DataFrame:
+    """Formats of ``rows`` without a free number."""
+    formats = rows.select(_format(F.col("real_value")).alias("format")).distinct()
+    used = owned.select("token").union(reals.select("token")).withColumn("format", _format(F.col("token")))
+    used = used.join(formats, "format", "left_semi").distinct().groupBy("format").agg(F.count(F.lit(1)).alias("u"))
+    digits = F.length(F.regexp_replace("format", "[^0]", ""))
+    return materialize(used.where(F.col("u") >= F.pow(F.lit(10.0), digits)).select("format"))
+
+
 def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
     """Add ``place``, the 0-based rank within a format, without a task that holds a format."""
     ranked = materialize(global_rank(rows, [F.col(c) for c in ("format", *order)], "rank"))

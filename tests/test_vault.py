@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from maskloom.functions.fpe import fpe
 from maskloom.functions.surrogates import SYLLABLE, SYLLABLES, syllable_word
 from maskloom.operators import assign as asg, demask, vault as v
 from maskloom.policy import default_policy, policy_table
@@ -164,3 +165,11 @@ def test_suffix_only_without_free_numbers(spark, key, n, suffixed):
     assert sum("(" in r.surrogate for r in made) == suffixed
     assert not {r.surrogate.lower() for r in made} & {r[1].lower() for r in rows}
     assert all(r.surrogate[:3] == r.real_value[:3] for r in made if len(r.real_value) == 6)
+
+
+def test_values_of_a_full_format_take_no_further_cipher_steps(spark, key, monkeypatch):
+    calls = []
+    monkeypatch.setattr(asg, "fpe", lambda df, *names: calls.append(1) or fpe(df, *names))
+    values = spark.createDataFrame([("PHONE_NUMBER", str(i), i) for i in range(10)], "entity_type string, real_value string, ord long")
+    made = asg.assign(values, v.empty_vault(spark), policy_table(spark, default_policy(), key)).collect()
+    assert len({r.surrogate for r in made}) == 10 and len(calls) <= 2
