@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from maskloom.functions.spans import SPACE, regex_spans, walk
+from maskloom.functions.spans import SPACE, let, regex_spans, walk
 
 SHIFT = "array<struct<at:int,extra:int>>"
 LEAF = "array<struct<path:string,key:string,obj:int,start:int,raw:string>>"
@@ -19,14 +19,11 @@ DECODED_LEAF = f"struct<path:string,key:string,obj:int,leaf_start:int,text:strin
 DECODED_PIECE = f"struct<start:int,text:string,moved:{SHIFT}>"
 
 _JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-JSON_TOKEN = rf'(?s){_JSON_STRING}|[{{}}\[\],:]|[^{{}}\[\],:"]+'
+JSON_TOKEN = rf'(?s)(?:{_JSON_STRING}|[{{}}\[\]])[^{{}}\[\]"]*+|[^{{}}\[\]"]++'
 JSON_ESCAPE = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[^u]"
 HTML_ESCAPE = "&(?:#39|amp|lt|gt|quot|nbsp);"
 
-_STATE = (
-    "struct<pos:int,objs:int,stack:array<struct<obj:int,path:string>>,path:string,key:string,"
-    "held:struct<start:int,raw:string>>"
-)
+_STATE = "struct<pos:int,objs:int,stack:array<struct<obj:int,path:string>>,path:string,key:string>"
 
 
 #: Characters of a string that the JVM parser decodes whole; it refuses 20 000 000.
@@ -49,68 +46,50 @@ def json_string(raw: Column) -> Column:
 def json_leaves(text: Column) -> Column:
     """Every string value of a JSON text: path, key, object number, start, undecoded body.
 
-    The tokens tile the text, so offsets are running lengths. A string is held back
-    until the next mark shows whether it was a key (``:``) or a value. List positions
-    add nothing to a path. ``obj`` numbers the object a value sits in.
+    The tokens tile the text, so offsets are running lengths. A token is a bracket or a string
+    with all that follows it up to the next of them; a colon there makes the string a key. List
+    positions add nothing to a path. ``obj`` numbers the object a value sits in.
     """
-    tokens = F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0))
+    tokens = F.transform(
+        F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0)),
+        lambda t: F.struct(F.left(t, F.lit(1)).alias("sign"), t.alias("all"), F.substring_index(t, '"', -1).alias("tail")),
+    )
     init = F.struct(
         F.lit(0).alias("pos"),
         F.lit(0).alias("objs"),
         F.lit([]).cast("array<struct<obj:int,path:string>>").alias("stack"),
         F.lit("").alias("path"),
         F.lit("").alias("key"),
-        F.lit(None).cast("struct<start:int,raw:string>").alias("held"),
     ).cast(_STATE)
 
     def step(acc: Column, token: Column) -> tuple[Column, Column]:
-        first = F.left(token, F.lit(1))
-        is_string = first == '"'
-        opens, closes = first.isin("{", "["), first.isin("}", "]")
+        first, size = token["sign"], F.length(token["all"])
+        is_string, is_key = first == '"', F.contains(token["tail"], F.lit(":"))
+        raw = F.substring(token["all"], F.lit(2), size - F.length(token["tail"]) - 2)
         top = F.try_element_at(acc["stack"], F.lit(-1))
         top_path = F.coalesce(top["path"], F.lit(""))
-        key = json_string(acc["held"]["raw"])
-        emits = acc["held"].isNotNull() & (closes | (first == ","))
-        leaf = F.array(
-            F.struct(
-                acc["path"].alias("path"),
-                acc["key"].alias("key"),
-                F.coalesce(top["obj"], F.lit(0)).alias("obj"),
-                acc["held"]["start"].alias("start"),
-                acc["held"]["raw"].alias("raw"),
-            )
+        top_obj = F.coalesce(top["obj"], F.lit(0))
+        pos = acc["pos"] + size
+
+        def state(path: Column, key: Column, stack: Column = acc["stack"], objs: Column = acc["objs"]) -> Column:
+            return F.struct(pos.alias("pos"), objs.alias("objs"), stack.alias("stack"), path.alias("path"), key.alias("key")).cast(_STATE)
+
+        def pushed(obj: Column) -> Column:
+            return F.array_append(acc["stack"], F.struct(obj.alias("obj"), acc["path"].alias("path")))
+
+        popped = F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))
+        leaf = F.struct(
+            acc["path"].alias("path"), acc["key"].alias("key"), top_obj.alias("obj"), (acc["pos"] + 1).alias("start"), raw.alias("raw")
         )
-        objs = acc["objs"] + F.when(first == "{", 1).otherwise(0)
-        pushed = F.array_append(
-            acc["stack"],
-            F.struct(
-                F.when(first == "{", objs).otherwise(F.coalesce(top["obj"], F.lit(0))).alias("obj"),
-                acc["path"].alias("path"),
-            ),
+        keyed = let(json_string(raw), lambda key: state(F.when(top_path == "", key).otherwise(F.concat(top_path, F.lit("."), key)), key))
+        after = (
+            F.when(is_string & is_key, keyed)
+            .when(first == "{", state(acc["path"], acc["key"], pushed(acc["objs"] + 1), acc["objs"] + 1))
+            .when(first == "[", state(acc["path"], acc["key"], pushed(top_obj)))
+            .when(first.isin("}", "]"), state(top_path, F.lit(""), popped))
+            .otherwise(state(acc["path"], acc["key"]))
         )
-        popped = F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))
-        after_key = F.when(top_path == "", key).otherwise(F.concat(top_path, F.lit("."), key))
-        after = F.struct(
-            (acc["pos"] + F.length(token)).alias("pos"),
-            objs.alias("objs"),
-            F.when(opens, pushed).when(closes, popped).otherwise(acc["stack"]).alias("stack"),
-            F.when(first == ":", after_key)
-            .when((first == ",") | closes, F.when(closes, top_path).otherwise(acc["path"]))
-            .otherwise(acc["path"])
-            .alias("path"),
-            F.when(first == ":", key).when(closes, F.lit("")).otherwise(acc["key"]).alias("key"),
-            F.when(
-                is_string,
-                F.struct(
-                    (acc["pos"] + 1).alias("start"),
-                    F.substring(token, F.lit(2), F.length(token) - 2).alias("raw"),
-                ),
-            )
-            .when(opens | closes | first.isin(",", ":"), F.lit(None).cast("struct<start:int,raw:string>"))
-            .otherwise(acc["held"])
-            .alias("held"),
-        ).cast(_STATE)
-        return after, F.when(emits, leaf.cast(LEAF)).otherwise(F.lit([]).cast(LEAF))
+        return after, F.when(is_string & ~is_key, F.array(leaf).cast(LEAF)).otherwise(F.lit([]).cast(LEAF))
 
     return walk(tokens, init, LEAF, step)
 

@@ -18,6 +18,8 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 
 #: Items of a block of a walk, and how often blocks are put into blocks; characters of a part of a long text.
 BLOCK, LEVELS, PART = 32, 4, 4096
+#: Items of a short walk, for which blocks cost more than they save.
+SHORT = 128
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -57,7 +59,13 @@ def walk(items: Column, state: Column, kind: str, step: Callable[[Column, Column
 
             return F.aggregate(F.sequence(F.lit(0), count), start, join)
 
-        return F.when(F.size(array) > 0, gather(state, F.lit(0), LEVELS + 1)["out"]).otherwise(none)
+        def plain(acc: Column, item: Column) -> Column:
+            after, given = step(acc["state"], item)
+            return acc_of(after, F.when(F.size(given) > 0, F.concat(acc["out"], given)).otherwise(acc["out"]))
+
+        long = gather(state, F.lit(0), LEVELS + 1)["out"]
+        short = F.aggregate(array, acc_of(state, none), plain, lambda acc: acc["out"])
+        return F.when(F.size(array) > SHORT, long).when(F.size(array) > 0, short).otherwise(none)
 
     return let(items, whole)
 

@@ -71,7 +71,9 @@ def leaves(docs: DataFrame, keys: list[str], kind: str = "document") -> DataFram
     else:
         rows = computed(rows, json=filters.is_json(F.col("text")))
         cut = F.when(F.col("json"), markup.decoded_leaves(markup.json_leaves(F.col("text")), True)).otherwise(plain)
-    rows = rows.select(*keys, "json", F.posexplode(cut).alias("leaf_no", "leaf"))
+    # computed first: the filters that come with an explode would each repeat the walk
+    rows = computed(rows.select(*keys, "json", *[c for c in ("path", "text") if c in rows.columns and c not in keys]), __cut=cut)
+    rows = rows.select(*keys, "json", F.posexplode("__cut").alias("leaf_no", "leaf"))
     return rows.select(*keys, "json", "leaf_no", "leaf.*").where(~tx.blank(F.col("text")))
 
 
@@ -80,9 +82,9 @@ def pieces(leaf_rows: DataFrame, keys: list[str]) -> DataFrame:
     text = F.col("text")
     rows = computed(leaf_rows, html=tx.looks_like_html(text))
     cut = F.when(F.col("html"), markup.decoded_pieces(text, True)).otherwise(markup.decoded_pieces(text, False))
-    rows = rows.select(
+    rows = computed(rows, __cut=cut).select(
         *keys, "json", "html", "leaf_no", "path", "leaf_start", "leaf_moved",
-        F.posexplode(cut).alias("piece_no", "piece"),
+        F.posexplode("__cut").alias("piece_no", "piece"),
     )
     at = F.struct(
         F.col("leaf_start").alias("leaf"),

@@ -8,22 +8,25 @@ from maskloom.functions import markup, text as tx
 from maskloom.operators import vault as v
 from maskloom.operators.detect import AT, excluded_path, field_entity, placed
 from maskloom.policy import Policy
+from maskloom.runtime import computed
 
 
 def with_field_entity(leaf_rows: DataFrame, policy: Policy) -> DataFrame:
     """Add ``entity_type`` (null: no rule) and ``doubtful`` (a bare ``name`` that does not
     look like a person by its shape; it is masked only when known or detected)."""
-    entity = field_entity(F.col("path"), policy)
-    entity = F.when((entity == "SECRET") & tx.looks_like_email(F.col("text")), F.lit("EMAIL_ADDRESS")).otherwise(entity)
-    rows = leaf_rows.withColumn("entity_type", entity)
-    bare_name = (F.col("key") == "name") & (F.col("entity_type") == "PERSON")
+    # one rule test after another, each computed once: the filters behind name the result many times
+    rows = computed(leaf_rows, entity_type=field_entity(F.col("path"), policy))
+    entity = F.col("entity_type")
+    secret_mail = (entity == "SECRET") & tx.looks_like_email(F.col("text"))
+    rows = rows.withColumn("__rule", F.when(secret_mail, F.lit("EMAIL_ADDRESS")).otherwise(entity)).drop("entity_type")
+    bare_name = (F.col("key") == "name") & (F.col("__rule") == "PERSON")
     refused = bare_name & tx.name_rejected(F.col("text"), policy)
-    return rows.withColumns(
-        {
-            "entity_type": F.when(F.coalesce(refused, F.lit(False)), F.lit(None)).otherwise(F.col("entity_type")),
-            "doubtful": F.coalesce(bare_name & ~refused & ~tx.name_structure(F.col("text")), F.lit(False)),
-        }
+    judged = computed(
+        rows,
+        entity_type=F.when(F.coalesce(refused, F.lit(False)), F.lit(None)).otherwise(F.col("__rule")),
+        doubtful=F.coalesce(bare_name & ~refused & ~tx.name_structure(F.col("text")), F.lit(False)),
     )
+    return judged.drop("__rule")
 
 
 def field_findings(leaf_rows: DataFrame, keys: list[str], policy: Policy, vault: DataFrame, gazetteer=None) -> DataFrame:

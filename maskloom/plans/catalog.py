@@ -19,7 +19,7 @@ from maskloom.plans.records import mask_calls, mask_columns, mask_envelopes, sen
 from maskloom.policy import (
     REPLACE, SECRET_PATTERNS, EntityRule, FieldRule, Policy, default_policy, hmac_pads, policy_table,
 )
-from maskloom.runtime import materialize, shared_dir
+from maskloom.runtime import computed, materialize, shared_dir
 from maskloom.sources.policy_store import PolicyStore
 from maskloom.sources.vault_store import VaultStore, seal, unseal
 from maskloom.streaming import streams
@@ -419,8 +419,8 @@ def _(spark, sf):
     ids = docs_of(spark, sf, inp.IDS, "event_id")
     records = docs_of(spark, sf, inp.RECORDS, "c_custkey").withColumnRenamed("c_custkey", "event_id")
     no_keys = tuple(k for k in filters._KINDS if k != "json_key")
-    spans = ids.select("event_id", filters.protected_spans(F.col("text"), no_keys).alias("p")).unionByName(
-        records.select("event_id", filters.protected_spans(F.col("text"), ("json_key",)).alias("p"))
+    spans = computed(ids, p=filters.protected_spans(F.col("text"), no_keys)).unionByName(
+        computed(records, p=filters.protected_spans(F.col("text"), ("json_key",)))
     )
     return spans.select("event_id", F.explode("p").alias("p")).select(
         "event_id", "p.kind", F.col("p.start").alias("start_pos"), F.col("p.end").alias("end_pos")

@@ -20,7 +20,7 @@ from maskloom.functions import filters, text as tx
 from maskloom.functions.splice import splice
 from maskloom.operators import assign as asg, detect, fields, vault as v
 from maskloom.policy import Policy, policy_table
-from maskloom.runtime import checked_broadcast, materialize, spread, spread_join
+from maskloom.runtime import checked_broadcast, computed, materialize, spread, spread_join
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -53,7 +53,7 @@ def hooked(units: DataFrame, keys: list[str], policy: Policy, hooks: Sequence[Ho
         rows = units.join(made, [*keys, "unit"]).withColumn(
             "value", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
         )
-        rows = rows.withColumn("protected", filters.protected_spans(F.col("text"))).where(
+        rows = computed(rows, protected=filters.protected_spans(F.col("text"))).where(
             filters.unprotected(F.col("entity_type"), F.col("start"), F.col("end"), F.col("protected"))
             & filters.quality(policy)
         )

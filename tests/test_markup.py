@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import filters, markup
 from maskloom.functions.spans import BLOCK, cut, parts_of, regex_spans, walk
 from maskloom.functions.splice import splice
+from maskloom.operators import detect
 from maskloom.plans.mask import mask
 from maskloom.policy import default_policy
 
@@ -120,3 +121,19 @@ def test_closing_brackets_too_many_past_the_parser_limits(spark):
     texts = {"{}}": False, "[]]": False, "{}]}": False, "[]}]": False, '{}},"w":{}': False, "[],[]": False, "{},{}": False, '[{"broken":"x"}]': True}
     rows = spark.createDataFrame([(t[0] + pad + t[1:], ok) for t, ok in texts.items()], "text string, ok boolean")
     assert rows.where(filters.is_json(F.col("text")) != F.col("ok")).count() == 0
+
+
+def test_the_walk_over_a_document_is_not_repeated_in_filters(spark):
+    docs = spark.createDataFrame([(1, '{"a":"x"}')], "id long, text string")
+    for rows in (detect.leaves(docs, ["id"]), detect.pieces(detect.leaves(docs, ["id"]), ["id"])):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
+
+
+def test_leaves_of_spaced_and_nested_json(spark):
+    text = ' {"a" : "x\\"y" , "b":[ "1", {"c":2, "d" :"z"}, "w" ],"e":{} ,"f":"[{:,"} '
+    got = one(spark, text, markup.json_leaves)
+    assert [(r.path, r.key, r.obj, r.raw) for r in got] == [
+        ("a", "a", 1, 'x\\"y'), ("b", "b", 1, "1"), ("b.d", "d", 2, "z"), ("b", "", 1, "w"), ("f", "f", 1, "[{:,")
+    ]
+    assert all(text[r.start : r.start + len(r.raw)] == r.raw for r in got)
