@@ -8,6 +8,10 @@ position and how many more characters the source has there.
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from maskloom.functions.spans import SPACE, let, regex_spans, walk
@@ -43,9 +47,79 @@ def json_string(raw: Column) -> Column:
     return F.when(F.contains(raw, F.lit("\\")), escaped).otherwise(raw)
 
 
+#: Characters up to which a text is listed in Python; so a batch of 10 000 rows stays bounded.
+_LISTED = 16_384
+_HALF = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F]"
+
+
+def _lister(pattern: str):
+    """The function behind ``_listed``. It names nothing of this module, so that a task needs no import of it."""
+    tokens, lone = re.compile(pattern), re.compile("[\ud800-\udfff]")
+
+    def key_of(raw: str) -> str | None:
+        if "\\" not in raw:
+            return raw
+        try:
+            key = json.loads(f'"{raw}"', strict=False)
+        except ValueError:
+            return None
+        return None if lone.search(key) else key  # half a character is none, as in json_string
+
+    def listed(texts: pa.Array) -> pa.Array:
+        ends, paths, keys, objects, starts, raws = [0], [], [], [], [], []
+        for text in texts.to_pylist():
+            pos, objs, top_obj, top_path, path, key, stack = 0, 0, 0, "", "", "", []
+            for token in tokens.findall(text or ""):
+                sign = token[0]
+                if sign == '"':
+                    cut = token.rindex('"')
+                    if token.find(":", cut) > 0:
+                        key = key_of(token[1:cut])
+                        path = f"{top_path}.{key}" if top_path and key is not None else key
+                    else:
+                        paths.append(path)
+                        keys.append(key)
+                        objects.append(top_obj)
+                        starts.append(pos + 1)
+                        raws.append(token[1:cut])
+                elif sign == "{" or sign == "[":
+                    stack.append((top_obj, top_path))
+                    if sign == "{":
+                        objs += 1
+                        top_obj = objs
+                    top_path = path or ""
+                elif sign == "}" or sign == "]":
+                    path, key = top_path, ""
+                    top_obj, top_path = stack.pop() if stack else (0, "")
+                pos += len(token)
+            ends.append(len(paths))
+        text, number = pa.string(), pa.int32()
+        columns = [pa.array(paths, text), pa.array(keys, text), pa.array(objects, number), pa.array(starts, number), pa.array(raws, text)]
+        rows = pa.StructArray.from_arrays(columns, ["path", "key", "obj", "start", "raw"])
+        return pa.ListArray.from_arrays(pa.array(ends, number), rows)
+
+    return listed
+
+
+def _listed(text: Column) -> Column:
+    """The leaves of ``_walked``, listed by a small Python function, a batch of texts at a time."""
+    return F.arrow_udf(_lister(JSON_TOKEN.replace("*+", "*").replace("++", "+")), LEAF)(text)
+
+
 def json_leaves(text: Column) -> Column:
     """Every string value of a JSON text: path, key, object number, start, undecoded body.
 
+    An expression costs microseconds a token, so texts of usual length are listed by a small Python
+    function; longer ones are walked as an expression, in blocks. So are those with half a
+    character, of which each decoder makes something else.
+    """
+    walked = (F.length(text) > _LISTED) | (F.contains(text, F.lit("\\u")) & text.rlike(_HALF))
+    return F.when(walked, _walked(text)).otherwise(_listed(F.when(~walked, text)))
+
+
+def _walked(text: Column) -> Column:
+    """The leaves as an expression.
+
     The tokens tile the text, so offsets are running lengths. A token is a bracket or a string
     with all that follows it up to the next of them; a colon there makes the string a key. List
     positions add nothing to a path. ``obj`` numbers the object a value sits in.
@@ -167,6 +241,11 @@ def decoded_leaves(leaves: Column, is_json: bool) -> Column:
     return F.transform(leaves, one)
 
 
+def decoded_json(text: Column, leaves: Column) -> Column:
+    """The decoded leaves of a JSON text; most texts have no escape, so nothing is to be decoded."""
+    return F.when(F.contains(text, F.lit("\\")), decoded_leaves(leaves, True)).otherwise(decoded_leaves(leaves, False))
+
+
 def decoded_pieces(text: Column, is_html: bool) -> Column:
     """Pieces of a leaf with their decoded text and entity shifts."""
     if not is_html:

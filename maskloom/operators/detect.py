@@ -69,10 +69,12 @@ def leaves(docs: DataFrame, keys: list[str], kind: str = "document") -> DataFram
         rows = rows.withColumn("json", F.lit(False))
         cut = plain
     else:
-        rows = computed(rows, json=filters.is_json(F.col("text")))
-        cut = F.when(F.col("json"), markup.decoded_leaves(markup.json_leaves(F.col("text")), True)).otherwise(plain)
+        text = F.col("text")
+        rows = computed(rows, json=filters.is_json(text))
+        rows = rows.withColumn("__leaves", markup.json_leaves(F.when(F.col("json"), text)))
+        cut = F.when(F.col("json"), markup.decoded_json(text, F.col("__leaves"))).otherwise(plain)
     # computed first: the filters that come with an explode would each repeat the walk
-    rows = computed(rows.select(*keys, "json", *[c for c in ("path", "text") if c in rows.columns and c not in keys]), __cut=cut)
+    rows = computed(rows.select(*keys, "json", *[c for c in ("path", "text", "__leaves") if c in rows.columns and c not in keys]), __cut=cut)
     rows = rows.select(*keys, "json", F.posexplode("__cut").alias("leaf_no", "leaf"))
     return rows.select(*keys, "json", "leaf_no", "leaf.*").where(~tx.blank(F.col("text")))
 

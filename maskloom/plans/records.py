@@ -116,7 +116,7 @@ def sensitive(text, policy: Policy):
     """Any string of the argument JSON matches a sensitive-argument glob."""
     if not policy.sensitive_args:
         return F.lit(False)
-    leaves = F.when(filters.is_json(text), markup.json_leaves(text)).otherwise(F.lit([]).cast(markup.LEAF))
+    leaves = markup.json_leaves(F.when(filters.is_json(text), text))
 
     def matches(leaf):
         value = markup.json_string(leaf["raw"])

@@ -137,3 +137,27 @@ def test_leaves_of_spaced_and_nested_json(spark):
         ("a", "a", 1, 'x\\"y'), ("b", "b", 1, "1"), ("b.d", "d", 2, "z"), ("b", "", 1, "w"), ("f", "f", 1, "[{:,")
     ]
     assert all(text[r.start : r.start + len(r.raw)] == r.raw for r in got)
+
+
+def test_listed_leaves_are_those_of_the_walk(spark):
+    """Texts of usual length are listed in Python, a batch at a time, not folded token by token."""
+    texts = [
+        "{}", "[]", '["a",[["b"]],{"k":["c",{"":"d"}]}]', '{"a":{"b":"x","c":{"d":"y"}},"e":"z"} ', '{"é😀":{"n\\"{":"a:b","t":"\\u00e9"}}',
+        '{"\\ud83d\\ude00":{"k":"v"},"\\ud800":{"k":"v","l":["w"]}}', '{"\\udc00\\udc00":{"k":"v"}}', '{"a" : "x" , "a":"y",\n"b":[1,"s",null]}',
+        '{"long":"' + "x" * 20_000 + '"}', '[{"a":"1"},{"a":"2"}]', "1", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("t", markup.json_leaves(F.col("t")).alias("got"), markup._walked(F.col("t")).alias("want"))
+    for row in rows.collect():
+        assert row.got == row.want, row.t
+    plan = rows.select("got")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    decoded = one(spark, '{"a":"x\\ny","b":"z"}', lambda t: markup.decoded_json(t, markup.json_leaves(t)))
+    assert [(x.path, x.text, len(x.leaf_moved)) for x in decoded] == [("a", "x\ny", 1), ("b", "z", 0)]
+
+
+def test_parser_reads_over_a_text_without_a_copy(spark):
+    texts = {'{"a":[1,{"b":null}]}': True, '{"a":1}]': False, '{"a":1},{"b":2}': False, "[1],[2]": False, '["\\x"]': False, "['a']": False, '["it\'s"]': True, "[NaN,-Infinity]": True, '["NaN"': False, "[1,]": False}
+    for text, want in texts.items():
+        assert one(spark, text, filters.is_json) is want, text
+    plan = spark.range(1).select(filters.is_json(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "get_json_object" not in plan
