@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -14,6 +15,8 @@ RIGHT = rf"(?![{WORD}])"
 SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+#: What a pattern may hold that does not bear another pattern around it: references to groups, flags for the rest, quoting, comments.
+_REFERENCE = re.compile(r"\\[1-9kGQ]|\(\?[a-zA-Z]*x|#")
 
 
 #: Items of a block of a walk, and how often blocks are put into blocks; characters of a part of a long text.
@@ -101,6 +104,16 @@ def without_edges(pattern: str) -> str:
     return pattern.replace(r"\b", "")
 
 
+def _gaps(text: Column, pattern: str, found: Column) -> Column:
+    """The text before each match. ``split`` would compile the pattern anew for each row; it is left to
+    empty matches, and to patterns that refer to their own groups, which a group around the gap would renumber."""
+    split = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    if _REFERENCE.search(pattern):
+        return split
+    before = F.regexp_extract_all(text, F.lit(rf"\G((?s:.*?))(?:{pattern})"), F.lit(1))
+    return F.when(F.exists(found, lambda hit: hit == ""), split).otherwise(before)
+
+
 def regex_spans(text: Column, pattern: str, test: str | None = None) -> Column:
     """Every non-overlapping match with its half-open character offsets.
 
@@ -109,8 +122,7 @@ def regex_spans(text: Column, pattern: str, test: str | None = None) -> Column:
     text between them. Most rows of most tables have no match at all.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(found.alias("hit"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+    steps = let(found, lambda f: F.arrays_zip(f, _gaps(text, pattern, f)).cast("array<struct<hit:string,gap:string>>"))
 
     def step(pos: Column, s: Column) -> tuple[Column, Column]:
         start = pos + F.length(s["gap"])

@@ -17,7 +17,7 @@ def with_field_entity(leaf_rows: DataFrame, policy: Policy) -> DataFrame:
     # one rule test after another, each computed once: the filters behind name the result many times
     rows = computed(leaf_rows, entity_type=field_entity(F.col("path"), policy))
     entity = F.col("entity_type")
-    secret_mail = (entity == "SECRET") & tx.looks_like_email(F.col("text"))
+    secret_mail = entity.eqNullSafe("SECRET") & tx.looks_like_email(F.col("text"))  # without a rule the text is not looked at
     rows = rows.withColumn("__rule", F.when(secret_mail, F.lit("EMAIL_ADDRESS")).otherwise(entity)).drop("entity_type")
     bare_name = (F.col("key") == "name") & (F.col("__rule") == "PERSON")
     refused = bare_name & tx.name_rejected(F.col("text"), policy)

@@ -1,10 +1,13 @@
 import hashlib
 import hmac
+import re
 
 from pyspark.sql import functions as F
 
 from maskloom.functions import filters, markup, recognizers, surrogates, text as tx
 from maskloom.functions.fpe import fpe
+from maskloom.functions.spans import regex_spans
+from maskloom.operators import fields, scan
 from maskloom.policy import FPE, EntityRule, Policy, default_policy, glob_regex, policy_table, read_policy, write_policy
 
 
@@ -104,3 +107,36 @@ def test_policy_round_trip(tmp_path):
     p = default_policy().with_(never_mask_paths=("a.*",), sensitive_args=("vault/*",), allow_list=("Ünï",), notice=False)
     write_policy(p, tmp_path / "p.yaml")
     assert read_policy(tmp_path / "p.yaml") == p
+
+
+def test_spans_without_a_split(spark):
+    """``split`` compiles its pattern for each row; the gaps come from a pattern that is kept."""
+    texts = ["", "a1", "é😀a12 b3\nc45", "1", "xx", "12\n\n3", "a😀" * 300 + "7"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern, at in ((r"(?<![0-9])[0-9]+", r"(?<![0-9])[0-9]+"), (r"(?i)A(?=[0-9])|B", r"(?i)a(?=[0-9])|b"), (r"([0-9])\1?", r"([0-9])\1?"), (r"^a|3$", r"^a|3\Z")):
+        for row in df.select("t", regex_spans(F.col("t"), pattern).alias("s")).collect():
+            assert [tuple(x) for x in row.s] == [(m.start(), m.end(), m[0]) for m in re.finditer(at, row.t)], (pattern, row.t)
+    plan = df.select(regex_spans(F.col("t"), "[0-9]+"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "WHEN exists" in plan or "CASE WHEN exists" in plan, plan
+
+
+def test_first_characters_are_listed(spark):
+    got = scan._first_characters(spark.createDataFrame([("kim",), ("ſet",), ("Ωx",), ("1",)], "pattern string"), True)
+    assert not got.startswith("(?iu")
+    assert all(re.search(rf"\\x\{{{ord(c):X}\}}", got) for c in "kK\u212aſΩω\u21261"), got
+
+
+def test_texts_without_a_field_rule_are_not_looked_at(spark):
+    rows = spark.createDataFrame([("", "", 0, 0, "a@b.com"), ("x.password", "password", 0, 0, "a@b.com")], "path string, key string, leaf_no int, obj int, text string")
+    judged = fields.with_field_entity(rows, default_policy())
+    assert [r.entity_type for r in judged.orderBy("path").collect()] == [None, "EMAIL_ADDRESS"]
+    assert "<=> SECRET" in judged._jdf.queryExecution().analyzed().toString()
+
+
+def test_numbers_that_only_look_alike_pass_the_cheap_tests(spark):
+    tests = {entity: test for entity, _, test, _, _ in recognizers.BUILTIN}
+    assert not re.search(tests["PHONE_NUMBER"], "123-45-6789") and not re.search(tests["CREDIT_CARD"], "123-45-6789 2024")
+    for text in ("(200) 555-0001", "2005550001", "+1 200.555.0001"):
+        assert [x[0] for x in found(spark, text, recognizers.builtin_findings)] == ["PHONE_NUMBER"], text
+    for text in ("4111111111111111", "4111-1111-1111-1111", "4111 1111 1111 1111", "378282246310005", "3782-822463-10005", "3782 822463 10005"):
+        assert "CREDIT_CARD" in [x[0] for x in found(spark, text, recognizers.builtin_findings)], text
