@@ -12,7 +12,8 @@
 A tokenizer splits texts into words before it merges letters, and no word holds a white-space
 character after another character. So texts are taken apart at white space, each distinct word of
 a chunk is looked up in a bounded table of what the tokenizer made of it, and only new words are tokenized, many at
-once. A text is first cut at the tokenizer's added tokens (``<|endoftext|>``), which have ids of
+once: pieces that are one word to the tokenizer go to its merges (a ``Tokenizer`` of the same model) without being
+searched for words again. A text is first cut at the tokenizer's added tokens (``<|endoftext|>``), which have ids of
 their own.
 
 Defined results. A null text is empty: its only id is 0. Repeated rows are packed each for
@@ -25,6 +26,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -54,6 +56,13 @@ _KIND[_SPACE] = 0
 _KIND[[*range(65, 91), *range(97, 123)]] = 1
 _KIND[48:58] = 2
 _KIND[128:] = _KIND[39] = 4
+# The same of Latin, Greek and Cyrillic characters of two bytes, by code point.
+_KIND_WIDE = np.full(1 << 11, 4, np.uint8)
+_KIND_WIDE[0xA1:0x530] = [{"L": 1, "N": 2, "M": 3, "P": 3, "S": 3}.get(unicodedata.category(chr(c))[0], 4) for c in range(0xA1, 0x530)]
+# Bytes as a byte-level model writes them: printable ones as they are, the others from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SIGNS = {b: b if b in _PRINTED else 256 + sum(x not in _PRINTED for x in range(b)) for b in range(256)}
+_LINE = chr(_SIGNS[10])
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
@@ -71,7 +80,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = json.loads(self.tokenizer.to_str())["added_tokens"]
+        told = json.loads(self.tokenizer.to_str())
+        added = told["added_tokens"]
         self.added = {t["content"]: t["id"] for t in added}
         # Plain added tokens just cut a text; others look at their neighbours, so such texts are tokenized whole.
         self.plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
@@ -83,6 +93,35 @@ class Words:
         self.spaced: list[dict[str, bytes]] = [{}, {}]
         self.known: list[dict[bytes, bytes]] = [{}, {}]
         self.newline = self._encode(["\n"])[0]
+        self.merges = self._merges_only(told)
+
+    def _merges_only(self, told: dict):
+        """A tokenizer of the same merges for texts that are cut into words already, or None if that may differ."""
+        from tokenizers import Tokenizer, models
+
+        model, before = told["model"], told["pre_tokenizer"] or {}
+        usual = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        usual &= before.get("type") == "ByteLevel" and before.get("use_regex", False) and not before["add_prefix_space"] and told["normalizer"] is None
+        if not usual or len(self.newline) != self.kind.itemsize or not all(chr(x) in model["vocab"] for x in _SIGNS.values()):
+            return None
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        byte = {chr(c): b for b, c in _SIGNS.items()}
+        beside = [bytes(byte.get(c, 0) for c in (b if a == _LINE else a)) for a, b in merges if _LINE in (a, b)]
+        if not all(re.search(rb"[\t-\r]", x) or _WIDE_SPACE.search(x) for x in beside):
+            return None  # a newline between words would merge with them
+        return Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0))
+
+    def _merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pieces that are one word to the tokenizer each, without white space but a first blank."""
+        out, size = [], self.kind.itemsize
+        line = np.frombuffer(self.newline, self.kind)[0]
+        for at in range(0, len(words), 8192):
+            # A newline in front of each word and 32 words a text: longer texts are merged more slowly.
+            texts = ["".join([_LINE, b"\n".join(words[i : i + 32]).decode("latin-1").translate(_SIGNS)]) for i in range(at, min(at + 8192, len(words)), 32)]
+            ids = b"".join([array(self.code, e.ids).tobytes() for e in self.merges.encode_batch_fast(texts, add_special_tokens=False)])
+            cuts = (np.flatnonzero(np.frombuffer(ids, self.kind) == line) * size).tolist()
+            out += [ids[a + size : b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
+        return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -136,7 +175,8 @@ class Words:
         """
         whole, count = data.tobytes(), len(at) - 1
         odd = []
-        if any(x in whole for x in (*_WIDE_FIRST, *(t.encode() for t in self.added))):
+        # First bytes alone are searched for much faster than the strings.
+        if any(x[:1] in whole and x in whole for x in (*_WIDE_FIRST, *(t.encode() for t in self.added))):
             raw = [whole[s:e] for s, e in zip(at[:-1], at[1:])]
             odd = [i for i, t in enumerate(raw) if _WIDE_SPACE.search(t) or (self.byte_cuts and self.byte_cuts.search(t))]
         end = np.zeros(1, self.kind).tobytes()
@@ -149,25 +189,48 @@ class Words:
         n, size = len(data), self.kind.itemsize
         if not n:
             return [end] * count
-        blank = _SPACE[data]
-        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        kind = _KIND[data]
+        blank = kind == 0
         filled = at[:-1][at[1:] > at[:-1]]
-        first[filled], last[np.append(filled[1:], n) - 1] = True, True
-        before = np.concatenate([[False], blank[:-1]]) & ~first  # a blank of the same text stands before
-        word_next = np.concatenate([~blank[1:], [False]]) & ~last
-        starts = first | (blank & ~before) | (blank & before & word_next)
-        starts |= ~blank & before & (np.concatenate([[0], data[:-1]]) != 32)
+        before = np.empty(n, bool)  # a blank of the same text stands before
+        before[1:], before[filled] = blank[:-1], False
+        word_next = np.empty(n, bool)
+        np.logical_not(blank[1:], out=word_next[:-1])
+        word_next[np.append(filled[1:], n) - 1] = False
+        starts = blank & (~before | word_next)
+        after = np.flatnonzero(before & ~blank)
+        starts[after[data[after - 1] != 32]] = True
+        starts[filled] = True
         begins = np.flatnonzero(starts)
-        # ASCII pieces are cut on, where letters, digits and other signs meet: so does the tokenizer.
-        kind = _KIND[data]
-        simple = np.repeat(np.maximum.reduceat(kind, begins) < 4, np.diff(np.append(begins, n)))
-        turns = np.concatenate([[False], (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)])
-        begins = np.flatnonzero(starts | (turns & simple))
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, n)), pa.py_buffer(whole)])
+        # Pieces are cut on, where letters, digits and other signs meet: so does the tokenizer. Not those with unknown signs.
+        lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xD5))
+        if len(lead):
+            first = np.zeros(n, bool)
+            first[filled] = True
+            lead = lead[(data[lead + 1] & 0xC0 == 0x80) & ~first[lead + 1]]
+            kind[lead] = kind[lead + 1] = _KIND_WIDE[(data[lead] & 31).astype(np.int64) << 6 | data[lead + 1] & 63]
+        turns = np.flatnonzero((kind[1:] != kind[:-1]) & ~blank[1:] & ~blank[:-1]) + 1
+        hard = np.flatnonzero(kind == 4)
+        if len(hard):
+            unknown = np.zeros(len(begins), bool)
+            unknown[np.searchsorted(begins, hard, "right") - 1] = True
+            turns = turns[~unknown[np.searchsorted(begins, turns, "right") - 1]]
+        starts[turns] = True
+        begins = np.flatnonzero(starts)
+        bounds = np.append(begins, n)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(whole)])
         coded = pieces.dictionary_encode()
-        table = [*self._pieces(coded.dictionary.to_pylist()), end]
-        index = np.insert(coded.indices.to_numpy().astype(np.int64), np.searchsorted(begins, at[1:]), len(table) - 1)
-        sizes = np.array([len(x) // size for x in table], np.int64)
+        index = coded.indices.to_numpy().astype(np.int64)
+        # One word to the tokenizer: all of one known kind but a first blank, if it has no unknown sign and does not end in white space.
+        one = np.zeros(len(coded.dictionary), bool)
+        one[index] = ~blank[bounds[1:] - 1]
+        one[index[np.searchsorted(begins, hard, "right") - 1]] = False
+        _, spots, content = coded.dictionary.buffers()
+        spots = np.frombuffer(spots, np.int64)[: len(one) + 1].tolist()
+        content = content.to_pybytes()
+        table = [*self._pieces([content[a:b] for a, b in zip(spots, spots[1:])], one), end]
+        index = np.insert(index, np.searchsorted(begins, at[1:]), len(table) - 1)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // size
         flat, offsets = np.frombuffer(b"".join(table), self.kind), np.cumsum(sizes) - sizes
         counts = sizes[index]
         ends = np.cumsum(counts)
@@ -175,18 +238,28 @@ class Words:
         stops = (ends[index == len(table) - 1] * size).tolist()
         return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
-    def _pieces(self, wanted: list[bytes]) -> list[bytes]:
-        """Ids of pieces, from the table of known ones, which is bounded as the tables of words are."""
+    def _pieces(self, wanted: list[bytes], one: np.ndarray) -> list[bytes]:
+        """Ids of pieces, from the table of known ones, which is bounded as the tables of words are. ``one``: one word to the tokenizer."""
         known, old = self.known
-        missing = [p for p in wanted if p not in known]
+        found = list(map(known.get, wanted))
+        missing = [i for i, x in enumerate(found) if x is None]
         if len(known) + len(missing) > KNOWN_WORDS:
-            self.known[:] = known, old = {p: known[p] for p in wanted if p in known}, known
-        new = [p for p in missing if p not in old]
-        known.update((p, old[p]) for p in missing if p in old)
-        made = self._encode_words([p.decode("utf-8", "replace") for p in new])
-        fresh = dict(zip(new, made))
-        known.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST_KNOWN)
-        return [x if (x := known.get(p)) is not None else fresh[p] for p in wanted]
+            self.known[:] = known, old = {p: x for p, x in zip(wanted, found) if x is not None}, known
+        new = []
+        for i in missing:
+            p = wanted[i]
+            if (x := old.get(p)) is None:
+                new.append(i)
+            else:
+                found[i] = known[p] = x
+        single = one.tolist() if self.merges else [False] * len(wanted)
+        merged, other = [i for i in new if single[i]], [i for i in new if not single[i]]
+        made = self._merge([wanted[i] for i in merged]) + self._encode_words([wanted[i].decode("utf-8", "replace") for i in other])
+        for i, x in zip(merged + other, made):
+            found[i] = x
+            if len(wanted[i]) <= LONGEST_KNOWN:
+                known[wanted[i]] = x
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes; the tokenizer's added tokens cut a text and have ids of their own."""

@@ -102,3 +102,49 @@ def test_pieces_cover_all_ids_once(spark):
 
 def test_empty(spark):
     assert pk.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def chunk_ids(words, texts):
+    raw = [t if isinstance(t, bytes) else t.encode() for t in texts]
+    return [np.frombuffer(x, words.kind).tolist() for x in words.encode_chunk(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))]
+
+
+def test_new_words_are_merged_without_being_searched_for_words_again(monkeypatch):
+    words = pk.Words(pk.default_tokenizer())
+    texts = [" ".join("w" + chr(97 + i % 26) * (i % 7) + "ör" * (k % 5) + "xyzé"[k % 4] * 3 + ", und;" for k in range(50)) for i in range(60)]
+    searched = []
+    encode = words._encode
+    monkeypatch.setattr(words, "_encode", lambda some: searched.extend(some) or encode(some))
+    assert chunk_ids(words, texts) == [fresh().encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert searched == []
+
+
+def test_characters_of_two_bytes():
+    words = pk.Words(pk.default_tokenizer())
+    tokenizer = fresh()
+    texts = [f"a{c}b {c}{c}1{c} ä{c},é{c}" for c in map(chr, range(0x80, 0x800))] + [f"{c}\n{c}{d}'s {d}" for c, d in zip(map(chr, range(0x80, 0x600)), map(chr, range(0x180, 0x700)))]
+    for t, got in zip(texts, chunk_ids(words, texts)):
+        assert got == tokenizer.encode(t, add_special_tokens=False).ids + [0], repr(t)
+
+
+def test_bytes_that_are_no_text():
+    words = pk.Words(pk.default_tokenizer())
+    tokenizer = fresh()
+    texts = [b"a \xc3", b"\xa4b", b"x\xc3\xa4\xa4 y", b"\xe2\x82 \xc3\xc3\xa4,b", b"\xc3", b"", b"\xbf1"]
+    for t, got in zip(texts, chunk_ids(words, texts)):
+        assert got == tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids + [0], t
+
+
+def test_tokenizer_whose_newline_merges(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    signs = [chr(c) for c in pk._SIGNS.values()]
+    for merges in ([("Ċ", "a"), ("a", "b")], [("a", "Ċ")], [("Ċ", "Ġ"), ("b", "a")], [("a", "b"), ("Ġ", "ab")]):
+        vocab = {t: i for i, t in enumerate(["end", *signs, *(a + b for a, b in merges)])}
+        made = Tokenizer(models.BPE(vocab, merges))
+        made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        made.save(path := str(tmp_path / "made.json"))
+        words = pk.Words(path)
+        assert (words.merges is None) == any("Ċ" in m for m in merges)
+        texts = ["ab a ba\nab\n a", "aab 1ab,ab", "a\n\nb b a"]
+        assert chunk_ids(words, texts) == [made.encode(t, add_special_tokens=False).ids + [0] for t in texts]
