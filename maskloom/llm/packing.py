@@ -220,22 +220,26 @@ class Words:
         bounds = np.append(begins, n)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(whole)])
         coded = pieces.dictionary_encode()
-        index = coded.indices.to_numpy().astype(np.int64)
+        index = coded.indices.to_numpy()
         # One word to the tokenizer: all of one known kind but a first blank, if it has no unknown sign and does not end in white space.
         one = np.zeros(len(coded.dictionary), bool)
         one[index] = ~blank[bounds[1:] - 1]
         one[index[np.searchsorted(begins, hard, "right") - 1]] = False
+        del kind, blank, before, word_next, starts, after, lead, turns, hard, bounds, pieces
         _, spots, content = coded.dictionary.buffers()
         spots = np.frombuffer(spots, np.int64)[: len(one) + 1].tolist()
         content = content.to_pybytes()
         table = [*self._pieces([content[a:b] for a, b in zip(spots, spots[1:])], one), end]
         index = np.insert(index, np.searchsorted(begins, at[1:]), len(table) - 1)
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // size
-        flat, offsets = np.frombuffer(b"".join(table), self.kind), np.cumsum(sizes) - sizes
+        # A chunk has fewer ids than bytes and texts, so 32 bits hold their places.
+        sizes = np.fromiter(map(len, table), np.int32, len(table)) // size
+        flat, offsets = np.frombuffer(b"".join(table), self.kind), np.cumsum(sizes, dtype=np.int32) - sizes
         counts = sizes[index]
-        ends = np.cumsum(counts)
-        ids = flat[np.repeat(offsets[index] - (ends - counts), counts) + np.arange(ends[-1])].tobytes()
-        stops = (ends[index == len(table) - 1] * size).tolist()
+        ends = np.cumsum(counts, dtype=np.int32)
+        places = np.repeat(offsets[index] - (ends - counts), counts)
+        places += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[places].tobytes()
+        stops = (ends[index == len(table) - 1].astype(np.int64) * size).tolist()
         return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
     def _pieces(self, wanted: list[bytes], one: np.ndarray) -> list[bytes]:
@@ -371,11 +375,14 @@ def _tokenized(path: str):
         for batch in batches:
             for first, last, data, at in chunks(batch, "text", CHUNK_BYTES):
                 ids = words.encode_chunk(data, at)
-                keys = curve_keys([np.frombuffer(x, words.kind).astype(np.int64) for x in ids])
+                # Some texts at a time, as each takes WIDTH numbers several times over.
+                keys = np.concatenate([curve_keys([np.frombuffer(x, words.kind).astype(np.int64) for x in ids[i : i + 256]]) for i in range(0, len(ids), 256)])
                 counts = np.array([len(x) // words.kind.itemsize for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(keys), pa.array(counts), pa.array(ids, pa.binary())], ["doc_id", "key", "doc_tokens", "ids"]
                 )
+                del data, ids
+            del batch  # before the next one is read
 
     return run
 
