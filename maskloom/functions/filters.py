@@ -88,10 +88,16 @@ def _parses_unlimited(text: Column) -> Column:
     return sound('{"v":', "}") & sound('{"v":[', "]}")
 
 
+# Short objects of strings without escapes and short plain numbers, which need no parser.
+_FLAT_STRING = r'"[^"\\\x00-\x1F]{0,400}+"'
+_FLAT_VALUE = rf"(?:{_FLAT_STRING}|-?(?:0|[1-9][0-9]{{0,17}}+)|true|false|null)"
+_FLAT = rf"(?s)\A(?=.{{2,1000}}\z)\{{{_FLAT_STRING}:{_FLAT_VALUE}(?:,{_FLAT_STRING}:{_FLAT_VALUE}){{0,20}}+\}}\z"
+
 # What a JSON text is made of, for the walk below.
 _SCALAR = r"(?s)[ \t\n\r]*(?:-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)[ \t\n\r]*"
 _GOOD_STRING = r'(?s)"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1F]*+)*+"'
 _TOKEN = rf'(?s){_JSON_STRING}|[{{}}\[\],:]|[^{{}}\[\],:"]++|"'
+_CLOSED = r"(?s)\A[ \t\n\r]*+(?:\{.*\}|\[.*\])[ \t\n\r]*+\z"
 #: The JVM parser refuses deep nesting and long strings, keys and numbers; none of these fits in fewer characters.
 _PARSER_LIMIT = 1000
 
@@ -144,13 +150,10 @@ def is_json(text: Column) -> Column:
     enough for that go through a parser without these limits, and those with a key beyond the
     one limit that stays are decided by their tokens.
     """
-    body = F.btrim(text, F.lit(" \t\n\r"))
-    closed = (F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))) | (
-        F.startswith(body, F.lit("[")) & F.endswith(body, F.lit("]"))
-    )
+    closed = text.rlike(_CLOSED)
     long_key = F.exists(F.regexp_extract_all(text, F.lit(_JSON_STRING), F.lit(0)), lambda s: F.length(s) > _KEY_LIMIT)
     beyond = F.when(_parses_unlimited(text), F.lit(True)).when(F.length(text) > _KEY_LIMIT, long_key & _walks(text)).otherwise(F.lit(False))
-    parses = F.when(_parses(text), F.lit(True)).when(F.length(text) > _PARSER_LIMIT, beyond).otherwise(F.lit(False))
+    parses = F.when(text.rlike(_FLAT), F.lit(True)).when(_parses(text), F.lit(True)).when(F.length(text) > _PARSER_LIMIT, beyond).otherwise(F.lit(False))
     return F.when(closed, parses).otherwise(F.lit(False))
 
 

@@ -23,6 +23,8 @@ _REFERENCE = re.compile(r"\\[1-9kGQ]|\(\?[a-zA-Z]*x|#")
 BLOCK, LEVELS, PART = 32, 4, 4096
 #: Items of a short walk, for which blocks cost more than they save.
 SHORT = 128
+#: Matches of a text that are looked up one by one.
+FEW = 4
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -114,23 +116,44 @@ def _gaps(text: Column, pattern: str, found: Column) -> Column:
     return F.when(F.exists(found, lambda hit: hit == ""), split).otherwise(before)
 
 
+def _span(start: Column, end: Column, value: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
+
+
+def _looked_up(text: Column, found: Column) -> tuple[Column, Column]:
+    """Whether each of a few matches is in the text once only, and their spans if so."""
+
+    def once(hit: Column) -> Column:
+        return F.position(hit, text, F.position(hit, text) + 1) == 0
+
+    def span(hit: Column) -> Column:
+        start = F.position(hit, text) - 1
+        return _span(start, start + F.length(hit), hit)
+
+    return (F.size(found) <= FEW) & F.forall(found, once), F.transform(found, span).cast(SPAN)
+
+
 def regex_spans(text: Column, pattern: str, test: str | None = None) -> Column:
     """Every non-overlapping match with its half-open character offsets.
 
     ``test`` is a cheap pattern found in every text that ``pattern`` matches. It runs
-    first; only rows that pass pay for the two passes that give the matches and the
-    text between them. Most rows of most tables have no match at all.
+    first; only rows that pass pay for the pass that gives the matches. A few matches that
+    are in the text once only are looked up in it; else a second pass gives the text between
+    them. Most rows of most tables have no match at all.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = let(found, lambda f: F.arrays_zip(f, _gaps(text, pattern, f)).cast("array<struct<hit:string,gap:string>>"))
 
     def step(pos: Column, s: Column) -> tuple[Column, Column]:
         start = pos + F.length(s["gap"])
         end = start + F.length(s["hit"])
-        return end, F.array(F.struct(start.alias("start"), end.alias("end"), s["hit"].alias("value")))
+        return end, F.array(_span(start, end, s["hit"]))
+
+    def spans(f: Column) -> Column:
+        single, direct = _looked_up(text, f)
+        steps = F.arrays_zip(f, _gaps(text, pattern, f)).cast("array<struct<hit:string,gap:string>>")
+        return F.when(single, direct).otherwise(walk(steps, F.lit(0), SPAN, step))
 
-    walked = walk(steps, F.lit(0), SPAN, step)
-    return F.when(text.rlike(test or pattern), walked).otherwise(F.lit([]).cast(SPAN))
+    return F.when(text.rlike(test or pattern), let(found, spans)).otherwise(F.lit([]).cast(SPAN))
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

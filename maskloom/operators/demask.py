@@ -20,7 +20,7 @@ def demask(docs: DataFrame, keys: list[str], vault: DataFrame, text: str = "text
     hits = scan(source, keys, surrogate_patterns(vault, fold=False), words=False, fold=False)
     kept = detect.resolve(hits, keys, prefer="length")
     edit = F.struct("start", "end", F.col("real_value").alias("replacement"), F.col("value").alias("surrogate"), "entity_type")
-    edits = materialize(kept.groupBy(*keys).agg(F.array_sort(F.collect_list(edit)).alias("__edits")))
+    edits = materialize(kept.groupBy(*keys).agg(F.sort_array(F.collect_list(edit)).alias("__edits")))
     side, _ = checked_broadcast(edits)
     replaced = F.array_sort(
         F.array_distinct(

@@ -51,10 +51,11 @@ def excluded_path(path: Column, policy: Policy) -> Column:
     return F.exists(above, lambda p: any_path(p, policy.never_mask_paths))
 
 
-def leaves(docs: DataFrame, keys: list[str], kind: str = "document") -> DataFrame:
+def leaves(docs: DataFrame, keys: list[str], kind: str = "document", ruled: bool = False) -> DataFrame:
     """``docs(keys, text[, path])`` -> one row per JSON string value, or the whole text.
 
     ``kind='value'``: the text is itself one value of a record and is not parsed.
+    ``ruled``: only texts with leaves that have a path, as field rules need one.
     """
     base = F.col("path") if "path" in docs.columns else F.lit("")
     key = F.regexp_extract(base, r"[^.]*\z", 0)
@@ -65,12 +66,14 @@ def leaves(docs: DataFrame, keys: list[str], kind: str = "document") -> DataFram
     ).cast(markup.LEAF)
     rows = docs.where(~tx.blank(F.col("text")))
     plain = markup.decoded_leaves(whole, False)
+    pathless = ruled and "path" not in docs.columns
     if kind == "value":
-        rows = rows.withColumn("json", F.lit(False))
+        rows = rows.withColumn("json", F.lit(False)).where(F.lit(not pathless))
         cut = plain
     else:
         text = F.col("text")
         rows = computed(rows, json=filters.is_json(text))
+        rows = rows.where("json") if pathless else rows
         rows = rows.withColumn("__leaves", markup.json_leaves(F.when(F.col("json"), text)))
         cut = F.when(F.col("json"), markup.decoded_json(text, F.col("__leaves"))).otherwise(plain)
     # computed first: the filters that come with an explode would each repeat the walk
@@ -239,6 +242,6 @@ def resolve(findings: DataFrame, keys: list[str], prefer: str = "score") -> Data
     )
     rows = marked.select(*keys, "__cluster", item.alias("s"))
     kind = "array<" + rows.schema["s"].dataType.simpleString() + ">"
-    grouped = rows.groupBy(*keys, "__cluster").agg(F.array_sort(F.collect_list("s")).alias("a"))
+    grouped = rows.groupBy(*keys, "__cluster").agg(F.sort_array(F.collect_list("s")).alias("a"))
     kept = F.when(F.size("a") == 1, F.col("a")).otherwise(keep_greedy(F.col("a"), kind))
     return grouped.select(*keys, F.explode(kept).alias("s")).select(*keys, "s.row.*")

@@ -15,7 +15,9 @@ def with_field_entity(leaf_rows: DataFrame, policy: Policy) -> DataFrame:
     """Add ``entity_type`` (null: no rule) and ``doubtful`` (a bare ``name`` that does not
     look like a person by its shape; it is masked only when known or detected)."""
     # one rule test after another, each computed once: the filters behind name the result many times
-    rows = computed(leaf_rows, entity_type=field_entity(F.col("path"), policy))
+    path = F.col("path")
+    # what holds for texts without a path is a constant
+    rows = computed(leaf_rows, entity_type=F.when(path == "", field_entity(F.lit(""), policy)).otherwise(field_entity(path, policy)))
     entity = F.col("entity_type")
     secret_mail = entity.eqNullSafe("SECRET") & tx.looks_like_email(F.col("text"))  # without a rule the text is not looked at
     rows = rows.withColumn("__rule", F.when(secret_mail, F.lit("EMAIL_ADDRESS")).otherwise(entity)).drop("entity_type")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.functions.text import preview, words
-from maskloom.runtime import spread_join
+from maskloom.runtime import materialize, spread_join
 
 VAULT = "entity_type string, real_value string, surrogate string, seq long, derived boolean"
 SUBTOKEN_TYPES = ("PERSON",)
@@ -22,6 +22,8 @@ def empty_vault(spark) -> DataFrame:
 
 def forward(vault: DataFrame) -> DataFrame:
     """One row per (type, real value): the last one written."""
+    if getattr(vault, "_settled", False):
+        return vault
     return (
         vault.groupBy("entity_type", "real_value")
         .agg(F.max_by(F.struct("surrogate", "seq", "derived"), "seq").alias("w"))
@@ -29,6 +31,15 @@ def forward(vault: DataFrame) -> DataFrame:
     )
 
 
+def settled(vault: DataFrame) -> DataFrame:
+    """``forward``, computed once for all the lookups that begin with it."""
+    if getattr(vault, "_settled", False):
+        return vault
+    done = materialize(forward(vault))
+    done._settled = True
+    return done
+
+
 def reverse(vault: DataFrame) -> DataFrame:
     """One row per (type, surrogate): the last real value written, and its CI key."""
     return (

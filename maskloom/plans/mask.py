@@ -20,7 +20,7 @@ from maskloom.functions import filters, text as tx
 from maskloom.functions.splice import splice
 from maskloom.operators import assign as asg, detect, fields, vault as v
 from maskloom.policy import Policy, policy_table
-from maskloom.runtime import checked_broadcast, computed, materialize, spread, spread_join
+from maskloom.runtime import checked_broadcast, computed, is_spread, materialize, spread, spread_join
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -100,7 +100,9 @@ def discover(
         ["entity_type", "value"],
         "inner",
     )
-    ruled = _layout(fields.field_findings(leaf_rows, keys, policy, vault, gazetteer), keys)
+    ruled_rows = detect.leaves(docs, keys, kind, ruled=True)
+    ruled_rows = ruled_rows.where(~detect.excluded_path(F.col("path"), policy))
+    ruled = _layout(fields.field_findings(ruled_rows, keys, policy, vault, gazetteer), keys)
     return found.select(ruled.columns).unionByName(partial.select(ruled.columns)).unionByName(ruled)
 
 
@@ -137,7 +139,7 @@ def apply_findings(docs: DataFrame, keys: list[str], findings: DataFrame, text:
         _quoted(F.col("replacement"), F.col("quote")).alias("replacement"),
         "entity_type",
     )
-    edits = findings.groupBy(*keys).agg(F.array_sort(F.collect_list(edit)).alias("__edits"))
+    edits = findings.groupBy(*keys).agg(F.sort_array(F.collect_list(edit)).alias("__edits"))
     side, _ = checked_broadcast(edits)
     joined = docs.join(side, keys, "left")
     has = F.col("__edits").isNotNull()
@@ -189,8 +191,9 @@ def mask(
     if "blob" in docs.columns:
         blobs = _blobs(source.where("blob"), keys)
         source = source.where(~F.col("blob")).drop("blob")
-    source = spread(source)
-    found = discover(source, keys, policy, vault, gazetteer=gazetteer, hooks=hooks, kind=kind)
+    source = source if is_spread(docs) else spread(source)
+    held = v.settled(vault)
+    found = discover(source, keys, policy, held, gazetteer=gazetteer, hooks=hooks, kind=kind)
     if blobs is not None:
         found = found.unionByName(blobs.select(found.columns))
     found = materialize(found)
@@ -200,12 +203,12 @@ def mask(
     order = F.struct(*keys, "doc_start")
     values = found.where("surrogate is null").select("entity_type", F.col("value").alias("real_value"), order.alias("ord"))
     if policy.field_rules:
-        named = detect.leaves(source, keys, kind).where(~detect.excluded_path(F.col("path"), policy))
+        named = detect.leaves(source, keys, kind, ruled=True).where(~detect.excluded_path(F.col("path"), policy))
         names = fields.full_names(named, keys, policy)
         values = values.unionByName(
             names.select(F.lit("PERSON").alias("entity_type"), "real_value", F.struct(*keys, F.lit(-1).alias("doc_start")).alias("ord"))
         )
-    added = asg.assign(values, vault, rules)
+    added = asg.assign(values, held, rules)
     total = materialize(vault.unionByName(added))
 
     every = found

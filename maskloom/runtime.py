@@ -63,12 +63,11 @@ def materialize(df: DataFrame) -> DataFrame:
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are evaluated exactly once per row.
 
-    ``inline`` of a one-row array is a boundary the optimizer does not copy expressions
-    across. Plain projections of costly expressions would be repeated in every filter
-    and projection above them.
+    The optimizer does not copy what names the partition across filters and projections, while
+    plain projections of costly expressions would be repeated in each of them above.
     """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    here = F.spark_partition_id() >= 0  # always
+    return df.select("*", *[F.when(here, c).alias(name) for name, c in columns.items()])
 
 
 SMALL_SCAN = 1 << 30
@@ -86,6 +85,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def is_spread(df: DataFrame) -> bool:
+    """A checkpointed table, or rows taken from one, with a split per core already."""
+    kept = getattr(df, "_rows_of", df)
+    if not getattr(kept, "_materialized", False):
+        return False
+    return kept._jdf.rdd().getNumPartitions() >= kept.sparkSession.sparkContext.defaultParallelism
+
+
 def rebalanced(df: DataFrame) -> DataFrame:
     """Even partitions for narrow rows that need much CPU each (ciphers, HMACs).
 

@@ -140,3 +140,34 @@ def test_numbers_that_only_look_alike_pass_the_cheap_tests(spark):
         assert [x[0] for x in found(spark, text, recognizers.builtin_findings)] == ["PHONE_NUMBER"], text
     for text in ("4111111111111111", "4111-1111-1111-1111", "4111 1111 1111 1111", "378282246310005", "3782-822463-10005", "3782 822463 10005"):
         assert "CREDIT_CARD" in [x[0] for x in found(spark, text, recognizers.builtin_findings)], text
+
+
+def test_spans_of_matches_that_are_there_more_than_once(spark):
+    pattern = r"(?<![a-z0-9])[0-9]{3}(?![0-9])"
+    texts = ["x123 123", "123", "😀 123é 456", "1234 234 x 999", "111 222 333 444 555", "aa 121 212 1212", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.f for r in rows.select("i", regex_spans(F.col("t"), pattern).alias("f")).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.start, s.end, s.value) for s in got[i]] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, t or "")]
+
+
+def test_one_match_is_found_without_the_text_before_it(spark, monkeypatch):
+    from maskloom.functions import spans
+
+    def gaps(text, pattern, found):
+        return F.transform(found, lambda _: F.raise_error(F.lit("the second pass")).cast("string"))
+
+    monkeypatch.setattr(spans, "_gaps", gaps)
+    rows = spark.createDataFrame([("to a@b.com é",)], "t string")
+    assert [tuple(s) for s in rows.select(regex_spans(F.col("t"), "[a-z]+@[a-z.]+").alias("f")).first().f] == [(3, 10, "a@b.com")]
+
+
+def test_flat_objects_need_no_parser_and_nothing_else_passes_for_one(spark):
+    flat = ['{"a":"b"}', '{"a":"b","n":-12,"t":true,"x":null}', '{"é 😀":0}']
+    others = ['{"a":01}', '{"a":"b"}}', '{"a":"b",}', '{a:1}', '{"a":"b"}],[{"c":1}', '{"a":\'b\'}', '{"a":+1}', '{"a" 1}']
+    kept = ['{"a":"\x01"}', "{}", '{"a":{"b":[1]}}', '{"a":"\\n"}', '{"a": 1}', "[]", ' {"a":1} ']
+    rows = spark.createDataFrame([(t,) for t in flat + others + kept], "t string")
+    got = {r.t: (r.json, r.flat) for r in rows.select("t", filters.is_json(F.col("t")).alias("json"), F.col("t").rlike(filters._FLAT).alias("flat")).collect()}
+    assert [got[t] for t in flat] == [(True, True)] * len(flat)
+    assert [got[t] for t in others] == [(False, False)] * len(others)
+    assert [got[t] for t in kept] == [(True, False)] * len(kept)

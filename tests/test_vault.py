@@ -173,3 +173,11 @@ def test_values_of_a_full_format_take_no_further_cipher_steps(spark, key, monkey
     values = spark.createDataFrame([("PHONE_NUMBER", str(i), i) for i in range(10)], "entity_type string, real_value string, ord long")
     made = asg.assign(values, v.empty_vault(spark), policy_table(spark, default_policy(), key)).collect()
     assert len({r.surrogate for r in made}) == 10 and len(calls) <= 2
+
+
+def test_a_settled_vault_is_not_grouped_again(spark):
+    rows = [("PERSON", "Ann Lee", "Bea Roe", 0, False), ("PERSON", "Ann Lee", "Cid Poe", 1, False), ("LOCATION", "Rome", "Oslo", 2, False)]
+    vault = spark.createDataFrame(rows, v.VAULT)
+    held = v.settled(vault)
+    assert v.forward(held) is held is v.settled(held)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, v.forward(vault).collect())) == sorted(rows[1:])
