@@ -24,6 +24,8 @@ from maskloom.runtime import checked_broadcast, materialize, spread_join
 WINDOW = 96
 GATE = 4
 CHUNK = 16_384
+#: Characters up to which a candidate is taken with all that follows it, whose length tells its place.
+BRIEF = 256
 ALNUM = r"\p{L}\p{N}"
 
 
@@ -79,20 +81,24 @@ def _windows(units: DataFrame, keep: list[str], gates: DataFrame, first: str, mi
     behind = rf"(?<![{ALNUM}])" if words else ""
     body = rf"{first or '.'}.{{{min_len - 1},{reach - 1}}}"
     regex = rf"(?s)(?:{behind}(?=({body})))?."
+    rest = rf"(?s){behind}(?=({first or '.'}.{{{min_len - 1},}}))."
     sliced = units.select(
-        *keep, F.posexplode(_chunks(F.col("text"), reach)).alias("__chunk", "__slice")
-    ).select(*keep, "__chunk", "__slice.*")
-    lead = F.length("left")
+        *keep, (F.length("text") <= min(BRIEF, CHUNK)).alias("__brief"), F.posexplode(_chunks(F.col("text"), reach)).alias("__chunk", "__slice")
+    ).select(*keep, "__brief", "__chunk", "__slice.*")
+    lead, brief = F.length("left"), F.col("__brief")
+    found = F.when(brief, F.regexp_extract_all(F.col("body"), F.lit(rest), F.lit(1))).otherwise(
+        F.regexp_extract_all(F.concat("left", "body", "after"), F.lit(regex), F.lit(1))
+    )
     positions = sliced.select(
         *keep,
+        "__brief",
         (F.col("__chunk") * CHUNK - lead).alias("__base"),
         lead.alias("__lead"),
         F.length("body").alias("__size"),
-        F.posexplode(
-            F.regexp_extract_all(F.concat("left", "body", "after"), F.lit(regex), F.lit(1))
-        ).alias("__pos", "__window"),
-    ).where((F.col("__window") != "") & (F.col("__pos") >= F.col("__lead")) & (F.col("__pos") < F.col("__lead") + F.col("__size")))
-    positions = positions.withColumn("start", F.col("__base") + F.col("__pos")).withColumn(
+        F.posexplode(found).alias("__pos", "__window"),
+    ).where(brief | ((F.col("__window") != "") & (F.col("__pos") >= F.col("__lead")) & (F.col("__pos") < F.col("__lead") + F.col("__size"))))
+    start = F.when(brief, F.col("__size") - F.length("__window")).otherwise(F.col("__base") + F.col("__pos"))
+    positions = positions.withColumns({"start": start, "__window": F.when(brief, F.left(F.col("__window"), F.lit(reach))).otherwise(F.col("__window"))}).withColumn(
         "__gate", _fold(F.left(F.col("__window"), F.lit(min(GATE, min_len))), fold)
     )
     side, _ = checked_broadcast(gates)

@@ -92,7 +92,7 @@ def mask_envelopes(
     )
     edits = materialize(
         changed.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(edit)).alias("__edits"), F.sum("masked_count").cast("int").alias("masked_count")
+            F.sort_array(F.collect_list(edit)).alias("__edits"), F.sum("masked_count").cast("int").alias("masked_count")
         )
     )
     side, _ = checked_broadcast(edits)
@@ -177,18 +177,20 @@ def mask_calls(
     audit events.
     """
     kind = calls.schema["content"].dataType
+    vault = materialize(vault)
     args = demask.demap(calls.select(*keys, F.col("args").alias("text")), keys, policy, vault)
     args = computed(args, sensitive=sensitive(F.col("text"), policy))
-    args = materialize(args.withColumnRenamed("text", "args"))
-    flagged = calls.drop("args").join(args, keys)
+    args = args.withColumnRenamed("text", "args")
+    flagged = materialize(calls.drop("args").join(args, keys))
     inner = [*keys, "__item"]
     items = flagged.select(*keys, F.explode(content_texts(F.col("content"), kind)).alias("__c"), F.col("sensitive").alias("blob"))
     items = items.select(*keys, F.col("__c.item").alias("__item"), F.col("__c.text").alias("text"), "blob")
+    items._rows_of = flagged
     done = mask(items, inner, policy, key, vault, **options)
     changed = done.documents.where("masked_count > 0")
     edits = materialize(
         changed.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct(F.col("__item").alias("item"), "text"))).alias("__items"),
+            F.sort_array(F.collect_list(F.struct(F.col("__item").alias("item"), "text"))).alias("__items"),
             F.array_distinct(F.flatten(F.collect_list("entity_types"))).alias("entity_types"),
             F.sum("masked_count").cast("int").alias("masked_count"),
         )

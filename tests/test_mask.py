@@ -139,3 +139,19 @@ def test_results_of_any_shape(spark, key):
             assert got[1][1].data == b"png" and got[1][1].size.w == 3 and "blob" not in got[2][0].text
         else:
             assert got[1] == ["ok", "<EMAIL_ADDRESS>", None, notice] and "blob" not in got[2][0]
+
+
+def test_results_of_calls_are_computed_once(spark, key):
+    seen = spark.sparkContext.accumulator(0)
+
+    def said(number):
+        seen.add(1)
+        return f"write to u{number}@corp.example.org"
+
+    calls = spark.range(20).select(
+        F.col("id"), F.lit("s").alias("server"), F.lit("t").alias("tool_name"), F.lit('{"q":"x"}').alias("args"), F.udf(said)("id").alias("content")
+    )
+    vault = spark.createDataFrame([("PERSON", "Ann Lee", "Bea Roe", 0, False)], "entity_type string, real_value string, surrogate string, seq long, derived boolean")
+    done, events = mask_calls(calls, ["id"], default_policy(), key, vault)
+    assert done.documents.where("masked_count = 1").count() == 20 == events.count()
+    assert seen.value == 20

@@ -80,3 +80,23 @@ def test_broadcast_bound(spark):
     assert rt.fits_broadcast(df, rows=20, size=100_000)
     assert not rt.fits_broadcast(df, rows=19, size=100_000)
     assert not rt.fits_broadcast(df, rows=20, size=10_000)
+
+
+def test_brief_texts_give_what_long_ones_give(spark, monkeypatch):
+    texts, patterns = fixture(5, "aB😀é 1-", 40)
+    texts += [(1000 + i, t * 9) for i, t in texts[:5]]
+    for words, fold in ((True, True), (False, False)):
+        monkeypatch.setattr(sc, "BRIEF", 256)
+        brief = run(spark, texts, patterns, words, fold)
+        monkeypatch.setattr(sc, "BRIEF", 0)
+        assert brief == run(spark, texts, patterns, words, fold) and brief
+
+
+def test_spans_are_sorted_without_an_ordering_made_for_each_pair(spark):
+    from maskloom.operators import detect
+
+    spans = spark.createDataFrame([(1, 0, 5, "A"), (1, 3, 9, "B"), (1, 3, 9, "B"), (1, 9, 12, "C"), (2, None, 4, "D")], "id int, start int, end int, entity_type string")
+    kept = detect.resolve(spans, ["id"], prefer="length")
+    assert sorted((r.id, r.start or -1, r.end) for r in kept.collect()) == [(1, 3, 9), (1, 9, 12), (2, -1, 4)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
